@@ -13,6 +13,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import neardups
+
+    return neardups.linked(spark, _documents(spark, sf_dir))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import passages
+
+    return passages.removed(_documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,6 +33,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, _documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import lines
+
+    return lines.marked(_documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +53,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(spark, _documents(spark, sf_dir))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import topk
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.nearest(spark, vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import sharding
+
+    return sharding.sharded(_documents(spark, sf_dir))
+
+
+def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import substrings
+
+    return substrings.removed(_documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +85,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.llm import quality
+    from tidemark.llm import lines, neardups, quality, sharding, topk
 
-    return {"op6_quality_rules": quality.ORACLE}
+    return {"op1_ngram_jaccard_join": neardups.ORACLE, "op4_line_dedup": lines.ORACLE, "op6_quality_rules": quality.ORACLE, "op7_exact_topk": topk.ORACLE, "op8_extendible_sharding": sharding.ORACLE}
