@@ -103,3 +103,13 @@ def sql(body: str) -> str:
     """The body after the views; a body that begins with a comma adds views of its own."""
     body = body.strip()
     return f"WITH {VIEWS.strip()}{'' if body.startswith(',') else ' '}{body}"
+
+
+def dates(df: DataFrame) -> DataFrame:
+    """Dates as text, so that either engine's rows look alike."""
+    return df.select(*(F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DateType) else F.col(f.name) for f in df.schema))
+
+
+def dated(query: str, *columns: str) -> str:
+    """The oracle's counterpart of dates()."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in columns)}) FROM ({query})"
