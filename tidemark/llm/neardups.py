@@ -202,7 +202,8 @@ def first_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """The documents of which no similar one has a smaller id: one of each class, with all their columns. Equal rows stay together."""
     found = linked(spark, docs, id_col=id_col, text_col=text_col, **how)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return rows.join(keep, F.col("_row")[id_col].eqNullSafe(F.col("_keep")), "left_semi").select("_row.*")
 
 
 ORACLE = r"""

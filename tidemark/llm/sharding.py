@@ -54,7 +54,8 @@ def sharded(docs: DataFrame, limit: int = 1 << 20, id_col: str = "doc_id", text_
 def write(docs: DataFrame, path: str, limit: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the documents as one folder for each shard."""
     shards = sharded(docs, limit, id_col, text_col).select(F.col("doc_id").alias("_id"), "shard").distinct()
-    docs.join(shards, docs[id_col].eqNullSafe(F.col("_id"))).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    rows.join(shards, F.col("_row")[id_col].eqNullSafe(F.col("_id"))).select("_row.*", F.col("shard").alias("_shard")).repartition("_shard").write.partitionBy("_shard").parquet(path)
 
 
 ORACLE = """
