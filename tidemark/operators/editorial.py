@@ -140,7 +140,7 @@ def horizon_endpoints(text: Column) -> Column:
 
 
 def fit(minutes: Column) -> Column:
-    return F.when(minutes < 120, "OUT_OF_SCOPE_FOR_USER").when(minutes < 720, "LOW_FIT").when(minutes < 1440, "MEDIUM_FIT").otherwise("HIGH_FIT")
+    return F.when(minutes < 120, "OUT_OF_SCOPE_FOR_USER").when(minutes < 720, "LOW_FIT").when(minutes < 1440, "MEDIUM_FIT").when(minutes >= 1440, "HIGH_FIT")
 
 
 def best_fit(text: Column) -> Column:
