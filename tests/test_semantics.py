@@ -145,3 +145,32 @@ def test_two_level_windows_equal_plain_ones(spark):
     assert [r.s for r in got.orderBy("id").collect()] == want
     assert [r._rank for r in numbered(df, ["asset"], ["id"], F.floor(F.col("id") / 37)).orderBy("id").collect()] == list(range(500))
     assert running(df, ["asset"], ["id"], F.floor(F.col("id") / 37), F.col("v"), "t").agg(F.max("t")).first()[0] == sum(i * 7 % 13 for i in range(500))
+
+
+def test_study_spec_checks_and_id(spark):
+    from tidemark.operators.contracts import StudySpec, ready
+
+    with pytest.raises(ValueError):
+        StudySpec(family="1", assets=("BTC",), outcome="simple")
+    with pytest.raises(ValueError):
+        StudySpec(family="1", assets=("X",), known_assets=("BTC",))
+    with pytest.raises(ValueError):
+        StudySpec(family="1", assets=("BTC",), horizons=(0,))
+    with pytest.raises(ValueError):
+        StudySpec(family="1", assets=("BTC",), start="2024-02", end="2024-01")
+    spec = StudySpec(family="1", assets=("BTC",))
+    assert spec.id == StudySpec(family="1", assets=("BTC",)).id != StudySpec(family="2", assets=("BTC",)).id
+    h = spark.createDataFrame([(1, "PRODUCTION", "ACCEPTED"), (2, "REPLAY", "ACCEPTED")], "fingerprint bigint, analysis_mode string, disposition string")
+    assert ready(h, spec) and not ready(h, StudySpec(family="2", assets=("BTC",)))
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from tidemark.streaming import streams
+
+    rows = [(i, T0 + dt.timedelta(minutes=17 * i), i % 3, "A" if i % 2 else "B", float(i * 7 % 11), "{}") for i in range(60)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    live = streams.events_stream(spark, f"{tmp_path}/events.parquet", files_each=10)
+    got = sorted(map(tuple, streams.drained(streams.percentiles(live.drop("retrieved_at"), 5)).collect()))
+    batch = metrics.percentile(events.selectExpr("event_id AS id", "event_type AS asset", "ts AS observed_at", "value AS funding_rate"), window=5, strict=True)
+    assert got == sorted(tuple(r) for r in batch.select("id", "asset", "percentile").collect())
