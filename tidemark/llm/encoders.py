@@ -5,8 +5,16 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 #: Chunks kept by a Python worker; beyond it the cache starts anew.
-CACHED = 700_000
+CACHED = 600_000
+
+
+#: ASCII punctuation but the apostrophe, which may begin a contraction.
+ENDS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Chunks that are encoded in one call.
+JOINED = 100
 
 
 class Chunked:
@@ -19,20 +27,52 @@ class Chunked:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict = {}
+        self.stems: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def fresh(self, texts: list[str]) -> list[bytes]:
+        """Ids of chunks: punctuation at the end is a token of its own after a letter or number, so words share their stem's entry."""
+        cut = [self.stem(x) for x in texts]
+        self.stems[""] = b""
+        new = list({x for pair in cut for x in pair if x not in self.stems})
+        self.stems.update(zip(new, self.joined(new), strict=True))
+        return [self.stems[a] + self.stems[b] for a, b in cut]
+
+    def stem(self, text: str) -> tuple[str, str]:
+        core = text.rstrip(ENDS)
+        return (self.folded(core), text[len(core) :]) if core and core[-1].isalnum() else (text, "")
+
+    def folded(self, core: str) -> str:
+        return core
+
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, JOINED to a text with a lone zero between them: its token comes from nothing else, as chunks that hold a number or end in white space go alone."""
+        out: list[bytes] = [b""] * len(texts)
+        together = [k for k, x in enumerate(texts) if not self.alone(x)]
+        apart = sorted(set(range(len(texts))) - set(together))
+        for k, ids in zip(apart, self.whole([texts[k] for k in apart]), strict=True):
+            out[k] = ids
+        groups = [together[i : i + JOINED] for i in range(0, len(together), JOINED)]
+        mark = self.whole([" 0"])[0]
+        for group, ids in zip(groups, self.whole([self.gap.join([texts[k] for k in group]) for group in groups]), strict=True):
+            ids = np.frombuffer(ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == np.frombuffer(mark, "<u4")[0])).tolist()
+            raw = ids.tobytes()
+            for k, a, b in zip(group, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True):
+                out[k] = raw[a:b]
+        return out
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.cache) > CACHED:
             self.cache.clear()
+            self.stems.clear()
         cut = [self.cut(x) for x in texts]
         cache = self.cache
         if fresh := list({c for chunks in cut for c in chunks if c not in cache}):
-            cache.update(zip(fresh, self.whole([self.text(c) for c in fresh]), strict=True))
+            cache.update(zip(fresh, self.fresh([self.text(c) for c in fresh]), strict=True))
         return [b"".join(map(cache.__getitem__, chunks)) for chunks in cut]
 
 
@@ -41,6 +81,8 @@ class Spaced(Chunked):
 
     find = re.compile(r"\s*\S+|\s+").findall
     odd = re.compile(r"[\x1c-\x1f]").search  # white space for Python's re alone
+    alone = staticmethod(re.compile(r"[^\W_a-zA-Z\u00c0-\u024f]|[\x00-\x1f\x7f-\x9f]|\s\Z").search)
+    gap = " 0"
 
     def cut(self, text: str) -> list[str]:
         return [text] if self.odd(text) else self.find(text)
@@ -52,12 +94,19 @@ class Spaced(Chunked):
 class Dropped(Chunked):
     """For a pre-tokeniser that drops white space: chunks are runs without ASCII white space."""
 
+    alone = staticmethod(re.compile(r"[^\W_a-zA-Z\u00c0-\u024f]|[\x00-\x1f\x7f-\x9f]|\s").search)
+    gap = " 0 "
+
     def cut(self, text: str) -> list[bytes]:
         return text.encode().split()
 
     def text(self, chunk: bytes) -> str:
         return chunk.decode()
 
+    def folded(self, core: str) -> str:
+        """Lower case, which the normaliser makes of it anyway."""
+        return core.lower() if core.isascii() else core
+
 
 _made: dict[tuple[type, str], Chunked] = {}
 
