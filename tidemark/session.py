@@ -39,7 +39,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and returns it read back: lineage ends there, lost executors do not matter."""
     path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._staged_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again: all that was made from them has been written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _shipped: set[str] = set()
