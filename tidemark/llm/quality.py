@@ -71,7 +71,7 @@ Rule = Callable[[Texts], np.ndarray]
 RULES: dict[str, Rule] = {
     "symbols": lambda t: 10 * t.count(SYMBOLS[t.data]) > t.n_words,
     "word_length": lambda t: ((c := t.word_chars()) < 2 * t.n_words) | (c > 15 * t.n_words),
-    "dup_lines": lambda t: 10 * t.dup_lines() > 3 * np.maximum(1, t.count(t.data == 10) + 1),
+    "dup_lines": lambda t: ((n := t.dup_lines()) > 2) & (10 * n > 3 * (t.count(t.data == 10) + 1)),
     "upper_case": lambda t: 2 * t.count(_UPPER[t.data]) > t.count(_ALPHA[t.data]),
     "exclamations": lambda t: 5 * t.count(_BANG[t.data]) > t.n_words,
 }
@@ -164,6 +164,6 @@ m AS (
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (10 * n_symbols > n_words) AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words)
-    AND NOT (10 * n_dup_lines > 3 * (nl + 1)) AND NOT (2 * up > alpha) AND NOT (5 * bang > n_words) AS kept
+    AND NOT (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * (nl + 1)) AND NOT (2 * up > alpha) AND NOT (5 * bang > n_words) AS kept
 FROM b
 """
