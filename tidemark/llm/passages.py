@@ -90,13 +90,13 @@ def close(unit: Unit):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 20, many: int = 1000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 20, many: int = 20_000) -> DataFrame:
     """rid and spans (words) of docs (rid, doc_id, text) under windows that also start earlier."""
     unit = Unit(length, max(1, length * 3 // 10), True)
     return resolved(docs, unit, close(unit), ordered=True, many=many)
 
 
-def removed(docs: DataFrame, length: int = 20, many: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, length: int = 20, many: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space) of every document.
 
     Null and empty texts have no words; of equal rows (same id, same text) none is earlier; an empty table gives no row; other columns are left out.

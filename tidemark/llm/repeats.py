@@ -3,7 +3,7 @@
 Every window of `length` units picks its smallest hashed gram of `gram` units (the leftmost of equals). Equal windows pick equal grams at the
 same place, so windows can only repeat where their gram, the anchor, does. An anchor occurrence answers for a run of consecutive windows; the text
 under that run is its context. Contexts that are equal settle all their windows at once; only anchors with several different contexts need a closer
-look, at one copy of each context. All groups are counted before anything is gathered: an anchor with more than `many` contexts is
+look, at one copy of each context. All groups are counted before anything is gathered: an anchor with more than `many` contexts (12 MB of text at 20,000) is
 resolved window by window through aggregations that pre-combine, the others inside tasks over runs of rows sorted by anchor.
 The windows under one anchor lie within `length` of each other, so its first and last repeated window give all bytes (words) they cover.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import RangeHash, buffers, mixed, signed, slices, word_bounds
-from tidemark.session import ship, staged
+from tidemark.session import discard, ship, staged
 
 ANCHORS = "h bigint, c bigint, rid bigint, doc_id bigint, pos int, back int, front int"
 CONTEXTS = "h bigint, c bigint, doc_id bigint, pos int, back int, front int, context binary"
@@ -131,7 +131,7 @@ def runs(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def resolved(docs: DataFrame, unit: Unit, close: Callable, ordered: bool, many: int = 1000) -> DataFrame:
+def resolved(docs: DataFrame, unit: Unit, close: Callable, ordered: bool, many: int = 20_000) -> DataFrame:
     """rid and spans (array of start, end in units) of all covered units.
 
     close(table) gives low and high for the rows of whole anchor groups: the first and last of the windows that count, as places against the anchor, or null.
@@ -140,6 +140,7 @@ def resolved(docs: DataFrame, unit: Unit, close: Callable, ordered: bool, many:
     ship(docs.sparkSession)
     found = occurrences(docs, unit)
     stats = found.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("several"))
+    stats = staged(stats, "stats")  # a table of its own, so that AQE may split a frequent anchor in the join
     shared = staged(found.join(stats, "h"), "anchors")
     by_context = shared.groupBy("h", "c", "several").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "rid", "back", "front")).alias("first"))
     several = by_context.where("several")
@@ -166,9 +167,11 @@ def resolved(docs: DataFrame, unit: Unit, close: Callable, ordered: bool, many:
     far = later.groupBy("h", "c").agg(F.min("at").alias("low"), F.max("at").alias("high"))
     partial = near.unionByName(far).groupBy("h", "c").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     whole = ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))) if ordered else F.col("n") > 1
-    known = by_context.select("h", "c", "n", "first").join(partial, ["h", "c"], "left")
+    known = staged(by_context.select("h", "c", "n", "first").join(partial, ["h", "c"], "left"), "known")
     spans = shared.drop("several").join(known, ["h", "c"]).select("rid", F.when(whole, F.col("pos") - F.col("back")).otherwise(F.col("pos") + F.col("low")).alias("start"), (F.when(whole, F.col("pos") - F.col("front")).otherwise(F.col("pos") + F.col("high")) + unit.length).alias("end"))
-    return spans.where("start IS NOT NULL").groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    found = staged(spans.where("start IS NOT NULL").groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    discard(stats, shared, texts, known)
+    return found
 
 
 def window_codes(unit: Unit, table: pa.Table) -> tuple[np.ndarray, ...]:

@@ -64,13 +64,13 @@ def repeat_groups(table: pa.Table, length: int) -> dict[int, list[tuple[int, int
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, many: int = 1000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, many: int = 20_000) -> DataFrame:
     """rid and spans (bytes) of docs (rid, doc_id, text)."""
     unit = Unit(length, max(1, length // 2), False)
     return resolved(docs, unit, close(unit), ordered=False, many=many)
 
 
-def removed(docs: DataFrame, length: int = 400, many: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, length: int = 400, many: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document once each byte under a repeated string of `length` bytes is gone.
 
     Null and empty texts have 0 bytes and the digest of nothing; equal rows repeat each other; an empty table gives no row; other columns are left out.
