@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import staged
+from tidemark.session import discard, staged
 
 
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
@@ -18,7 +18,8 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = staged(small.where("a <> b").distinct(), "edges")
+        last, now = now, staged(small.where("a <> b").distinct(), "edges")
+        discard(last)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == mark:
             break

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import RangeHash, buffers, mixed, signed, slices, word_bounds
 from tidemark.llm.components import components
 from tidemark.llm.repeats import Unit, keyed
-from tidemark.session import ship, staged
+from tidemark.session import discard, ship, staged
 
 WORDS = Unit(5, 1, True)
 
@@ -192,7 +192,8 @@ def linked(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, trees:
     ties = components(verified.select(F.col("tid").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "tid"})
     placed = texts.join(ties, "tid", "left").join(links, "tid", "left").withColumn("component", F.coalesce("component", "tid"))
     lowest = placed.groupBy("component").agg(F.min("first_doc").alias("class_id"))
-    known = placed.join(lowest, "component").select("tid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = staged(placed.join(lowest, "component").select("tid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    discard(clusters, verified)
     having = signed_docs.select("doc_id", "tid").join(known, "tid").select("doc_id", "class_id", "n_links")
     bare = own.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return having.unionByName(bare)
