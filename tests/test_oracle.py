@@ -1,6 +1,7 @@
 """Every query of the library against DuckDB at the smallest scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidemark.plans import registry
@@ -22,14 +23,14 @@ def duck():
 
 def rows(frame, columns):
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         if isinstance(v, float):
             return f"{v:.5f}".replace("-0.00000", "0.00000")
         return str(v).removesuffix(" 00:00:00")
 
     floats = {c for c in columns if str(frame[c].dtype).startswith("float")}
-    return sorted(tuple(text(float(v)) if c in floats and v == v and v is not None else text(v) for c, v in zip(columns, r, strict=True)) for r in frame[columns].itertuples(index=False))
+    return sorted(tuple(text(float(v)) if c in floats and v is not None and v is not pd.NA and v == v else text(v) for c, v in zip(columns, r, strict=True)) for r in frame[columns].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
