@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later similar lines go; documents of which no word is left go with them."""
-    kept = lines.cleaned(docs)
+    """Later similar lines go, short ones too; documents of which no word is left go with them."""
+    kept = lines.cleaned(docs, min_words=1)
     return _counted(kept.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
