@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
-from tidemark.llm.encoders import Dropped, encoder
+from tidemark.llm.encoders import SLICE, Dropped, encoder, vocabulary_size
 from tidemark.session import ship, staged
 
 BLOCKS = "part int, block int, first_id bigint, doc_ids array<bigint>, sizes array<bigint>, payload binary"
@@ -72,19 +72,20 @@ def blocks(docs: DataFrame, vocabulary: str, size: int, end_id: int, id_col: str
     width = width_of(size)
 
     def encode(batches):
-        enc, end, part = encoder(Dropped, vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        enc, part = encoder(Dropped, vocabulary), TaskContext.get().partitionId()
         held, names, sizes, n, block, first = [], [], [], 0, 0, 0
 
         def flush():
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack_bits(np.frombuffer(b"".join(held), "<u4"), width)], pa.binary())], names=[x.split()[0] for x in BLOCKS.split(", ")])
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack_bits(np.concatenate(held), width)], pa.binary())], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
-            for some in slices(batch, text_col):
-                for doc, ids in zip(some.column(id_col).to_pylist(), enc.ids([x or "" for x in some.column(text_col).to_pylist()]), strict=True):
-                    held.append(ids + end)
+            for some in slices(batch, text_col, SLICE):
+                ids, bounds = enc.ids(some.column(text_col), end_id)
+                for doc, a, b in zip(some.column(id_col).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                    held.append(ids[a:b])
                     names.append(doc)
-                    sizes.append(len(held[-1]) // 4)
-                    n += sizes[-1]
+                    sizes.append(b - a)
+                    n += b - a
                     if n >= BLOCK_IDS:
                         yield flush()
                         held, names, sizes, n, block, first = [], [], [], 0, block + 1, first + n
@@ -112,7 +113,11 @@ def read_documents(written: DataFrame) -> DataFrame:
     return written.join(F.broadcast(bases), "part").mapInArrow(unpack, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def write(spark: SparkSession, docs: DataFrame, vocabulary: str, size: int = 49408, end_id: int = 1) -> DataFrame:
-    """Writes the blocks of all documents to the shared folder and returns them read back. Null texts are empty; an empty table gives no block; repeated rows are kept."""
+def write(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
+    """Writes the blocks of all documents to the shared folder and returns them read back, ids in the bits that the vocabulary file takes.
+
+    Null texts are empty; an empty table gives no block; repeated rows are kept; a null id comes first; other columns, whatever their names, are left out.
+    A very long text is a block of its own.
+    """
     ship(spark)
-    return staged(blocks(docs, vocabulary, size, end_id), "ids")
+    return staged(blocks(docs, vocabulary, vocabulary_size(vocabulary), end_id), "ids")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
-from tidemark.llm.encoders import Spaced, encoder
+from tidemark.llm.encoders import SLICE, Spaced, encoder
 from tidemark.session import ship, staged
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint"
@@ -25,16 +25,14 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
 
     def encode(batches):
         enc, seen, task = encoder(Spaced, vocabulary), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, text_col):
-                out: list[list] = [[] for _ in range(7)]
-                for doc, ids in zip(part.column(id_col).to_pylist(), enc.ids([x or "" for x in part.column(text_col).to_pylist()]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
+            for part in slices(batch, text_col, SLICE):
+                ids, bounds = enc.ids(part.column(text_col), end_id)
+                raw, out = memoryview(ids.tobytes()), [[] for _ in range(7)]
+                for doc, at, n in zip(part.column(id_col).to_pylist(), bounds[:-1].tolist(), np.diff(bounds).tolist(), strict=True):
                     cut = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                     for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
-                        for col, v in zip(out, (doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), task, int(seen[b - a])), strict=True):
+                        for col, v in zip(out, (doc, k, a, b - a, zlib.crc32(raw[4 * (at + a) : 4 * (at + b)]), task, int(seen[b - a])), strict=True):
                             col.append(v)
                         seen[b - a] += 1
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
