@@ -14,6 +14,8 @@ from tidemark.llm.common import slices
 from tidemark.llm.encoders import SLICE, Spaced, encoder
 from tidemark.session import ship, staged
 
+#: Pieces shorter than capacity / SPARE stay out of patterns: they fill the gaps of the residue.
+SPARE = 16
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint"
 
 
@@ -40,74 +42,69 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
     return docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInArrow(encode, PIECES)
 
 
-def patterns(lengths: np.ndarray, capacity: int, deep: int = 3, most: int = 400_000) -> np.ndarray:
-    """All multisets of up to `deep` of the lengths that fill the capacity exactly, as rows padded with 0. Past `most` rows of three, every k-th is kept: their number is bounded by the capacity, not by the data."""
-    present = np.zeros(capacity + 1, bool)
-    present[lengths] = True
-    found = []
-    a = lengths[lengths <= capacity // 2]
-    b = capacity - a
-    found.append(np.stack([a, b, 0 * a], 1)[present[b]])
-    if deep >= 3:
-        x, y = np.meshgrid(lengths, lengths, indexing="ij")
-        x, y = x[x <= y], y[x <= y]
-        z = capacity - x - y
-        keep = (z >= y) & (z > 0)
-        keep[keep] = present[z[keep]]
-        three = np.stack([x[keep], y[keep], z[keep]], 1)
-        found.append(three[:: max(1, -(-len(three) // most))])
-    return np.concatenate(found)
-
-
-def fitted(rows: np.ndarray, counts: np.ndarray, rounds: int = 250) -> np.ndarray:
-    """Non-negative repeat counts x that minimise ||A x - counts||² (projected gradient with momentum; A has a column for each pattern)."""
-    n, slots = len(rows), rows.shape[1]
-    if not n:
-        return np.zeros(0)
-    used = rows > 0
-    flat, who = rows[used], np.nonzero(used)[0]
-    apply = lambda x: np.bincount(flat, x[who], len(counts))
-    pull = lambda r: np.bincount(who, r[flat], n)
-    norm = np.ones(n)
-    for _ in range(8):  # largest eigenvalue of A'A
-        norm = pull(apply(norm))
-        size = np.linalg.norm(norm)
-        norm /= size
-    step = 0.9 / size
-    x = np.zeros(n)
-    y, t = x, 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - step * pull(apply(y) - counts))
-        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y, x, t = new + (t - 1) / after * (new - x), new, after
+def patterns(left: np.ndarray, capacity: int) -> list[list[int]]:
+    """Multisets of lengths still left that fill the capacity exactly: all of two and three, and of four those made of the most frequent pair of each sum. Their number is bounded by the capacity, not by the data."""
+    lengths = np.flatnonzero(left)
+    a, b = np.meshgrid(lengths, lengths, indexing="ij")
+    inside = (a <= b) & (a + b < capacity)
+    a, b = a[inside], b[inside]
+    small = lengths[lengths <= capacity // 2]
+    two = np.stack([small, capacity - small], 1)[left[capacity - small] > 0]
+    c = capacity - a - b
+    three = np.stack([a, b, c], 1)[(c >= b) & (left[c] > 0)]
+    worth = np.where(a == b, left[a] // 2, np.minimum(left[a], left[b]))
+    order = np.lexsort((-worth, a + b))
+    sums, first = np.unique((a + b)[order], return_index=True)
+    best = np.zeros((capacity + 1, 2), np.int64)
+    best[sums] = np.stack([a, b], 1)[order][first]
+    low = np.arange(1, capacity // 2 + 1)
+    low = low[(best[low, 0] > 0) & (best[capacity - low, 0] > 0)]
+    return [*two.tolist(), *three.tolist(), *np.concatenate([best[low], best[capacity - low]], 1).tolist()]
+
+
+def fitted(rows: list[list[int]], counts: np.ndarray, sweeps: int = 3) -> list[float]:
+    """Non-negative repeat counts x that lower ||A x - counts||², a column of A for each pattern: coordinate descent, each count at its own minimum in turn."""
+    gap, x = counts.astype(float).tolist(), [0.0] * len(rows)
+    size = [sum(row.count(v) for v in row) for row in rows]
+    for _ in range(sweeps):
+        for j, row in enumerate(rows):
+            pull = 0.0
+            for v in row:
+                pull += gap[v]
+            new = max(0.0, x[j] + pull / size[j])
+            step = new - x[j]
+            if step:
+                x[j] = new
+                for v in row:
+                    gap[v] -= step
     return x
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) that use up `counts` (pieces by length, a fixed-size histogram): patterns fitted and rounded first, the residue by best fit, longest first."""
+def plan(counts: np.ndarray, capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """((lengths, repeats) that use up `counts`, pieces by length, a fixed-size histogram; how many of these come from patterns).
+
+    Patterns are fitted to the histogram and their counts rounded, one repeat at least, the largest first, as far as pieces last; what is left is fitted anew until
+    no pattern finds its pieces. Only then the residue goes by best fit, longest first.
+    """
     left = counts.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(rows, repeats):
-        for row, k in zip(rows.tolist(), repeats.tolist(), strict=True):
-            need = {}
-            for v in row:
-                if v:
-                    need[v] = need.get(v, 0) + 1
-            k = min([k, *(int(left[v]) // m for v, m in need.items())])
-            if k > 0:
-                out.append((tuple(sorted((v for v in row if v), reverse=True)), k))
-                for v, m in need.items():
-                    left[v] -= k * m
-
     if left[capacity]:
         out.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    rows = patterns(np.flatnonzero(left), capacity)
-    fit = fitted(rows, left.astype(float))
-    order = np.argsort(-fit, kind="stable")
-    order = order[fit[order] > 0.05]
-    take(rows[order], np.floor(fit[order] + 0.5).astype(np.int64))
+    placed = -1
+    while placed < len(out):
+        placed, rows = len(out), patterns(np.where(np.arange(capacity + 1) < capacity // SPARE, 0, left), capacity)
+        fit = fitted(rows, left)
+        held = left.tolist()
+        for j in sorted(range(len(rows)), key=lambda j: -fit[j]):
+            row = rows[j]
+            k = min([max(1, int(fit[j] + 0.5)), *(held[v] // row.count(v) for v in row)])
+            if k > 0:
+                out.append((tuple(sorted(row, reverse=True)), k))
+                for v in row:
+                    held[v] -= k
+        left = np.array(held, np.int64)
+    from_patterns = len(out)
     # Residue: the bins open at each free length, as (contents, number of equal bins).
     room: list[list[list]] = [[] for _ in range(capacity + 1)]
     for size in np.flatnonzero(left)[::-1].tolist():
@@ -128,8 +125,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
                 room[capacity - each * size].append([(size,) * each, n // each])
             if n % each:
                 room[capacity - n % each * size].append([(size,) * (n % each), 1])
-    out += [(held, k) for bins in room for held, k in bins]
-    return out
+    return out + [(held, k) for bins in room for held, k in bins], from_patterns
 
 
 def pack(found: DataFrame, capacity: int) -> DataFrame:
@@ -141,7 +137,7 @@ def pack(found: DataFrame, capacity: int) -> DataFrame:
     for length, n in found.groupBy("length").agg(F.count("*")).collect():
         counts[length] = n
     used, first, key, seq, off = np.zeros(capacity + 1, np.int64), 0, [], [], []
-    for held, k in plan(counts, capacity):
+    for held, k in plan(counts, capacity)[0]:
         at = 0
         for v in held:
             key.append((v << 44) + used[v])
@@ -166,7 +162,8 @@ def pack(found: DataFrame, capacity: int) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Empty tables give an empty result; null texts are empty; repeated rows are packed each for itself; other columns are left out.
+    Empty tables give an empty result; null texts are empty; repeated rows and null ids are packed each for itself; other columns, whatever their names, are left out.
+    A text longer than `capacity` is cut into pieces.
     """
     ship(spark)
     return pack(staged(pieces(docs, vocabulary, end_id, capacity), "pieces"), capacity)
