@@ -74,4 +74,26 @@ def test_repeat_groups_have_all_occurrences():
     import pyarrow as pa
 
     table = pa.table({"h": [1, 1, 1], "c": [1, 2, 3], "back": [1, 1, 1], "front": [0, 0, 0], "context": [b"xabcd", b"yabcd", b"zabcd"]})
-    assert list(substrings.repeat_groups(table, 4).values()) == [[(0, 0), (1, 0), (2, 0)]]
+    assert substrings.repeat_groups(table, 4) == [(4, [(0, 0), (1, 0), (2, 0)])]
+
+
+def test_interval_tree_against_all_substrings():
+    import random
+
+    import numpy as np
+
+    r = random.Random(4)
+    for _ in range(200):
+        texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(2, 9))]
+        before = [r.choice([97, 98, -1 - k]) for k in range(len(texts))]
+        root = np.sort([r.randrange(2) for _ in texts])
+        order, found = substrings.intervals(root, texts, np.array(before))
+        want = set()
+        for k in set(root.tolist()):
+            own = [i for i in range(len(texts)) if root[i] == k]
+            for p in {texts[i][:n] for i in own for n in range(len(texts[i]) + 1)}:
+                same = [i for i in own if texts[i].startswith(p)]
+                longer = {texts[i][len(p) : len(p) + 1] for i in same}
+                if len(same) > 1 and (len(longer) > 1 or longer == {b""}) and len({before[i] for i in same}) > 1:
+                    want.add((len(p), frozenset(same)))
+        assert {(n, frozenset(order[a : b + 1].tolist())) for a, b, n in found} == want

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tidemark.session import ship, staged
 
 #: Rows of an index block and queries of a query block.
-ROWS, QUERIES = 8192, 256
+ROWS, QUERIES = 32768, 256
+#: Query blocks that share one copy of an index block.
+SHARED = 2
 COARSE = 2
 
 
@@ -123,7 +125,10 @@ def _blocks(rows: DataFrame, per: int, name: str) -> DataFrame:
         order = np.argsort(np.asarray(table.column("vec_id").fill_null(-(1 << 63))), kind="stable")
         table = table.take(pa.array(order))
         n = table.column("n")[0].as_py()
-        values = np.asarray(table.column("values").combine_chunks().flatten()).astype("<i8").reshape(-1, n)
+        values = np.asarray(table.column("values").combine_chunks().flatten())
+        if len(values) and max(values.max(), -values.min()) >= 1 << 31:
+            raise ValueError("a component is beyond 32 bits")
+        values = values.astype("<i4").reshape(-1, n)
         return pa.table({"n": pa.array([n], pa.int32()), name: table.column("block").combine_chunks()[:1].cast(pa.int64()), "ids": pa.array([np.asarray(table.column("vec_id").fill_null(-(1 << 63))).astype("<i8").tobytes()]), "values": pa.array([values.tobytes()])})
 
     return dealt.select("n", "block", "vec_id", "values").groupBy("n", "block").applyInArrow(build, f"n int, {name} bigint, ids binary, values binary")
@@ -132,24 +137,32 @@ def _blocks(rows: DataFrame, per: int, name: str) -> DataFrame:
 def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of `vectors` with the highest integer inner product for each row of `queries`, its own id left out.
 
-    Queries and rows meet in blocks. Vectors of different lengths do not meet. Empty tables give no row; repeated rows count each; other columns are left out.
+    Queries and rows meet in blocks: a task has a copy of one index block and a few query blocks. Vectors of different lengths do not meet. Empty tables give no row; repeated rows count each; other columns are left out.
     Components must stay below 2**31 / scale in size. The result holds k rows for a query, or all if there are fewer.
     """
     ship(spark)
     index = staged(_blocks(quantised(vectors, id_col=id_col, vec_col=vec_col), ROWS, "block"), "index")
-    asked = _blocks(quantised(queries, id_col=id_col, vec_col=vec_col), QUERIES, "part")
-    spread = asked.join(index.select(F.col("n").alias("n2"), "block"), F.col("n") == F.col("n2")).select(F.col("n").alias("qn"), F.col("block").alias("qb"), "part", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
-    met = spread.join(index, (F.col("qn") == F.col("n")) & (F.col("qb") == F.col("block"))).select("n", "block", "part", "q_ids", "q_values", "ids", "values")
+    asked = staged(_blocks(quantised(queries, id_col=id_col, vec_col=vec_col), QUERIES, "part"), "asked")
+    # One row for each vector length: how many index blocks there are, and how many copies of each the query blocks need.
+    many = index.groupBy("n").agg(F.max("block").alias("last")).join(asked.groupBy("n").agg((F.floor(F.max("part") / SHARED) + 1).cast("bigint").alias("copies")), "n")
+    zero = F.lit(0).cast("bigint")
+    rows = index.join(F.broadcast(many), "n").select("n", "block", F.explode(F.sequence(zero, F.col("copies") - 1)).alias("copy"), F.lit(-1).cast("bigint").alias("part"), "ids", "values")
+    tasks = asked.join(F.broadcast(many), "n").select("n", F.explode(F.sequence(zero, "last")).alias("block"), F.floor(F.col("part") / SHARED).cast("bigint").alias("copy"), "part", "ids", "values")
+    met = rows.unionByName(tasks).repartition("n", "block", "copy").sortWithinPartitions("n", "block", "copy", "part")  # the index block comes first
 
     def search(batches):
-        name, block = None, None
+        block, name = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                if (row["n"], row["block"]) != name:
-                    name, block = (row["n"], row["block"]), Block(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["values"], "<i8").reshape(-1, row["n"]))
+                held, values = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["values"], "<i4").reshape(-1, row["n"]).astype(np.int64)
+                own_name = (row["n"], row["block"], row["copy"])
+                if row["part"] < 0:
+                    block, name = Block(held, values), own_name
+                if row["part"] < 0 or own_name != name:  # no row fell into this block
+                    continue
                 out: list[list] = [[], [], [], []]
-                for j, (own, q) in enumerate(zip(np.frombuffer(row["q_ids"], "<i8").tolist(), np.frombuffer(row["q_values"], "<i8").reshape(-1, row["n"]), strict=True)):
+                for j, (own, q) in enumerate(zip(held.tolist(), values, strict=True)):
                     ids, scores = block.best(q, own, k)
                     out[0] += [own] * len(ids)
                     out[1] += [row["part"] * QUERIES * 64 + j] * len(ids)
@@ -157,7 +170,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
                     out[3] += scores.tolist()
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["query_id", "asked", "vec_id", "score"])
 
-    found = met.repartition("n", "block", "part").sortWithinPartitions("n", "block").mapInArrow(search, "query_id bigint, asked bigint, vec_id bigint, score bigint")
+    found = met.mapInArrow(search, "query_id bigint, asked bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id", "asked").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
