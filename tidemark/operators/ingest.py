@@ -90,7 +90,7 @@ def one_year_back(ts: Column) -> Column:
 def resolve_run(runs: DataFrame, **equal) -> DataFrame:
     """The run with these values, if there is exactly one."""
     found = runs.where(reduce(lambda a, b: a & b, [F.col(k) == v for k, v in equal.items()], F.lit(True)))
-    return found.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1)))).where("_n = 1").drop("_n")
+    return found.agg(F.count("*").alias("_n"), F.any_value(F.struct(*runs.columns)).alias("_r")).where("_n = 1").select("_r.*")
 
 
 def consolidate(ticks: DataFrame, start: Column, end: Column, cap: int) -> DataFrame:
@@ -101,11 +101,12 @@ def consolidate(ticks: DataFrame, start: Column, end: Column, cap: int) -> DataF
 
 
 def diagnostics(ticks: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Raw, malformed, eligible and duplicate counts by asset."""
+    """Raw, malformed, eligible and duplicate counts by asset: of the ticks of one millisecond in range the first is eligible, the later ones are duplicates."""
     ok = F.col("funding_rate").isNotNull() & ~F.isnan("funding_rate")
     inside = ok & (F.col("observed_at") >= start) & (F.col("observed_at") <= end)
-    g = ticks.groupBy("asset").agg(F.count("*").alias("raw"), F.count_if(~ok).alias("malformed"), F.count_if(inside).alias("eligible"), F.count_distinct(F.when(inside, F.date_trunc("hour", "observed_at"))).alias("_d"))
-    return g.select("asset", "raw", "malformed", "eligible", (F.col("eligible") - F.col("_d")).alias("duplicate"))
+    each = ticks.groupBy("asset", F.when(inside, F.unix_millis("observed_at")).alias("_ms")).agg(F.count("*").alias("_raw"), F.count_if(~ok).alias("_bad"))
+    first = F.col("_ms").isNotNull()
+    return each.groupBy("asset").agg(F.sum("_raw").alias("raw"), F.sum("_bad").alias("malformed"), F.count_if(first).alias("eligible"), F.coalesce(F.sum(F.when(first, F.col("_raw") - 1)), F.lit(0)).alias("duplicate"))
 
 
 def candle_normalize(candles: DataFrame, start: Column, end: Column, limit: int) -> tuple[DataFrame, DataFrame]:

@@ -131,14 +131,41 @@ def bootstrap_poisson_ci(outcomes: DataFrame, keys: list[str], replicates: int =
     return ordered.select(*keys, F.element_at("_all", F.floor(0.025 * (F.size("_all") - 1)).cast("int") + 1).alias("ci_low"), F.element_at("_all", F.floor(0.975 * (F.size("_all") - 1)).cast("int") + 1).alias("ci_high"))
 
 
+#: Bits of a draw that tell its bucket where rows are ranked by their draws.
+RANK_BITS = 10
+
+
+def lowest(rows: DataFrame, sizes: DataFrame, keys: list[str], value: str = "_v") -> DataFrame:
+    """sum of `value` over the `_k` rows of smallest (_u, id) of each key, and over all: keys, _low, _all, _n. sizes: keys, _k.
+
+    Rows are counted by the first bits of their draw; only those in the bucket where the k-th falls are ranked, so no task holds a key. The places of these
+    buckets are one row for each key (a study's cells and replicates), which Spark broadcasts where it is small.
+    """
+    cell = F.shiftright("_u", 32 - RANK_BITS)
+    held = rows.groupBy(*keys, cell.alias("_cell")).agg(F.count("*").alias("_c"), F.sum(value).alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.partitionBy(*keys)
+    placed = held.select(*keys, "_cell", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_below"), F.sum("_s").over(all_).alias("_all"), F.sum("_c").over(all_).alias("_n"))
+    sized = placed.join(sizes.select(*keys_of(sizes, keys), "_k"), keys_of(sizes, keys))
+    edge = sized.where((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") >= F.col("_k")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_u", "id"))
+    near = rows.withColumn("_cell", cell).join(edge.select(*keys, "_cell", "_before", "_k"), [*keys, "_cell"]).withColumn("_r", rank + F.col("_before"))
+    part = near.groupBy(*keys).agg(F.sum(F.when(F.col("_r") <= F.col("_k"), F.col(value))).alias("_part"))
+    return edge.join(part, keys).select(*keys, (F.col("_below") + F.col("_part")).alias("_low"), "_all", "_n", "_k")
+
+
+def keys_of(sizes: DataFrame, keys: list[str]) -> list[str]:
+    return [k for k in keys if k in sizes.columns]
+
+
 def permutation_p(outcomes: DataFrame, keys: list[str], replicates: int = 1000, seed: int = 20260901, value: str = "outcome", flag: str = "treated") -> DataFrame:
     """(count(|diff*| >= |diff|) + 1) / (B + 1) over label permutations: in each replicate the rows of smallest hash play the treated ones."""
     known = outcomes.where(F.col(value).isNotNull()).select(*keys, "id", F.col(flag).alias("_t"), F.col(value).alias("_v"))
-    real = known.groupBy(*keys).agg(F.count_if(F.col("_t")).alias("_nt"), F.count("*").alias("_n"), (F.avg(F.when(F.col("_t"), F.col("_v"))) - F.avg(F.when(~F.col("_t"), F.col("_v")))).alias("diff"))
+    real = known.groupBy(*keys).agg(F.count_if(F.col("_t")).alias("_k"), (F.avg(F.when(F.col("_t"), F.col("_v"))) - F.avg(F.when(~F.col("_t"), F.col("_v")))).alias("diff"))
     reps = known.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_u", draw(seed, F.col("_rep"), F.col("id")))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_rep").orderBy("_u", "id"))
-    again = reps.withColumn("_r", rank).join(real, keys).groupBy(*keys, "_rep").agg((F.avg(F.when(F.col("_r") <= F.col("_nt"), F.col("_v"))) - F.avg(F.when(F.col("_r") > F.col("_nt"), F.col("_v")))).alias("_d"), F.max("diff").alias("diff"))
-    return again.groupBy(*keys).agg(F.max("diff").alias("diff"), ((F.count_if(F.abs("_d") >= F.abs("diff") - 1e-15) + 1) / (replicates + 1)).alias("p_value"))
+    got = lowest(reps, real.where("_k > 0"), [*keys, "_rep"]).withColumn("_d", F.try_divide("_low", "_k") - F.try_divide(F.col("_all") - F.col("_low"), F.col("_n") - F.col("_k")))
+    hits = got.join(real.select(*keys, "diff"), keys).groupBy(*keys).agg(F.count_if(F.abs("_d") >= F.abs("diff") - 1e-12).alias("_hits"))
+    return real.join(hits, keys, "left").select(*keys, "diff", ((F.coalesce("_hits", F.lit(0)) + 1) / (replicates + 1)).alias("p_value"))
 
 
 def role(level: str = "level", population: str = "population", horizon: str = "horizon", pooled: str = "POOLED", primary: int = 24) -> Column:
@@ -159,16 +186,18 @@ def control_sample(outcomes: DataFrame, keys: list[str], seed: int, value: str =
     """Mean of a hash-ordered sample of ordinary rows (as many as treated, at most) against all ordinary rows."""
     known = outcomes.where(F.col(value).isNotNull())
     size = known.groupBy(*keys).agg(F.least(F.count_if(F.col(flag)), F.count_if(~F.col(flag))).alias("_k"))
-    ranked = known.where(~F.col(flag)).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(draw(seed, F.col("id")), "id"))).join(size, keys)
-    return ranked.groupBy(*keys).agg((F.avg(F.when(F.col("_r") <= F.col("_k"), F.col(value))) - F.avg(value)).alias("control_diff"))
+    rows = known.where(~F.col(flag)).select(*keys, "id", F.col(value).alias("_v"), draw(seed, F.col("id")).alias("_u"))
+    got = lowest(rows, size.where("_k > 0"), keys)
+    return size.select(*keys).join(got.select(*keys, (F.col("_low") / F.col("_k") - F.col("_all") / F.col("_n")).alias("control_diff")), keys, "left")
 
 
 def control_shuffled(outcomes: DataFrame, keys: list[str], seed: int, value: str = "outcome", flag: str = "treated") -> DataFrame:
     """Mean difference under one permutation of the labels."""
     known = outcomes.where(F.col(value).isNotNull())
     size = known.groupBy(*keys).agg(F.count_if(F.col(flag)).alias("_k"))
-    ranked = known.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(draw(seed, F.col("id")), "id"))).join(size, keys)
-    return ranked.groupBy(*keys).agg((F.avg(F.when(F.col("_r") <= F.col("_k"), F.col(value))) - F.avg(F.when(F.col("_r") > F.col("_k"), F.col(value)))).alias("shuffled_diff"))
+    got = lowest(known.select(*keys, "id", F.col(value).alias("_v"), draw(seed, F.col("id")).alias("_u")), size.where("_k > 0"), keys)
+    diff = F.col("_low") / F.col("_k") - F.try_divide(F.col("_all") - F.col("_low"), F.col("_n") - F.col("_k"))
+    return size.select(*keys).join(got.select(*keys, diff.alias("shuffled_diff")), keys, "left")
 
 
 def placebo(outcomes: DataFrame, keys: list[str], low: float = 45.0, high: float = 55.0, value: str = "outcome") -> DataFrame:
@@ -228,5 +257,6 @@ def event_dataset(ticks: DataFrame, candles: DataFrame, spec: str, horizons: tup
 
 
 def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free digest of a dataset: the count, and the exclusive or of the rows' hashes."""
-    return rows.agg(F.count("*").alias("n_rows"), F.bit_xor(F.xxhash64(*columns)).alias("digest"))
+    """Order-free digest of a dataset: the count, and the exclusive or of the first 60 bits of the rows' MD5."""
+    own = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return rows.agg(F.count("*").alias("n_rows"), F.bit_xor(own).alias("digest"))

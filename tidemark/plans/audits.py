@@ -20,7 +20,7 @@ def _coverage(s, d):
 
 
 def _availability(s, d):
-    m = metrics.anchor_returns(candle(s, d)).select("asset", "observed_at", F.concat(F.lit("return_"), F.col("horizon"), F.lit("h")).alias("metric_name"), F.col("return").alias("metric_value"))
+    m = metrics.long_metrics(funding(s, d), candle(s, d))
     return audits.metric_availability(m, candle(s, d), ["return_1h", "return_4h", "return_24h", "volatility_24h"])
 
 
@@ -46,9 +46,10 @@ _COV = f""", g AS (SELECT asset, epoch_us(observed_at) / 1e6 AS t, epoch_us(obse
 cov AS (SELECT asset, count(*) AS n_rows, min(t) - epoch(TIMESTAMP '{START}') AS start_delta, epoch(TIMESTAMP '{END}') - max(t) AS end_delta, min(gap) AS min_gap, max(gap) AS max_gap,
   CAST(sum(CASE WHEN gap > 3600 THEN greatest(0.0, round_even(gap / 3600, 0) - 1) ELSE 0 END) AS BIGINT) AS n_missing, count(*) FILTER (WHERE gap > 3660) AS n_abnormal FROM g GROUP BY asset),
 cr AS (SELECT *, concat_ws(',', CASE WHEN start_delta > 60 THEN 'late_start' END, CASE WHEN end_delta > 3660 THEN 'early_end' END, CASE WHEN n_missing > 0 THEN 'missing_intervals' END, CASE WHEN n_abnormal > 0 THEN 'abnormal_gaps' END) AS reasons FROM cov)"""
-_AV = """, lat AS (SELECT asset, max(observed_at) AS at FROM candle GROUP BY asset),
-av AS (SELECT l.asset, m.n AS metric_name, CASE WHEN m.h IS NULL OR b.mark_price IS NULL OR b.mark_price = 0 THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS status FROM lat l CROSS JOIN (VALUES ('return_1h', 1), ('return_4h', 4), ('return_24h', 24), ('volatility_24h', NULL)) m(n, h)
-  LEFT JOIN candle b ON b.asset = l.asset AND b.observed_at = l.at - to_hours(m.h))"""
+_AV = """, vol AS (SELECT asset, observed_at, CASE WHEN count(*) OVER x = 24 AND count(q) OVER x = 24 AND count(sr) OVER x >= 2 THEN stddev_samp(sr) OVER x END AS volatility FROM logret WINDOW x AS (PARTITION BY asset ORDER BY observed_at RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW)),
+lat AS (SELECT asset, max(observed_at) AS at FROM candle GROUP BY asset),
+av AS (SELECT l.asset, m.n AS metric_name, CASE WHEN m.h IS NULL AND v.volatility IS NOT NULL OR b.mark_price <> 0 THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS status FROM lat l CROSS JOIN (VALUES ('return_1h', 1), ('return_4h', 4), ('return_24h', 24), ('volatility_24h', NULL)) m(n, h)
+  LEFT JOIN candle b ON b.asset = l.asset AND b.observed_at = l.at - to_hours(m.h) LEFT JOIN vol v ON v.asset = l.asset AND v.observed_at = l.at)"""
 _STUDY = """, a1 AS (SELECT asset, min(observed_at) AS first_at, max(observed_at) AS last_at, count(*) AS n_events, count(*) FILTER (WHERE treated) AS n_treated, coalesce(max(regime), 0) AS n_regimes FROM ev GROUP BY asset),
 a2 AS (SELECT asset, date_diff('hour', min(observed_at), max(observed_at)) + 1 AS expected_hours, count(DISTINCT observed_at) AS present_hours FROM candle GROUP BY asset),
 a3 AS (SELECT asset, count(*) FILTER (WHERE horizon = 1 AND outcome IS NULL) AS missing_1h, count(*) FILTER (WHERE horizon = 4 AND outcome IS NULL) AS missing_4h, count(*) FILTER (WHERE horizon = 24 AND outcome IS NULL) AS missing_24h FROM outc GROUP BY asset)"""

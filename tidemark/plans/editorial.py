@@ -67,6 +67,7 @@ QUERIES = {
     "publication_state": lambda s, d: table(s, d, "orders").where("o_orderstatus = 'O'").join(table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey"),
     "missing_days": lambda s, d: (o := table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderdate").cast("date").alias("day"))).agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day")).join(o.distinct(), "day", "left_anti"),
     "recent_duplicates": lambda s, d: _recent(s, d),
+    "weekly_top": lambda s, d: E.top_per(hypotheses(s, d).withColumn("week", F.date_trunc("week", "as_of").cast("date")), ["week"], [F.col("score").desc(), "id"], 10).select(F.col("week").cast("string").alias("week"), "id", "rank"),
     "topic_briefs": lambda s, d: E.top_per(items(s, d).select(F.col("lang").alias("topic_id"), "source_name", "id"), ["topic_id", "source_name"], ["id"], 4).join(table(s, d, "documents").where("lang = 'fr'").select(F.col("lang").alias("topic_id"), F.col("source").alias("source_name")).distinct(), ["topic_id", "source_name"], "left_anti").select("topic_id", "source_name", "id", "rank"),
     "accepted_claims": lambda s, d: items(s, d).where(E.pair_gate(F.col("raw_text"), [("thatin", "inoran"), ("hehely", "thing")]) & (F.col("quality") == 1) & (F.trim("title") != "")).groupBy("source_name").agg(F.count("*").alias("claims"), F.min("id").alias("first_id")),
     "publication_register": lambda s, d: table(s, d, "orders").select(F.col("o_custkey").alias("draft"), F.col("o_orderpriority").alias("platform")).distinct().join(table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("draft"), F.col("o_orderpriority").alias("platform")).distinct(), ["draft", "platform"], "left_anti"),
@@ -149,6 +150,7 @@ ORACLE = {
     "publication_state": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "missing_days": "WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority = '1-URGENT'), s AS (SELECT CAST(unnest(range(min(day), max(day) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM o) SELECT day FROM s WHERE day NOT IN (SELECT day FROM o)",
     "recent_duplicates": sql(", i AS (SELECT id, CAST(published_at AS DATE) AS day, substr(trim(regexp_replace(lower(raw_text), '\\s+', ' ', 'g')), 1, 400) AS p FROM items WHERE published_at IS NOT NULL) SELECT DISTINCT a.id FROM i a JOIN i b ON a.p = b.p AND a.id <> b.id AND b.day <= a.day AND b.day >= a.day - INTERVAL 7 DAY"),
+    "weekly_top": sql("SELECT CAST(CAST(date_trunc('week', as_of) AS DATE) AS VARCHAR) AS week, id, CAST(row_number() OVER (PARTITION BY date_trunc('week', as_of) ORDER BY score DESC, id) AS INTEGER) AS rank FROM hypotheses QUALIFY rank <= 10"),
     "topic_briefs": sql("SELECT lang AS topic_id, source_name, id, CAST(row_number() OVER (PARTITION BY lang, source_name ORDER BY id) AS INTEGER) AS rank FROM items WHERE lang <> 'fr' QUALIFY rank <= 4"),
     "accepted_claims": sql("SELECT source_name, count(*) AS claims, min(id) AS first_id FROM items WHERE quality = 1 AND trim(title) <> '' AND ((contains(lower(raw_text), 'thatin') AND contains(lower(raw_text), 'inoran')) OR (contains(lower(raw_text), 'hehely') AND contains(lower(raw_text), 'thing'))) GROUP BY 1"),
     "publication_register": "SELECT DISTINCT o_custkey AS draft, o_orderpriority AS platform FROM orders EXCEPT SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'",

@@ -51,7 +51,13 @@ def _opens(s, d):
     return table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("asset"), F.when(F.col("event_id") % 3 == 0, F.col("ts")).otherwise(F.date_trunc("hour", "ts")).alias("open_at"), "value")
 
 
+def _twice(ticks):
+    """Every seventh tick a second time."""
+    return ticks.unionByName(ticks.where("id % 7 = 0"))
+
+
 QUERIES = {
+    "asof_dated": lambda s, d: pit.records_as_of(items(s, d), _ts(LOW), keep_undated=False).select("id", F.lit(True).alias("kept")),
     "asof_records": lambda s, d: pit.records_as_of(items(s, d), _ts(LOW)).select("id", F.lit(True).alias("kept")),
     "dispositions": lambda s, d: pit.dispositions(items(s, d), items(s, d).where("id % 4 <> 0").select(F.col("id").alias("source_item_id")), _ts(HIGH), F.lower(F.concat_ws(" ", "title", "raw_text")).rlike("ing")).select("id", "disposition", "reason_code"),
     "ingest_insert_only": lambda s, d: I.insert_only(_docs(s, d), _docs(s, d).where("id % 2 = 0 AND id < 400"), ["key"], ["id"]),
@@ -72,7 +78,7 @@ QUERIES = {
     "resolve_run": lambda s, d: out(I.resolve_run(runs(s, d), status="FAILED")),
     "collection_run": lambda s, d: _docs(s, d).groupBy("source_name").agg(F.count("*").alias("retrieved"), F.count_distinct("key").alias("inserted"), (F.count("*") - F.count_distinct("key")).alias("duplicates")).withColumn("status", F.when(F.col("duplicates") > 0, "PARTIAL").otherwise("SUCCESS")),
     "funding_consolidate": lambda s, d: out(I.consolidate(funding(s, d), _ts(LOW), _ts(HIGH), 300).select("id", "asset", "time_ms", "rn")),
-    "funding_diagnostics": lambda s, d: I.diagnostics(funding(s, d).withColumn("funding_rate", F.when(F.col("id") % 23 == 0, F.lit(float("nan"))).when(F.col("id") % 29 != 0, F.col("funding_rate"))), _ts(LOW), _ts(HIGH)),
+    "funding_diagnostics": lambda s, d: I.diagnostics(_twice(funding(s, d)).withColumn("funding_rate", F.when(F.col("id") % 23 == 0, F.lit(float("nan"))).when(F.col("id") % 29 != 0, F.col("funding_rate"))), _ts(LOW), _ts(HIGH)),
     "candle_normalize": lambda s, d: out(I.candle_normalize(_opens(s, d), _ts(LOW), _ts(HIGH), 500)[0].select("id", "asset", "open_at", "close_at", "rn")),
     "candle_quarantine": lambda s, d: I.candle_normalize(_opens(s, d), _ts(LOW), _ts(HIGH), 500)[1],
 }
@@ -86,6 +92,7 @@ _B = ", b AS (SELECT asset, CAST(date_trunc('day', min(observed_at)) AS TIMESTAM
 _O = f", o AS (SELECT event_id AS id, event_type AS asset, CASE WHEN event_id % 3 = 0 THEN ts ELSE CAST(date_trunc('hour', ts) AS TIMESTAMP) END AS open_at FROM events), i AS (SELECT *, date_trunc('hour', open_at) = open_at AS aligned FROM o WHERE open_at {_RANGE})"
 
 ORACLE = {
+    "asof_dated": sql(f"SELECT id, true AS kept FROM items WHERE published_at <= TIMESTAMP '{LOW}'"),
     "asof_records": sql(f"SELECT id, true AS kept FROM items WHERE published_at IS NULL OR published_at <= TIMESTAMP '{LOW}'"),
     "dispositions": sql(f", c AS (SELECT id, CASE WHEN published_at IS NULL OR published_at > TIMESTAMP '{HIGH}' THEN 1 WHEN retrieved_at > TIMESTAMP '{HIGH}' THEN 2 WHEN NOT contains(lower(title || ' ' || raw_text), 'ing') THEN 3 WHEN id % 4 = 0 THEN 4 END AS k FROM items) SELECT id, CASE k WHEN 1 THEN 'REJECTED_AVAILABILITY' WHEN 2 THEN 'REJECTED_AVAILABILITY' WHEN 3 THEN 'REJECTED_RELEVANCE' WHEN 4 THEN 'RETAINED_LEGACY_UNARCHIVED' ELSE 'RETAINED' END AS disposition, CASE k WHEN 1 THEN 'PUBLISHED_AFTER_AS_OF' WHEN 2 THEN 'RETRIEVED_AFTER_AS_OF' WHEN 3 THEN 'STRICT_TOPIC_GATE' WHEN 4 THEN 'NO_RAW_ARCHIVE_RECEIPT' END AS reason_code FROM c"),
     "ingest_insert_only": sql(_K + " SELECT key, id, source_name, lang FROM k WHERE key NOT IN (SELECT key FROM k WHERE id % 2 = 0 AND id < 400) QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) = 1"),
@@ -106,7 +113,7 @@ ORACLE = {
     "resolve_run": sql("SELECT * FROM runs WHERE status = 'FAILED'"),
     "collection_run": sql(_K + " SELECT source_name, count(*) AS retrieved, count(DISTINCT key) AS inserted, count(*) - count(DISTINCT key) AS duplicates, CASE WHEN count(*) > count(DISTINCT key) THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM k GROUP BY source_name"),
     "funding_consolidate": sql(f", t AS (SELECT id, asset, epoch_us(observed_at) // 1000 AS time_ms FROM funding WHERE observed_at {_RANGE} QUALIFY row_number() OVER (PARTITION BY asset, epoch_us(observed_at) // 1000 ORDER BY id) = 1) SELECT id, asset, time_ms, row_number() OVER (PARTITION BY asset ORDER BY time_ms) AS rn FROM t QUALIFY rn <= 300"),
-    "funding_diagnostics": sql(f", t AS (SELECT *, id % 23 <> 0 AND id % 29 <> 0 AND funding_rate IS NOT NULL AS ok FROM funding) SELECT asset, count(*) AS raw, count(*) FILTER (WHERE NOT ok) AS malformed, count(*) FILTER (WHERE ok AND observed_at {_RANGE}) AS eligible, count(*) FILTER (WHERE ok AND observed_at {_RANGE}) - count(DISTINCT date_trunc('hour', observed_at)) FILTER (WHERE ok AND observed_at {_RANGE}) AS duplicate FROM t GROUP BY asset"),
+    "funding_diagnostics": sql(f", twice AS (FROM funding UNION ALL FROM funding WHERE id % 7 = 0), t AS (SELECT *, id % 23 <> 0 AND id % 29 <> 0 AND funding_rate IS NOT NULL AS ok FROM twice) SELECT asset, count(*) AS raw, count(*) FILTER (WHERE NOT ok) AS malformed, count(DISTINCT epoch_ms(observed_at)) FILTER (WHERE ok AND observed_at {_RANGE}) AS eligible, count(*) FILTER (WHERE ok AND observed_at {_RANGE}) - count(DISTINCT epoch_ms(observed_at)) FILTER (WHERE ok AND observed_at {_RANGE}) AS duplicate FROM t GROUP BY asset"),
     "candle_normalize": sql(_O + " SELECT id, asset, open_at, open_at + INTERVAL 1 HOUR AS close_at, row_number() OVER (PARTITION BY asset ORDER BY open_at, id) AS rn FROM i WHERE aligned QUALIFY rn <= 500"),
     "candle_quarantine": sql(_O + " SELECT id, asset, 'UNALIGNED_OPEN' AS reason FROM i WHERE NOT aligned"),
 }

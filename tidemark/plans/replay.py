@@ -39,6 +39,17 @@ def _rss(s, d):
     return table(s, d, "documents").select(F.when(F.col("doc_id") % 3 == 0, x).otherwise(j).alias("payload"))
 
 
+def _undated(s, d):
+    """RSS items without dates: every third has a guid alone, every fifth neither."""
+    link = F.when((F.col("doc_id") % 3 != 0) & (F.col("doc_id") % 5 != 0), F.concat(F.lit("<link>http://x/"), "doc_id", F.lit("</link>"))).otherwise("")
+    guid = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("<guid>guid"), "doc_id", F.lit("</guid>"))).otherwise("")
+    return table(s, d, "documents").select(F.concat(F.lit("<rss><channel><item><title>"), _title(), F.lit("</title>"), link, guid, F.lit("<description>"), "lang", F.lit("</description></item></channel></rss>")).alias("payload"))
+
+
+def _described(s, d):
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_name"), F.create_map(F.lit("lang"), "lang", F.lit("access_mode"), "source").alias("metadata"))
+
+
 def _works(s, d):
     w = F.struct(F.concat(F.lit("https://works/W"), "doc_id").alias("id"), _title().alias("title"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://doi.org/10.1/A"), "doc_id")).alias("doi"), F.when(F.col("doc_id") % 7 != 0, _stamp("yyyy-MM-dd")).alias("publication_date"), (F.col("doc_id") % 3 == 0).alias("is_oa"), F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("http://oa/"), "doc_id")).alias("oa_url"), F.lit("").alias("landing_url"), F.array(F.struct(F.col("source").alias("name")), F.struct(F.col("lang").alias("name"))).alias("authorships"), F.array(F.col("lang")).alias("topics"))
     return table(s, d, "documents").select(F.to_json(F.struct(F.array(w).alias("results"))).alias("payload"))
@@ -70,6 +81,8 @@ QUERIES = {
     "weekly_snapshot": lambda s, d: dates(R.weekly_snapshot(hypotheses(s, d), E.week_ending(F.col("as_of")))),
     "parse_atom": lambda s, d: out(P.atom(_atom(s, d), F.lit("2024-01-10 00:00:00").cast("timestamp")).select("external_id", "title", "published_at", F.array_join("authors", ";").alias("authors"), F.array_join("categories", ";").alias("categories"))),
     "parse_rss": lambda s, d: out(P.feed(_rss(s, d)).select("external_id", "title", "published_at")),
+    "parse_rss_undated": lambda s, d: P.undated_feed(_undated(s, d)),
+    "relabel_feed": lambda s, d: P.relabelled(_described(s, d), "mirror", {"access_mode": "OPEN_ACCESS", "origin": "mirror"}).select("id", "source_name", *(F.col("metadata")[k].alias(k) for k in ("lang", "access_mode", "origin"))),
     "parse_works_json": lambda s, d: dates(P.works_json(_works(s, d))),
     "parse_doi_json": lambda s, d: dates(P.doi_json(_doi(s, d))),
     "inverted_index_text": lambda s, d: _index(s, d).select("doc_id", P.inverted_text(F.col("index")).alias("text")),
@@ -92,6 +105,8 @@ ORACLE = {
     "weekly_snapshot": dated(sql(", w AS (SELECT *, CAST(as_of + CAST((6 - dayofweek(as_of) + 7) % 7 AS INTEGER) AS DATE) AS week_ending FROM hypotheses), f AS (SELECT week_ending, count(*) FILTER (WHERE k > 1) AS recurrent, count(*) FILTER (WHERE k = 1) AS new FROM (SELECT week_ending, fingerprint, count(*) AS k FROM w GROUP BY ALL) GROUP BY 1) SELECT week_ending, count(*) AS n, count(DISTINCT as_of) AS n_days, 7 - count(DISTINCT as_of) AS missing_days, any_value(recurrent) AS recurrent, any_value(new) AS new FROM w JOIN f USING (week_ending) GROUP BY 1"), "week_ending"),
     "parse_atom": f"SELECT CAST(doc_id AS VARCHAR) AS external_id, {_T} AS title, CASE WHEN doc_id % 5 <> 0 THEN {_S} END AS published_at, source AS authors, lang AS categories FROM documents WHERE doc_id % 5 = 0 OR {_S} >= TIMESTAMP '2024-01-10'",
     "parse_rss": f"SELECT CASE WHEN doc_id % 3 = 0 THEN 'http://x/' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS external_id, {_T} AS title, {_S} AS published_at FROM documents WHERE {_T} <> '' AND (doc_id % 3 = 0 OR doc_id % 6 <> 0)",
+    "parse_rss_undated": f"SELECT CASE WHEN doc_id % 3 = 0 THEN 'guid' || doc_id ELSE 'http://x/' || doc_id END AS external_id, {_T} AS title, lang AS raw_text FROM documents WHERE {_T} <> '' AND doc_id % 5 <> 0",
+    "relabel_feed": "SELECT doc_id AS id, 'mirror' AS source_name, lang, 'OPEN_ACCESS' AS access_mode, 'mirror' AS origin FROM documents",
     "parse_works_json": f"SELECT 'W' || doc_id AS external_id, {_T} AS title, CASE WHEN doc_id % 2 = 0 THEN '10.1/a' || doc_id END AS doi, strftime({_S}, '%Y-%m-%d') AS published_on, CASE WHEN doc_id % 6 = 0 THEN 'http://oa/' || doc_id ELSE 'https://works/W' || doc_id END AS canonical_url, CASE WHEN doc_id % 6 = 0 THEN 'OPEN_ACCESS' WHEN doc_id % 3 = 0 THEN 'ABSTRACT_ONLY' ELSE 'METADATA_ONLY' END AS access_mode, source || ';' || lang AS authors, lang AS topics FROM documents WHERE doc_id % 7 <> 0 AND {_T} <> ''",
     "parse_doi_json": f"SELECT '10.1/abc' || doc_id AS doi, {_T} AS title, CASE doc_id % 4 WHEN 0 THEN '2024-01-01' WHEN 1 THEN '2024-03-01' ELSE '2024-03-09' END AS published_on, lang || ' ' || source AS authors FROM documents WHERE doc_id % 4 <> 3",
     "inverted_index_text": "SELECT doc_id, regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g') AS text FROM documents",

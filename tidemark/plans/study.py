@@ -9,8 +9,7 @@ from tidemark.operators import pit, study
 from tidemark.plans.standins import candle, funding, observations, out, receipts, runs, sql
 
 AS_OF = "2024-01-20 10:12:18"
-#: Resamples of the registered queries; the operators default to the study's 1,000.
-REPLICATES, SEED = 20, 20260901
+REPLICATES, SEED = 1000, 20260901
 
 
 def _at(ts=AS_OF):
@@ -48,9 +47,9 @@ QUERIES = {
     "pct_inclusive": lambda s, d: out(M.percentile_at(funding(s, d), candle(s, d))),
     "pct_strict": lambda s, d: out(M.percentile(funding(s, d), strict=True).select("id", "asset", "percentile")),
     "anchor_returns": lambda s, d: out(M.anchor_returns(candle(s, d))),
-    "rolling_vol": lambda s, d: out(M.complete_volatility(candle(s, d), window=3)),
+    "rolling_vol": lambda s, d: out(M.complete_volatility(candle(s, d))),
     "recent_vol": lambda s, d: out(M.recent_volatility(candle(s, d))),
-    "metrics_long": lambda s, d: out(M.long_metrics(funding(s, d), candle(s, d)).where("metric_name <> 'volatility_24h'")),
+    "metrics_long": lambda s, d: out(M.long_metrics(funding(s, d), candle(s, d))),
     "extreme_facts": lambda s, d: out(M.extreme_facts(M.long_metrics(funding(s, d), candle(s, d)), candle(s, d).where("hour(observed_at) = 5").select(F.concat_ws("|", "asset", F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss")).alias("fact_key")))),
     "trusted_metrics": lambda s, d: out(M.trusted(M.anchor_returns(candle(s, d)).select("asset", "observed_at", F.concat(F.lit("return_"), F.col("horizon"), F.lit("h")).alias("metric_name"), F.when(F.hour("observed_at") % 4 == 0, F.col("return") + 1).otherwise(F.col("return")).alias("metric_value"), F.when(F.hour("observed_at") % 5 == 0, _at("2024-01-19 00:00:00")).otherwise(_at()).alias("cutoff")), M.anchor_returns(candle(s, d)).select("asset", "observed_at", F.concat(F.lit("return_"), F.col("horizon"), F.lit("h")).alias("metric_name"), F.col("return").alias("metric_value")), _at()).where("metric_value IS NOT NULL")),
     "receipt_qualified": lambda s, d: out(study.receipt_qualified(observations(s, d), receipts(s, d), runs(s, d)).select("id", "asset", F.array_join(F.transform("receipt_ids", lambda x: x.cast("string")), ",").alias("receipt_ids"))),
@@ -75,7 +74,7 @@ QUERIES = {
     "temporal_stability": lambda s, d: out(study.temporal_stability(_day(s, d).where("outcome IS NOT NULL"), ["population"])),
     "cross_asset": lambda s, d: study.cross_asset(study.effect_sizes(_outcomes(s, d).where("horizon = 24 AND (NOT treated OR starts)"), ["asset"])),
     "disposition": lambda s, d: out(study.disposition(_tests(s, d).where("level = 'observation'").select("population", "horizon", "p_value", "mean_diff", F.lit(True).alias("has_receipts"), "n_treated", F.lit(6).alias("n_regimes"), (F.col("horizon") == 4).alias("pseudo"), (F.col("mean_diff") / 2).alias("shuffled_diff"), F.when(F.col("population") == "click", "REJECT").otherwise("ACCEPT").alias("critic"))).select("population", "horizon", "disposition")),
-    "dataset_digest": lambda s, d: study.digest(_outcomes(s, d).withColumn("outcome", F.round("outcome", 9)), ["id", "horizon", "outcome", "treated"]),
+    "dataset_digest": lambda s, d: study.digest(_outcomes(s, d).withColumn("outcome", F.round(F.col("outcome") * 1e6).cast("bigint")), ["id", "horizon", "outcome", "treated"]),
 }
 
 _EFFECT = """count(outcome) FILTER (WHERE treated) AS n_treated, count(outcome) FILTER (WHERE NOT treated) AS n_ordinary, avg(outcome) FILTER (WHERE treated) - avg(outcome) FILTER (WHERE NOT treated) AS mean_diff,
@@ -89,6 +88,7 @@ _NATIVE = f"observed_at <= date_trunc('hour', TIMESTAMP '{AS_OF}') - INTERVAL 1
 _RET = "SELECT c.asset, c.observed_at, h AS horizon, CASE WHEN b.mark_price <> 0 THEN c.mark_price / b.mark_price - 1 END AS r FROM candle c CROSS JOIN (SELECT unnest([1, 4, 24]) AS h) LEFT JOIN candle b ON b.asset = c.asset AND b.observed_at = c.observed_at - to_hours(h)"
 _PCTJ = "SELECT asset, observed_at, pct AS percentile FROM (SELECT c.asset, c.observed_at, p.pct, row_number() OVER (PARTITION BY c.asset, c.observed_at ORDER BY p.observed_at DESC, p.id DESC) AS rn FROM candle c ASOF LEFT JOIN (SELECT asset, observed_at, id, pct FROM pct QUALIFY row_number() OVER (PARTITION BY asset, observed_at ORDER BY id DESC) = 1) p ON p.asset = c.asset AND p.observed_at <= c.observed_at) WHERE rn = 1"
 _U = lambda *parts: f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
+_VOL = "SELECT asset, observed_at, CASE WHEN count(*) OVER x = 24 AND count(q) OVER x = 24 AND count(sr) OVER x >= 2 THEN stddev_samp(sr) OVER x END AS volatility FROM logret WINDOW x AS (PARTITION BY asset ORDER BY observed_at RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW)"
 _DAY = ", k AS (SELECT * FROM pop WHERE horizon = 24 AND outcome IS NOT NULL)"
 
 ORACLE = {
@@ -98,9 +98,9 @@ ORACLE = {
     "pct_inclusive": sql(f", a AS ({_PCTJ}) SELECT asset, observed_at, round(percentile, 6) AS percentile FROM a"),
     "pct_strict": sql("SELECT id, asset, round(strict_pct, 6) AS percentile FROM pct"),
     "anchor_returns": sql(f", r AS ({_RET}) SELECT asset, observed_at, horizon, round(r, 6) AS return FROM r"),
-    "rolling_vol": sql(", w AS (SELECT asset, observed_at, count(*) OVER x AS n, count(q) OVER x AS m, count(sr) OVER x AS k, stddev_samp(sr) OVER x AS s FROM logret WINDOW x AS (PARTITION BY asset ORDER BY observed_at RANGE BETWEEN INTERVAL 2 HOUR PRECEDING AND CURRENT ROW)) SELECT asset, observed_at, CASE WHEN n = 3 AND m = 3 AND k >= 2 THEN round(s, 6) END AS volatility FROM w"),
+    "rolling_vol": sql(f", w AS ({_VOL}) SELECT asset, observed_at, round(volatility, 6) AS volatility FROM w"),
     "recent_vol": sql(", w AS (SELECT asset, observed_at, count(lr) OVER x AS k, stddev_samp(lr) OVER x AS s FROM logret WINDOW x AS (PARTITION BY asset ORDER BY observed_at RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW)) SELECT asset, observed_at, CASE WHEN k >= 2 THEN round(s, 6) END AS volatility FROM w"),
-    "metrics_long": sql(f", r AS ({_RET}), a AS ({_PCTJ}) SELECT asset, observed_at, 'return_' || horizon || 'h' AS metric_name, round(r, 6) AS metric_value FROM r WHERE r IS NOT NULL UNION ALL SELECT asset, observed_at, 'funding_percentile', round(percentile, 6) FROM a WHERE percentile IS NOT NULL"),
+    "metrics_long": sql(f", r AS ({_RET}), a AS ({_PCTJ}), w AS ({_VOL}) SELECT asset, observed_at, 'return_' || horizon || 'h' AS metric_name, round(r, 6) AS metric_value FROM r WHERE r IS NOT NULL UNION ALL SELECT asset, observed_at, 'funding_percentile', round(percentile, 6) FROM a WHERE percentile IS NOT NULL UNION ALL SELECT asset, observed_at, 'volatility_24h', round(volatility, 6) FROM w WHERE volatility IS NOT NULL"),
     "extreme_facts": sql(f", r AS ({_RET}), a AS ({_PCTJ}) SELECT asset || '|' || strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS fact_key, asset, observed_at, round(percentile, 6) AS percentile, round(r, 6) AS return_24h FROM r JOIN a USING (asset, observed_at) WHERE horizon = 24 AND percentile >= 90 AND abs(r) >= 0.01 AND hour(observed_at) <> 5"),
     "trusted_metrics": sql(f", r AS ({_RET}) SELECT asset, observed_at, 'return_' || horizon || 'h' AS metric_name, round(r, 6) AS metric_value, TIMESTAMP '{AS_OF}' AS cutoff FROM r WHERE r IS NOT NULL AND hour(observed_at) % 4 <> 0 AND hour(observed_at) % 5 <> 0"),
     "receipt_qualified": sql("SELECT o.id, o.asset, string_agg(CAST(r.id AS VARCHAR), ',' ORDER BY r.id) AS receipt_ids FROM observations o JOIN receipts r ON r.market_observation_id = o.id AND r.source_native_timestamp = CASE WHEN observation_kind = 'candle' THEN observed_at + INTERVAL 1 HOUR ELSE observed_at END JOIN runs u ON u.id = r.collection_run_id AND u.status = 'SUCCESS' GROUP BY o.id, o.asset"),
@@ -115,7 +115,7 @@ ORACLE = {
     "matched_baseline": sql(", s AS (SELECT e.id, e.observed_at, e.treated, e.outcome, e.asset || CASE WHEN coalesce(CASE WHEN c1.mark_price > 0 AND c0.mark_price > 0 THEN ln(c1.mark_price / c0.mark_price) END, 0) >= 0 THEN '|r=up' ELSE '|r=down' END || CASE WHEN v.k >= 2 THEN '|v=known' ELSE '|v=missing' END AS stratum FROM outc e LEFT JOIN candle c1 ON c1.asset = e.asset AND c1.observed_at = e.a LEFT JOIN candle c0 ON c0.asset = e.asset AND c0.observed_at = e.a - INTERVAL 4 HOUR LEFT JOIN (SELECT asset, observed_at, count(lr) OVER (PARTITION BY asset ORDER BY observed_at RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW) AS k FROM logret) v ON v.asset = e.asset AND v.observed_at = e.a WHERE horizon = 24), r AS (SELECT *, row_number() OVER (PARTITION BY stratum, treated ORDER BY observed_at, id) AS rn FROM s) SELECT t.stratum, t.id AS treated_id, o.id AS baseline_id, round(t.outcome - o.outcome, 6) AS diff FROM r t LEFT JOIN r o ON o.stratum = t.stratum AND o.rn = t.rn AND NOT o.treated WHERE t.treated"),
     "bootstrap_ci": sql(_DAY + f", n AS (SELECT population, CAST(treated AS INTEGER) AS side, outcome, row_number() OVER (PARTITION BY population, treated ORDER BY observed_at, id) - 1 AS i, count(*) OVER (PARTITION BY population, treated) AS n FROM k), g AS (SELECT population, side, rep, {_U(str(SEED), 'rep', 'side', 'i')} % n AS pick FROM n CROSS JOIN (SELECT unnest(range(0, {REPLICATES})) AS rep)), m AS (SELECT g.population, g.rep, avg(n.outcome) FILTER (WHERE g.side = 1) - avg(n.outcome) FILTER (WHERE g.side = 0) AS diff FROM g JOIN n ON n.population = g.population AND n.side = g.side AND n.i = g.pick GROUP BY ALL), l AS (SELECT population, list_sort(list(diff)) AS l FROM m WHERE diff IS NOT NULL GROUP BY population) SELECT population, round(l[CAST(floor(0.025 * (len(l) - 1)) AS INTEGER) + 1], 6) AS ci_low, round(l[CAST(floor(0.975 * (len(l) - 1)) AS INTEGER) + 1], 6) AS ci_high FROM l"),
     "bootstrap_poisson_ci": sql(_DAY + f", g AS (SELECT population, treated, outcome, rep, {_U(str(SEED), 'rep', 'id')} / 4294967296.0 AS u FROM k CROSS JOIN (SELECT unnest(range(0, {REPLICATES})) AS rep)), w AS (SELECT *, {' + '.join(f'CAST(u >= {p} AS INTEGER)' for p in study.POISSON)} AS w FROM g), m AS (SELECT population, rep, sum(w * outcome) FILTER (WHERE treated) / nullif(sum(w) FILTER (WHERE treated), 0) - sum(w * outcome) FILTER (WHERE NOT treated) / nullif(sum(w) FILTER (WHERE NOT treated), 0) AS diff FROM w GROUP BY ALL), l AS (SELECT population, list_sort(list(diff)) AS l FROM m WHERE diff IS NOT NULL GROUP BY population) SELECT population, round(l[CAST(floor(0.025 * (len(l) - 1)) AS INTEGER) + 1], 6) AS ci_low, round(l[CAST(floor(0.975 * (len(l) - 1)) AS INTEGER) + 1], 6) AS ci_high FROM l"),
-    "permutation_p": sql(_DAY + f", z AS (SELECT population, count(*) FILTER (WHERE treated) AS nt, avg(outcome) FILTER (WHERE treated) - avg(outcome) FILTER (WHERE NOT treated) AS diff FROM k GROUP BY population), q AS (SELECT k.population, rep, outcome, row_number() OVER (PARTITION BY k.population, rep ORDER BY {_U(str(SEED), 'rep', 'id')}, id) AS rn FROM k CROSS JOIN (SELECT unnest(range(0, {REPLICATES})) AS rep)), m AS (SELECT population, rep, avg(outcome) FILTER (WHERE rn <= nt) - avg(outcome) FILTER (WHERE rn > nt) AS g, any_value(diff) AS diff FROM q JOIN z USING (population) GROUP BY ALL) SELECT population, round(any_value(diff), 6) AS diff, round((count(*) FILTER (WHERE abs(g) >= abs(diff) - 1e-15) + 1) / ({REPLICATES} + 1), 6) AS p_value FROM m GROUP BY population"),
+    "permutation_p": sql(_DAY + f", z AS (SELECT population, count(*) FILTER (WHERE treated) AS nt, avg(outcome) FILTER (WHERE treated) - avg(outcome) FILTER (WHERE NOT treated) AS diff FROM k GROUP BY population), q AS (SELECT k.population, rep, outcome, row_number() OVER (PARTITION BY k.population, rep ORDER BY {_U(str(SEED), 'rep', 'id')}, id) AS rn FROM k CROSS JOIN (SELECT unnest(range(0, {REPLICATES})) AS rep)), m AS (SELECT population, rep, avg(outcome) FILTER (WHERE rn <= nt) - avg(outcome) FILTER (WHERE rn > nt) AS g, any_value(diff) AS diff FROM q JOIN z USING (population) GROUP BY ALL) SELECT population, round(any_value(diff), 6) AS diff, round((count(*) FILTER (WHERE abs(g) >= abs(diff) - 1e-12) + 1) / ({REPLICATES} + 1), 6) AS p_value FROM m GROUP BY population"),
     "bh_adjust": sql(_E + ", c AS (SELECT *, role = 'SECONDARY' AND p_value IS NOT NULL AS fam FROM t), r AS (SELECT *, p_value * count(*) OVER (PARTITION BY fam) / row_number() OVER (PARTITION BY fam ORDER BY p_value, level, population, horizon) AS q, row_number() OVER (PARTITION BY fam ORDER BY p_value, level, population, horizon) AS rn FROM c) SELECT level, population, horizon, role, p_value, CASE WHEN fam THEN round(least(1.0, min(q) OVER (PARTITION BY fam ORDER BY rn DESC)), 6) END AS p_adjusted FROM r"),
     "pseudo_replication": sql(_E + " SELECT a.population, a.horizon, a.p_value AS p_observation, b.p_value AS p_regime, a.p_value < 0.05 AND b.p_value >= 0.05 AS warning FROM t a JOIN t b USING (population, horizon) WHERE a.level = 'observation' AND b.level = 'regime'"),
     "control_random": sql(_DAY + f", z AS (SELECT population, least(count(*) FILTER (WHERE treated), count(*) FILTER (WHERE NOT treated)) AS n FROM k GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY {_U(str(SEED), 'id')}, id) AS rn FROM k WHERE NOT treated) SELECT population, round(avg(outcome) FILTER (WHERE rn <= n) - avg(outcome), 6) AS control_diff FROM r JOIN z USING (population) GROUP BY 1"),
@@ -124,5 +124,6 @@ ORACLE = {
     "leakage_probe": "SELECT cut, 0 AS n_changed, 'PASS' AS status FROM (SELECT unnest(['2024-01-10 00:00:00', '2024-01-20 00:00:00']) AS cut)",
     "temporal_stability": sql(_DAY + ", m AS (SELECT population, (min(epoch_us(observed_at)) + max(epoch_us(observed_at))) / 2 AS mid FROM k GROUP BY 1), s AS (SELECT population, avg(outcome) FILTER (WHERE epoch_us(observed_at) <= mid AND treated) - avg(outcome) FILTER (WHERE epoch_us(observed_at) <= mid AND NOT treated) AS before, avg(outcome) FILTER (WHERE epoch_us(observed_at) > mid AND treated) - avg(outcome) FILTER (WHERE epoch_us(observed_at) > mid AND NOT treated) AS after, least(count(*) FILTER (WHERE epoch_us(observed_at) <= mid AND treated), count(*) FILTER (WHERE epoch_us(observed_at) <= mid AND NOT treated), count(*) FILTER (WHERE epoch_us(observed_at) > mid AND treated), count(*) FILTER (WHERE epoch_us(observed_at) > mid AND NOT treated)) AS n FROM k JOIN m USING (population) GROUP BY 1) SELECT population, round(before, 6) AS before, round(after, 6) AS after, CASE WHEN n < 2 THEN 'INSUFFICIENT_SAMPLE' WHEN before * after >= 0 THEN 'STABLE' ELSE 'SIGN_REVERSING' END AS stability FROM s"),
     "cross_asset": sql(_E + ", x AS (SELECT mean_diff AS e FROM f WHERE level = 'regime' AND horizon = 24 AND population <> 'POOLED' AND mean_diff IS NOT NULL) SELECT count(*) AS n_assets, CASE WHEN count(*) < 2 THEN 'INSUFFICIENT' WHEN bool_and(e >= 0) OR bool_and(e <= 0) THEN 'CONSISTENT' ELSE 'MIXED' END AS consistency FROM x"),
+    "dataset_digest": sql("SELECT count(*) AS n_rows, bit_xor(CAST('0x' || substr(md5(concat_ws('|', id, horizon, CAST(round(outcome * 1e6) AS BIGINT), treated)), 1, 15) AS BIGINT)) AS digest FROM outc"),
     "disposition": sql(_E + " SELECT population, horizon, CASE WHEN n_treated < 12 THEN 'DATA_INSUFFICIENT' WHEN horizon = 4 THEN 'INCONCLUSIVE' WHEN p_value IS NULL THEN 'DATA_INSUFFICIENT' WHEN p_value < 0.05 AND abs(mean_diff) > 0 THEN CASE WHEN population = 'click' THEN 'INCONCLUSIVE' ELSE 'SUPPORTED' END WHEN p_value >= 0.05 THEN 'REJECTED' ELSE 'INCONCLUSIVE' END AS disposition FROM t WHERE level = 'observation'"),
 }
