@@ -148,8 +148,66 @@ def best_fit(text: Column) -> Column:
     return F.coalesce(fit(F.array_max(F.transform(horizon_endpoints(text), lambda e: e["minutes"]))), F.lit("OUT_OF_SCOPE_FOR_USER"))
 
 
-def human_title(statement: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(statement, r"described by '([^']+)'", 1), F.lit("")), statement)
+def human_title(statement: Column, universe: Column, outcome: Column) -> Column:
+    """What the statement quotes as described, else a statement of more than eight characters without its full stop, else universe and outcome."""
+    plain = F.regexp_replace(F.trim(F.coalesce(statement, F.lit(""))), r"\.+$", "")
+    quoted = F.regexp_extract(plain, r"described by '(.+?)'", 1)
+    given = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+    return F.when(quoted != "", F.concat(F.lit("Paper insight: "), quoted)).when(F.char_length(plain) > 8, plain).otherwise(F.concat_ws(" ", given(universe, "market"), given(outcome, "research")))
+
+
+def hypothesis_complete(fields: list[Column], required_data: Column, terms: list[str] = TOPIC_TERMS) -> Column:
+    """All fields have text, some data is required, and a topic term occurs in the fields or the data (as a substring)."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    filled = reduce(lambda a, b: a & b, [F.trim(text(c)) != "" for c in fields])
+    said = F.lower(F.concat_ws(" ", *[text(c) for c in fields], F.array_join(required_data, " ")))
+    return filled & (F.coalesce(F.size(required_data), F.lit(0)) > 0) & reduce(lambda a, b: a | b, [said.contains(t) for t in terms])
+
+
+def triaged(retain: Column, relevance: Column, testability: Column, least: int = 60) -> Column:
+    """Retained, and relevant and testable enough; nulls fail."""
+    return F.coalesce(retain & (relevance >= least) & (testability >= least), F.lit(False))
+
+
+#: Fields that an evidence packet must fill (fixed names).
+PACKET = ["source_identity", "canonical_identity", "raw_artifact_receipt_id", "collection_run_id", "retrieved_at", "source_native_availability_at", "access_mode", "independence_key", "reviewable_summary", "analysis_mode", "availability_basis", "pit_qualifications"]
+
+
+def packet_gaps(names: list[str] = PACKET) -> Column:
+    """The names of the packet's empty fields, joined by commas."""
+    return reasons(**{n: F.coalesce(F.col(n).cast("string"), F.lit("")) == "" for n in names})
+
+
+#: Labels of a rendered report (fixed values).
+LABELS = {"market_facts": "**FACT:**", "academic_claim_lines": "- **CLAIM:**", "hypotheses": "- **HYPOTHESIS:**"}
+
+
+def label_counts(text: Column, labels: dict[str, str] = LABELS) -> list[Column]:
+    """How often each label occurs in the text; a null text has none."""
+    t = F.coalesce(text, F.lit(""))
+    return [((F.char_length(t) - F.char_length(F.replace(t, F.lit(x), F.lit("")))) / len(x)).cast("bigint").alias(name) for name, x in labels.items()]
+
+
+def letters_and_digits(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9 ]+", ""))
+
+
+def single_spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\r\f]+", " "))
+
+
+def word_characters(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
+
+
+#: Evidence depths from the least to the greatest (fixed values).
+DEPTHS = ["METADATA_ONLY", "STRUCTURED_EXCERPT", "ABSTRACT", "FULL_TEXT"]
+
+
+def minimum_depth(depth: Column) -> Column:
+    """The least depth of a group; unknown and missing ones count as the least of all."""
+    known = F.coalesce(F.array_position(F.array(*map(F.lit, DEPTHS)), depth), F.lit(0))
+    return F.element_at(F.array(*map(F.lit, DEPTHS)), F.greatest(F.min(known), F.lit(1)).cast("int"))
 
 
 def top_per(rows: DataFrame, keys: list[str], order: list, k: int, name: str = "rank") -> DataFrame:

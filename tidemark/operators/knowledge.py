@@ -108,19 +108,37 @@ def lineage(hypotheses: DataFrame, links: DataFrame, receipts: DataFrame, as_of:
     return got.select("hypothesis_id", "fingerprint", "source_item_id", F.col("_r.id").alias("receipt_id"), F.col("_r.collection_run_id").alias("run_id"), F.when(F.col("_r").isNull(), "LEGACY_UNARCHIVED").otherwise("ARCHIVED").alias("raw_status"))
 
 
-def near_duplicates(texts: DataFrame, least: float = 0.45) -> DataFrame:
-    """Pairs of texts (a < b) whose word sets have a Jaccard similarity of `least` or more, rounded to 3. texts: id, words (distinct).
+def _similar_sets(texts: DataFrame, least: float, also: list[str]) -> DataFrame:
+    """a, b, _s: pairs (a < b) of word sets with a Jaccard similarity of `least` or more whose `also` columns agree.
 
     Exact: two such sets share a word among the rarest n - ceil(least n) + 1 of each, so only those are joined.
     """
-    words = texts.select("id", F.explode("words").alias("w"))
-    ranked = words.join(words.groupBy("w").agg(F.count("*").alias("df")), "w").withColumn("rk", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))
-    sized = ranked.join(texts.select("id", F.size("words").alias("n")), "id").where(F.col("rk") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).where("df > 1")
-    a, b = sized.select("w", F.col("id").alias("a"), F.col("n").alias("an")), sized.select("w", F.col("id").alias("b"), F.col("n").alias("bn"))
-    pairs = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.col("bn") >= F.col("an") * least) & (F.col("an") >= F.col("bn") * least)).select("a", "b").distinct()
+    words = texts.select("id", *also, F.size("words").alias("n"), F.explode("words").alias("w"))
+    ranked = words.join(words.groupBy("w").agg(F.count("*").alias("df")).where("df > 1"), "w").withColumn("rk", F.row_number().over(Window.partitionBy("id").orderBy(F.col("df").desc(), F.col("w").desc())))
+    sized = ranked.where(F.col("rk") >= F.ceil(F.col("n") * least - 1e-9))
+    a, b = (sized.select("w", *also, F.col("id").alias(x), F.col("n").alias(f"{x}n")) for x in "ab")
+    pairs = a.join(b, ["w", *also]).where((F.col("a") < F.col("b")) & (F.col("bn") >= F.col("an") * least) & (F.col("an") >= F.col("bn") * least)).select("a", "b").distinct()
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
     s = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return full.select("a", "b", s.alias("_s")).where(F.col("_s") >= least).select("a", "b", F.round("_s", 3).alias("similarity"))
+    return full.select("a", "b", s.alias("_s")).where(F.col("_s") >= least - 1e-12)
+
+
+def near_duplicates(texts: DataFrame, structure: list[str] | None = None, least: float = 0.45, least_structured: float = 0.25) -> DataFrame:
+    """a, b (a < b), similarity (rounded to 3), shared_structure of possible duplicates: equal texts, word sets with a Jaccard similarity of `least` or more, or
+    equal `structure` columns and `least_structured` or more. texts: id, text (normalised), the structure columns.
+
+    Words are split at spaces. Texts without a word are equal to each other, with similarity 0.
+    """
+    also = structure or []
+    sets = texts.select("id", "text", *also, F.array_distinct(F.filter(F.split("text", " "), lambda w: w != "")).alias("words"))
+    found = _similar_sets(sets, least, [])
+    if also:
+        found = found.unionByName(_similar_sets(sets, least_structured, also))
+    bare = sets.where(F.size("words") == 0).select("id", "text")
+    found = found.unionByName(bare.select(F.col("id").alias("a"), "text").join(bare.select(F.col("id").alias("b"), "text"), "text").where("a < b").select("a", "b", F.lit(0.0).alias("_s")))
+    own = lambda x: sets.select(F.col("id").alias(x), F.struct(F.lit(1).alias("one"), *also).alias(f"_{x}"))
+    one = found.groupBy("a", "b").agg(F.max("_s").alias("_s"))
+    return one.join(own("a"), "a").join(own("b"), "b").select("a", "b", F.round("_s", 3).alias("similarity"), (F.col("_a") == F.col("_b")).alias("shared_structure"))
 
 
 def expand(query: str) -> list[str]:
@@ -131,6 +149,13 @@ def expand(query: str) -> list[str]:
     return [q, *EXPANSIONS.get(q, [])]
 
 
+def in_scope(mode: Column, scope: str) -> Column:
+    """PRODUCTION or REPLAY rows alone, or ALL."""
+    if scope not in ("PRODUCTION", "REPLAY", "ALL"):
+        raise ValueError("scope is PRODUCTION, REPLAY or ALL")
+    return F.lit(True) if scope == "ALL" else mode == scope
+
+
 def search(rows: DataFrame, query: str, columns: list[str], order: list, limit: int = 100, scope: Column | None = None) -> DataFrame:
     """Rows in which a column contains the query or a synonym, newest first, `limit` (1 to 100) of them."""
     if not 1 <= limit <= 100:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import editorial as E
+from tidemark.sources import parsers as P
 from tidemark.plans.standins import dated, dates, funding, hypotheses, items, lines, out, sql, table
 
 WORDS = ["thatin", "inoran", "hehely", "thing", "attion", "erble"]
@@ -27,20 +28,28 @@ def _order():
     return [F.col("total").desc(), F.col("active").desc(), F.col("takeaway").desc(), F.lower("title"), "id"]
 
 
+def _packets(s, d):
+    i, on = items(s, d), lambda c, v: F.when(c, v.cast("string"))
+    k = F.col("id")
+    fields = [F.col("source_name"), F.col("external_id"), on(k % 11 != 0, k), on(k % 7 != 3, k % 7), F.col("retrieved_at"), F.col("published_at"), F.col("lang"), on(k % 13 != 0, F.col("source_name")), F.col("title"), F.col("source_type"), on(F.col("quality").isNotNull(), F.lit("RECEIPT")), on(k % 17 != 0, F.lit("native"))]
+    return i.select("id", *(f.alias(n) for f, n in zip(fields, E.PACKET, strict=True)))
+
+
 QUERIES = {
     "topic_gate": lambda s, d: _docs(s, d).select("doc_id", E.topic_gate(F.array(F.col("lang"), F.col("source")), F.col("text"), WORDS, ["en", "src1"]).alias("relevant")),
     "pair_gate": lambda s, d: _docs(s, d).select("doc_id", E.pair_gate(F.col("text"), [("thatin", "inoran"), ("hehely", "thing"), ("attion", "erble")]).alias("relevant")),
-    "quality_gate": lambda s, d: lines(s, d).select("conv_id", "turn", ((F.trim("text") != "") & (F.size(F.split("text", " ")) >= 5) & F.lower("text").rlike("th|en")).alias("complete")),
-    "triage_filter": lambda s, d: hypotheses(s, d).where("score >= 60000 AND disposition = 'ACCEPTED'").select("id"),
+    "quality_gate": lambda s, d: lines(s, d).select("conv_id", "turn", E.hypothesis_complete([F.col("text"), F.col("role"), F.concat(F.lit("return "), F.col("conv_id").cast("string")), F.when(F.col("turn") % 7 == 0, " ").otherwise(F.col("role")), F.lit("24h")], F.when(F.col("conv_id") % 5 == 0, F.array().cast("array<string>")).when(F.col("conv_id") % 3 == 0, F.array(F.lit("Crypto prices"), F.lit("volumes"))).otherwise(F.array(F.lit("volumes")))).alias("complete")),
+    "triage_filter": lambda s, d: hypotheses(s, d).where(E.triaged(F.col("disposition") == "ACCEPTED", F.col("fingerprint") % 101, F.col("id") % 101)).select("id"),
     "contract_check": lambda s, d: lines(s, d).select("conv_id", "turn", E.reasons(blank=F.trim("text") == "", role=~F.col("role").isin("user", "assistant"), short=F.char_length("text") < 60, injection=F.lower("text").rlike("ignore previous instructions|ignore all rules")).alias("reasons")),
-    "packet_complete": lambda s, d: items(s, d).select("id", E.reasons(title=F.col("title").isNull() | (F.trim("title") == ""), published=F.col("published_at").isNull(), quality=F.col("quality").isNull()).alias("missing")),
+    "packet_complete": lambda s, d: _packets(s, d).select("id", E.packet_gaps().alias("missing")),
     "horizon_endpoints": lambda s, d: table(s, d, "events").select("event_id", F.array_join(F.transform(E.horizon_endpoints(_horizon()), lambda e: F.concat_ws(":", e["minutes"].cast("bigint").cast("string"), e["unit"], e["fit"])), ",").alias("endpoints")),
     "horizon_fit": lambda s, d: table(s, d, "events").select("event_id", E.best_fit(_horizon()).alias("fit")),
-    "text_normalize": lambda s, d: _docs(s, d).select("doc_id", F.sha2(F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", ""), " +", " ")).cast("binary"), 256).alias("plain")),
+    "text_normalize": lambda s, d: _docs(s, d).select("doc_id", *[F.sha2(f("text").cast("binary"), 256).alias(f.__name__) for f in (E.letters_and_digits, E.single_spaced, E.word_characters)]),
     "privacy_scrub": lambda s, d: _docs(s, d).select("doc_id", F.sha2(E.scrub(F.col("text"), SCRUB).cast("binary"), 256).alias("scrubbed")),
     "claim_check": lambda s, d: _docs(s, d).select("doc_id", E.claim_check(F.col("text"), F.array(F.lit(0.5), F.lit(3.14)), ["onlyed", "thatin the"]).alias("blocked")),
     "substance_check": lambda s, d: _docs(s, d).select("doc_id", E.substance(F.col("doc_id") % 19 != 0, F.col("text"), WORDS).alias("code")),
     "copy_quality": lambda s, d: _docs(s, d).select("doc_id", E.copy_quality(F.col("text"), ["thing", "erble"], ["hehely"]).alias("code"), E.content_format(F.col("text"), "\n", ("The ", "Is ", "Of ", "En ")).alias("format")),
+    "topic_depth": lambda s, d: items(s, d).groupBy(F.col("source_name").alias("topic_id"), F.col("lang").alias("lang")).agg(E.minimum_depth(F.when(F.col("id") % 6 == 0, F.lit(None).cast("string")).otherwise(F.element_at(F.array(*map(F.lit, E.DEPTHS)), (F.col("id") % 3 + 2).cast("int")))).alias("depth")),
     "evidence_depth": lambda s, d: items(s, d).select("id", E.evidence_depth(F.when(F.col("id") % 2 == 0, F.col("raw_text")), F.when(F.col("id") % 3 == 0, F.col("title")), F.when(F.col("id") % 5 == 0, F.col("lang"))).alias("depth")),
     "value_score": lambda s, d: table(s, d, "orders").select("o_orderkey", E.value_score(F.create_map(F.lit("clarity"), (F.col("o_custkey") % 5).cast("int"), F.lit("novelty"), (F.col("o_orderkey") % 4).cast("int"), F.lit("other"), F.lit(9))).cast("bigint").alias("score")),
     "paper_components": lambda s, d: _docs(s, d).select("doc_id", E.paper_components(F.col("text"), WORDS, ["hehe", "ona", "sht"], ["ing", "tion", "able", "ent", "que"]).alias("c")).select("doc_id", "c.*"),
@@ -48,11 +57,11 @@ QUERIES = {
     "publication_gate": lambda s, d: lines(s, d).select("conv_id", "turn", E.publication_gate(F.col("conv_id") % 11 != 0, F.col("turn") == 3, F.when(F.col("conv_id") % 3 == 0, "PUBLIC").when(F.col("conv_id") % 3 == 1, "PUBLIC_WITH_LIMITATIONS").otherwise("PRIVATE"), F.when(F.col("turn") == 1, F.concat("text", F.lit(" Limitation: small"))).otherwise(F.col("text")), F.col("conv_id") % 2 == 0).alias("reason")),
     "hypothesis_score": lambda s, d: hypotheses(s, d).select("id", E.hypothesis_score(F.create_map(F.lit("a"), (F.col("id") % 20).cast("int"), F.lit("b"), (F.col("fingerprint") % 15).cast("int")), F.split(F.col("universe"), "-")).cast("bigint").alias("score")),
     "rubric_score": lambda s, d: lines(s, d).where("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").select("conv_id", E.rubric(F.col("a"), F.col("b")).alias("attributed")),
-    "human_title": lambda s, d: items(s, d).select("id", E.human_title(F.when(F.col("id") % 2 == 0, F.concat(F.lit("The relationship described by '"), F.regexp_replace("title", "'", ""), F.lit("' holds"))).otherwise(F.col("title"))).alias("title")),
+    "human_title": lambda s, d: items(s, d).select("id", E.human_title(F.when(F.col("id") % 3 == 0, F.concat(F.lit(" The relationship described by '"), F.regexp_replace("title", "'", ""), F.lit("' holds."))).when(F.col("id") % 3 == 1, F.concat(F.lit(" claim "), F.col("external_id"), F.lit(". "))).otherwise(F.col("external_id")), F.when(F.col("id") % 2 == 0, F.col("lang")), F.lit("")).alias("title")),
     "logical_dates": lambda s, d: table(s, d, "events").select("event_id", E.logical_date(F.col("ts")).alias("logical_date"), E.week_ending(E.logical_date(F.col("ts"))).alias("week_ending")),
-    "date_parse": lambda s, d: table(s, d, "events").select("event_id", F.try_to_timestamp(F.regexp_replace(F.concat(F.lit("Mon, "), F.date_format("ts", "d MMM yyyy HH:mm:ss"), F.lit(" +0200")), "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")).cast("timestamp_ntz").alias("parsed")),
+    "date_parse": lambda s, d: table(s, d, "events").select("event_id", P.parsed_date(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Mon, "), F.date_format("ts", "d MMM yyyy HH:mm:ss"), F.lit(" +0200"))).when(F.col("event_id") % 3 == 1, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).otherwise(F.concat(F.lit("no date "), F.col("event_id").cast("string")))).cast("timestamp_ntz").alias("parsed")),
     "idempotence_key": lambda s, d: table(s, d, "orders").select("o_orderkey", E.idempotence_key(F.col("o_custkey").cast("string"), F.col("o_orderpriority"), F.col("o_orderkey").cast("string")).alias("key")),
-    "label_counts": lambda s, d: _docs(s, d).select("doc_id", (F.size(F.split("text", "thing")) - 1).cast("bigint").alias("n")),
+    "label_counts": lambda s, d: _docs(s, d).select("doc_id", *E.label_counts(F.replace(F.replace(F.replace("text", F.lit(" a"), F.lit(" **FACT:**")), F.lit("\n"), F.lit("\n- **CLAIM:**")), F.lit(" s"), F.lit("- **HYPOTHESIS:**")))),
     "priorities": lambda s, d: E.top_per(_candidates(s, d), ["run"], [F.when(F.col("active") == 3, 2).when(F.col("active") == 2, 1).otherwise(0).desc(), "id"], 5).select("run", "id", "rank"),
     "recent_items": lambda s, d: items(s, d).orderBy(F.col("published_at").desc_nulls_last(), F.col("id").desc()).limit(20).where("source_name <> 'src3'").select("id"),
     "report_sections": lambda s, d: E.top_per(hypotheses(s, d).join(table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("fingerprint")), "fingerprint", "left_semi"), ["channel"], [F.col("score").desc(), "id"], 3).select("channel", "id", "rank"),
@@ -113,17 +122,18 @@ for _p, _r in SCRUB:
 ORACLE = {
     "topic_gate": "SELECT doc_id, (regexp_matches(lang, '^(en|src1)(\\..+)?$') OR regexp_matches(source, '^(en|src1)(\\..+)?$')) AND regexp_matches(lower(text), '\\b(" + "|".join(WORDS) + ")\\b') AS relevant FROM documents",
     "pair_gate": "SELECT doc_id, (contains(lower(text), 'thatin') AND contains(lower(text), 'inoran')) OR (contains(lower(text), 'hehely') AND contains(lower(text), 'thing')) OR (contains(lower(text), 'attion') AND contains(lower(text), 'erble')) AS relevant FROM documents",
-    "quality_gate": "SELECT conv_id, turn, trim(text) <> '' AND len(string_split(text, ' ')) >= 5 AND regexp_matches(lower(text), 'th|en') AS complete FROM conversations",
-    "triage_filter": sql("SELECT id FROM hypotheses WHERE score >= 60000 AND disposition = 'ACCEPTED'"),
+    "quality_gate": "SELECT conv_id, turn, trim(text) <> '' AND trim(role) <> '' AND turn % 7 <> 0 AND conv_id % 5 <> 0 AND (conv_id % 3 = 0 OR regexp_matches(lower(text || ' ' || role), 'asset pricing|crypto|defi|event study|funding rate|market microstructure|market return|order flow|perpetual|prediction market|realized volatility|return predictability')) AS complete FROM conversations",
+    "triage_filter": sql("SELECT id FROM hypotheses WHERE disposition = 'ACCEPTED' AND fingerprint % 101 >= 60 AND id % 101 >= 60"),
     "contract_check": "SELECT conv_id, turn, concat_ws(',', CASE WHEN trim(text) = '' THEN 'blank' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'role' END, CASE WHEN length(text) < 60 THEN 'short' END, CASE WHEN regexp_matches(lower(text), 'ignore previous instructions|ignore all rules') THEN 'injection' END) AS reasons FROM conversations",
-    "packet_complete": sql("SELECT id, concat_ws(',', CASE WHEN title IS NULL OR trim(title) = '' THEN 'title' END, CASE WHEN published_at IS NULL THEN 'published' END, CASE WHEN quality IS NULL THEN 'quality' END) AS missing FROM items"),
+    "packet_complete": sql("SELECT id, concat_ws(',', CASE WHEN coalesce(source_name, '') = '' THEN 'source_identity' END, CASE WHEN id % 11 = 0 THEN 'raw_artifact_receipt_id' END, CASE WHEN id % 7 = 3 THEN 'collection_run_id' END, CASE WHEN published_at IS NULL THEN 'source_native_availability_at' END, CASE WHEN coalesce(lang, '') = '' THEN 'access_mode' END, CASE WHEN id % 13 = 0 OR coalesce(source_name, '') = '' THEN 'independence_key' END, CASE WHEN coalesce(title, '') = '' THEN 'reviewable_summary' END, CASE WHEN quality IS NULL THEN 'availability_basis' END, CASE WHEN id % 17 = 0 THEN 'pit_qualifications' END) AS missing FROM items"),
     "horizon_endpoints": sql(_HZ + f" SELECT event_id, a || ':h:' || {_FIT('a')} || ',' || b || ':d:' || {_FIT('b')} || ',90:min:OUT_OF_SCOPE_FOR_USER' AS endpoints FROM hz"),
     "horizon_fit": sql(_HZ + f" SELECT event_id, {_FIT('greatest(a, b, 90)')} AS fit FROM hz"),
-    "text_normalize": "SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))) AS plain FROM documents",
+    "text_normalize": r"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^a-z0-9 ]+', '', 'g'), ' ')) AS letters_and_digits, sha256(trim(regexp_replace(lower(text), '[ \t\n\r\f]+', ' ', 'g'), ' ')) AS single_spaced, sha256(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' ')) AS word_characters FROM documents",
     "privacy_scrub": f"SELECT doc_id, sha256({_SCR}) AS scrubbed FROM documents",
     "claim_check": "SELECT doc_id, CASE WHEN contains(lower(text), 'onlyed') THEN 'forbidden language: onlyed' WHEN contains(lower(text), 'thatin the') THEN 'forbidden language: thatin the' WHEN len(list_filter(regexp_extract_all(text, '-?\\d+\\.\\d+'), lambda n: abs(CAST(n AS DOUBLE) - 0.5) >= 5e-4 AND abs(CAST(n AS DOUBLE) - 3.14) >= 5e-4 * 3.14)) > 0 THEN 'unsupported numeric claim' END AS blocked FROM documents",
     "substance_check": f"SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'SOURCE_VERIFICATION_FAILED' WHEN length(trim(text)) < 80 THEN 'SOURCE_DEPTH_TOO_SHALLOW' WHEN {_N(WORDS)} < 2 THEN 'INSUFFICIENT_SUBSTANCE' ELSE 'PASS' END AS code FROM documents",
     "copy_quality": "SELECT doc_id, CASE WHEN trim(text) = '' OR contains(lower(text), 'hehely') OR NOT (contains(lower(text), 'thing') OR contains(lower(text), 'erble')) THEN 'READER_USEFULNESS_FAILED' ELSE 'PASS' END AS code, CASE WHEN length(text) <= 280 AND len(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> '')) <= 2 THEN 'SHORT_POST' WHEN len(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> '')) >= 6 AND len(list_filter(string_split(text, chr(10)), lambda p: starts_with(p, 'The ') OR starts_with(p, 'Is ') OR starts_with(p, 'Of ') OR starts_with(p, 'En '))) >= 3 THEN 'THREAD' ELSE 'STANDARD_POST' END AS format FROM documents",
+    "topic_depth": sql("SELECT source_name AS topic_id, lang, ['METADATA_ONLY', 'STRUCTURED_EXCERPT', 'ABSTRACT', 'FULL_TEXT'][min(CASE WHEN id % 6 = 0 THEN 1 ELSE id % 3 + 2 END)] AS depth FROM items GROUP BY ALL"),
     "evidence_depth": sql("SELECT id, CASE WHEN id % 2 = 0 AND trim(raw_text) <> '' THEN 'FULL_TEXT' WHEN id % 3 = 0 AND trim(title) <> '' THEN 'ABSTRACT' WHEN id % 5 = 0 THEN 'STRUCTURED_EXCERPT' ELSE 'METADATA_ONLY' END AS depth FROM items"),
     "value_score": "SELECT o_orderkey, CAST(o_custkey % 5 + o_orderkey % 4 AS BIGINT) AS score FROM orders",
     "paper_components": f"SELECT doc_id, CAST(d AS INTEGER) AS domain, CAST(a AS INTEGER) AS active, CAST(least(5, d + a) AS INTEGER) AS user, CAST(least(4, 1 + a) AS INTEGER) AS gain, CAST(m AS INTEGER) AS method, CAST(CASE WHEN n > 300 THEN 4 ELSE 2 END AS INTEGER) AS takeaway, CAST(least(3, d) AS INTEGER) AS interest FROM (SELECT doc_id, length(text) AS n, least(5, {_N(WORDS)}) AS d, least(5, {_N(['hehe', 'ona', 'sht'])}) AS a, least(4, {_N(['ing', 'tion', 'able', 'ent', 'que'])}) AS m FROM documents)",
@@ -131,11 +141,11 @@ ORACLE = {
     "publication_gate": "SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN 'run not complete' WHEN turn = 3 THEN 'already published' WHEN conv_id % 3 = 2 THEN 'policy does not allow posting' WHEN conv_id % 3 = 1 AND turn <> 1 AND NOT contains(lower(text), 'limitation') AND NOT contains(lower(text), 'not a trading signal') THEN 'limitation language missing' WHEN conv_id % 3 = 1 AND conv_id % 2 = 1 THEN 'claim record missing' END AS reason FROM conversations",
     "hypothesis_score": sql("SELECT id, CAST(greatest(0, id % 20 + fingerprint % 15 - 3 * len(string_split(universe, '-'))) AS BIGINT) AS score FROM hypotheses"),
     "rubric_score": ", ".join(["WITH t AS (SELECT conv_id, max(text) FILTER (WHERE turn = 0) AS a, max(text) FILTER (WHERE turn = 1) AS b FROM conversations GROUP BY conv_id)"]) + " SELECT conv_id, list_has_any(list_filter(string_split(lower(a), ' '), lambda w: length(trim(w, '.,;:()')) >= 5), list_filter(string_split(lower(b), ' '), lambda w: length(trim(w, '.,;:()')) >= 5)) AS attributed FROM t WHERE a IS NOT NULL AND b IS NOT NULL",
-    "human_title": sql("SELECT id, CASE WHEN id % 2 = 0 THEN replace(title, '''', '') ELSE title END AS title FROM items"),
+    "human_title": sql("SELECT id, CASE WHEN id % 3 = 0 AND replace(title, chr(39), '') <> '' AND NOT contains(title, chr(10)) THEN 'Paper insight: ' || replace(title, chr(39), '') WHEN id % 3 = 0 THEN 'The relationship described by ' || chr(39) || replace(title, chr(39), '') || chr(39) || ' holds' WHEN id % 3 = 1 AND length('claim ' || id) > 8 THEN 'claim ' || id WHEN id % 3 = 2 AND length(CAST(id AS VARCHAR)) > 8 THEN CAST(id AS VARCHAR) ELSE CASE WHEN id % 2 = 0 AND lang <> '' THEN lang ELSE 'market' END || ' research' END AS title FROM items"),
     "logical_dates": "SELECT event_id, CAST(ts + INTERVAL 8 HOUR AS DATE) AS logical_date, CAST(CAST(ts + INTERVAL 8 HOUR AS DATE) + CAST((6 - dayofweek(CAST(ts + INTERVAL 8 HOUR AS DATE)) + 7) % 7 AS INTEGER) AS DATE) AS week_ending FROM events",
-    "date_parse": "SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) - INTERVAL 2 HOUR AS parsed FROM events",
+    "date_parse": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(date_trunc('second', ts) AS TIMESTAMP) - INTERVAL 2 HOUR END AS parsed FROM events",
     "idempotence_key": "SELECT o_orderkey, sha256(o_custkey || '|' || o_orderpriority || '|' || o_orderkey) AS key FROM orders",
-    "label_counts": "SELECT doc_id, CAST((length(text) - length(replace(text, 'thing', ''))) // 5 AS BIGINT) AS n FROM documents",
+    "label_counts": "WITH t AS (SELECT doc_id, replace(replace(replace(text, ' a', ' **FACT:**'), chr(10), chr(10) || '- **CLAIM:**'), ' s', '- **HYPOTHESIS:**') AS x FROM documents) SELECT doc_id, CAST(coalesce(length(x) - length(replace(x, '**FACT:**', '')), 0) // 9 AS BIGINT) AS market_facts, CAST(coalesce(length(x) - length(replace(x, '- **CLAIM:**', '')), 0) // 12 AS BIGINT) AS academic_claim_lines, CAST(coalesce(length(x) - length(replace(x, '- **HYPOTHESIS:**', '')), 0) // 17 AS BIGINT) AS hypotheses FROM t",
     "priorities": sql(_C + " SELECT run, id, CAST(row_number() OVER (PARTITION BY run ORDER BY CASE active WHEN 3 THEN 2 WHEN 2 THEN 1 ELSE 0 END DESC, id) AS INTEGER) AS rank FROM c QUALIFY rank <= 5"),
     "recent_items": sql("SELECT id FROM (SELECT * FROM items ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 20) WHERE source_name <> 'src3'"),
     "report_sections": sql("SELECT channel, id, CAST(row_number() OVER (PARTITION BY channel ORDER BY score DESC, id) AS INTEGER) AS rank FROM hypotheses WHERE fingerprint IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') QUALIFY rank <= 3"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.editorial import letters_and_digits
 from tidemark.operators import knowledge as K
 
 from tidemark.plans.standins import dated, dates, hypotheses, items, links, observations, out, receipts, sql, table
@@ -32,11 +33,16 @@ def _item_receipts(s, d):
     return receipts(s, d).select("id", (F.col("market_observation_id") % 2000 + 1).alias("source_item_id"), "retrieved_at", "collection_run_id")
 
 
-def _short(s, d):
-    """First lines of the documents, as word sets."""
-    line = F.element_at(F.split("text", "\n"), 1)
-    words = F.array_distinct(F.filter(F.split(F.lower(line), " "), lambda w: w != ""))
-    return table(s, d, "documents").select(F.col("doc_id").alias("id"), words.alias("words")).where(F.size("words") > 0)
+def _texts(s, d):
+    """Whole documents, normalised, with language, source and a third field as structure."""
+    plain = letters_and_digits(F.coalesce(F.regexp_replace("text", "\n", " "), F.lit("")))
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), plain.alias("text"), F.col("lang").alias("iv"), F.col("source").alias("dv"), (F.col("doc_id") % 3).alias("horizon"))
+
+
+def _searched(s, d):
+    """Items of which some speak of order flow, its synonyms or neither."""
+    phrase = F.when(F.col("id") % 9 == 0, " Order  flow").when(F.col("id") % 9 == 1, " market MICROSTRUCTURE").when(F.col("id") % 9 == 2, " Order flow").otherwise("")
+    return items(s, d).select("id", "title", F.concat("raw_text", phrase).alias("raw_text"), "source_name", "external_id", F.when(F.col("id") % 7 == 3, "order-flow imbalance").otherwise(F.col("lang")).alias("topic"), "published_at", F.when(F.col("id") % 5 == 0, "REPLAY").otherwise("PRODUCTION").alias("analysis_mode"))
 
 
 def _daily(s, d):
@@ -57,8 +63,9 @@ QUERIES = {
     "family_recurrence": lambda s, d: K.family_recurrence(hypotheses(s, d)),
     "family_members": lambda s, d: hypotheses(s, d).join(table(s, d, "customer").select(F.col("c_custkey").alias("fingerprint"), F.col("c_mktsegment").alias("segment")), "fingerprint").groupBy("segment").agg(F.count("*").alias("members"), F.count_distinct("fingerprint").alias("families")),
     "lineage": lambda s, d: K.lineage(hypotheses(s, d), links(s, d), _item_receipts(s, d), _at()),
-    "near_duplicates": lambda s, d: K.near_duplicates(_short(s, d), 0.45),
-    "search": lambda s, d: out(K.search(items(s, d), "erble", ["title", "raw_text"], [F.col("published_at").desc_nulls_last(), F.col("id").desc()], 50, F.col("source_type") == "ACADEMIC").select("id", "published_at")),
+    "near_duplicates": lambda s, d: K.near_duplicates(_texts(s, d), ["iv", "dv", "horizon"]),
+    "search": lambda s, d: out(K.search(_searched(s, d), "  Order   FLOW ", ["title", "raw_text", "source_name", "external_id", "topic"], [F.col("published_at").desc_nulls_last(), F.col("id").desc()], 50, K.in_scope(F.col("analysis_mode"), "PRODUCTION")).select("id", "published_at")),
+    "search_all": lambda s, d: out(K.search(_searched(s, d), "order flow", ["title", "raw_text", "source_name", "external_id", "topic"], [F.col("published_at").desc_nulls_last(), F.col("id").desc()], 100, K.in_scope(F.col("analysis_mode"), "ALL")).select("id", "published_at")),
     "independence_key": lambda s, d: table(s, d, "events").select("event_id", K.independence_key(F.regexp_replace("props", '"k":', '"doi":'), F.col("event_id").cast("string")).alias("key")),
     "fingerprints": lambda s, d: hypotheses(s, d).select("id", K.fingerprint(F.when(F.col("id") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("Key"), F.col("fingerprint"))), F.col("id").cast("string"), F.col("disposition"), F.col("universe"), F.lit("24H")).alias("fingerprint")),
     "draft_build": lambda s, d: observations(s, d).where("value >= 90").select("id", F.format_string("Extreme %s funding changes later returns against ordinary funding.", "asset").alias("statement"), F.concat("asset", F.lit(" percentile >= 90")).alias("condition"), F.concat(F.lit("funding-extreme:"), F.lower("asset")).alias("semantic_key")),
@@ -70,6 +77,9 @@ QUERIES = {
 
 _DR = ", dr AS (SELECT fingerprint, l.channel, source_item_id AS evidence_id, independence_key, CASE WHEN line = 1 THEN '' ELSE relation END AS mechanism, hypothesis_id * 10 + line AS ord FROM links l JOIN hypotheses h ON h.id = hypothesis_id), fu AS (SELECT fingerprint, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels, count(DISTINCT channel) AS nc, sha256(string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY ord, evidence_id)) AS evidence, count(DISTINCT independence_key) AS n_keys, bool_or(mechanism <> '') AS mech FROM dr GROUP BY fingerprint), fm AS (SELECT *, CASE WHEN nc >= 2 AND n_keys >= 2 THEN 'H3' WHEN mech THEN 'H2' ELSE 'H1' END AS maturity FROM fu)"
 
+_SEARCHED = """, sr AS (SELECT id, published_at, CASE WHEN id % 5 = 0 THEN 'REPLAY' ELSE 'PRODUCTION' END AS analysis_mode, raw_text IS NOT NULL AND id % 9 IN (1, 2) OR id % 7 = 3
+  OR regexp_matches(lower(concat_ws('|', title, raw_text, source_name, external_id, CASE WHEN id % 7 <> 3 THEN lang END)), 'order flow|order-flow imbalance|market microstructure') AS hit FROM items)"""
+
 ORACLE = {
     "fuse_evidence": sql(_DR + " SELECT fingerprint, channels, evidence, n_keys, maturity FROM fm"),
     "family_upsert": sql(_DR + " SELECT fingerprint, maturity, CAST(50 + 10 * nc AS BIGINT) AS priority FROM fm WHERE fingerprint NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)"),
@@ -84,8 +94,13 @@ ORACLE = {
     "family_recurrence": sql(", f AS (SELECT fingerprint, count(*) AS n FROM hypotheses GROUP BY 1) SELECT CASE WHEN n = 1 THEN 'NEW' ELSE 'RECURRENT' END AS kind, count(*) AS families, CAST(sum(n) AS BIGINT) AS occurrences FROM f GROUP BY 1"),
     "family_members": sql("SELECT c_mktsegment AS segment, count(*) AS members, count(DISTINCT fingerprint) AS families FROM hypotheses JOIN customer ON c_custkey = fingerprint GROUP BY 1"),
     "lineage": sql(f", r AS (SELECT id, market_observation_id % 2000 + 1 AS source_item_id, collection_run_id FROM receipts WHERE retrieved_at <= TIMESTAMP '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY market_observation_id % 2000 + 1 ORDER BY retrieved_at DESC, id DESC) = 1) SELECT h.id AS hypothesis_id, fingerprint, l.source_item_id, r.id AS receipt_id, r.collection_run_id AS run_id, CASE WHEN r.id IS NULL THEN 'LEGACY_UNARCHIVED' ELSE 'ARCHIVED' END AS raw_status FROM hypotheses h LEFT JOIN links l ON l.hypothesis_id = h.id LEFT JOIN r ON r.source_item_id = l.source_item_id"),
-    "near_duplicates": sql(", t AS (SELECT doc_id AS id, list_distinct(list_filter(string_split(lower(string_split(text, chr(10))[1]), ' '), lambda w: w <> '')) AS w FROM documents), e AS (SELECT id, len(w) AS n, unnest(w) AS x FROM t), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS an, any_value(b.n) AS bn FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(c / (an + bn - c), 3) AS similarity FROM p WHERE c / (an + bn - c) >= 0.45"),
-    "search": sql("SELECT id, published_at FROM items WHERE source_type = 'ACADEMIC' AND (contains(lower(title), 'erble') OR contains(lower(raw_text), 'erble')) ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 50"),
+    "near_duplicates": sql(""", t AS (SELECT doc_id AS id, lang AS iv, source AS dv, doc_id % 3 AS hz, list_distinct(list_filter(string_split(trim(regexp_replace(lower(replace(coalesce(text, ''), chr(10), ' ')), '[^a-z0-9 ]+', '', 'g')), ' '), lambda w: w <> '')) AS w FROM documents),
+e AS (SELECT id, len(w) AS n, unnest(w) AS x FROM t), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS an, any_value(b.n) AS bn FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
+q AS (SELECT a, b, c / (an + bn - c) AS s FROM p UNION ALL SELECT x.id, y.id, 0.0 FROM t x JOIN t y ON x.id < y.id AND len(x.w) = 0 AND len(y.w) = 0),
+r AS (SELECT q.*, (x.iv, x.dv, x.hz) = (y.iv, y.dv, y.hz) AS shared_structure, len(x.w) = 0 AS bare FROM q JOIN t x ON x.id = q.a JOIN t y ON y.id = q.b)
+SELECT a, b, round(s, 3) AS similarity, shared_structure FROM r WHERE bare OR s >= 0.45 OR shared_structure AND s >= 0.25"""),
+    "search": sql(_SEARCHED + " SELECT id, published_at FROM sr WHERE analysis_mode = 'PRODUCTION' AND hit ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 50"),
+    "search_all": sql(_SEARCHED + " SELECT id, published_at FROM sr WHERE hit ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 100"),
     "independence_key": "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS VARCHAR), CAST(event_id AS VARCHAR)) AS key FROM events",
     "fingerprints": sql("SELECT id, lower(CASE WHEN id % 2 = 0 THEN 'unfused:' || id ELSE 'Key' || fingerprint END || '|' || disposition || '|' || universe || '|24H') AS fingerprint FROM hypotheses"),
     "draft_build": sql("SELECT id, 'Extreme ' || asset || ' funding changes later returns against ordinary funding.' AS statement, asset || ' percentile >= 90' AS condition, 'funding-extreme:' || lower(asset) AS semantic_key FROM observations WHERE value >= 90"),

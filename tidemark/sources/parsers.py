@@ -21,6 +21,16 @@ def rfc822(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(text, r"^\s*[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
 
 
+def iso8601(text: Column) -> Column:
+    """'2024-01-01T10:00:00Z', with an offset or without (UTC)."""
+    return F.try_to_timestamp(F.trim(text))
+
+
+def parsed_date(text: Column) -> Column:
+    """RFC 822 where the text begins with a weekday, else ISO 8601; null for anything else."""
+    return F.when(text.rlike(r"^\s*[A-Za-z]{3},"), rfc822(text)).otherwise(iso8601(text))
+
+
 def atom(payloads: DataFrame, cutoff: Column | None = None) -> DataFrame:
     """id, title, published_at, summary, authors, categories of each entry; entries without a date pass the cutoff."""
     e = payloads.select(F.explode(F.from_xml("payload", ATOM)["entry"]).alias("e")).select("e.*")
