@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import slices, word_bounds
-from tidemark.llm.repeats import Unit, keyed, merged, resolved
+from tidemark.llm.repeats import Unit, keyed, merged, of_rows, resolved
 
 
 class Automaton:
@@ -91,7 +91,7 @@ def close(unit: Unit):
 
 
 def repeated_spans(docs: DataFrame, length: int = 20, many: int = 20_000) -> DataFrame:
-    """rid and spans (words) of docs (rid, doc_id, text) under windows that also start earlier."""
+    """rid, doc_id and spans (words) of docs (rid, doc_id, text) under windows that also start earlier."""
     unit = Unit(length, max(1, length * 3 // 10), True)
     return resolved(docs, unit, close(unit), ordered=True, many=many)
 
@@ -118,7 +118,7 @@ def removed(docs: DataFrame, length: int = 20, many: int = 20_000, id_col: str =
                         col.append(v)
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(),) * 3 + (pa.string(),), strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return own.join(repeated_spans(own, length, many), "rid", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return of_rows(own, repeated_spans(own, length, many)).select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
 def cut(text: str | None, spans: list[dict] | None) -> str | None:
@@ -141,8 +141,8 @@ def cleaned(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col:
     from pyspark.sql import functions as F
 
     own = keyed(docs, id_col, text_col)
-    named = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_rid"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    found = repeated_spans(own, length).select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
+    named = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    found = repeated_spans(own, length).withColumnRenamed("spans", "_spans")
     names, k = docs.columns, docs.columns.index(text_col)
 
     def run(batches):
@@ -152,7 +152,4 @@ def cleaned(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col:
             cols[k] = pa.array([cut(t, s) for t, s in zip(cols[k].to_pylist(), b.column("_spans").to_pylist(), strict=True)], cols[k].type)
             yield pa.record_batch(cols, names=names)
 
-    return named.join(found, "_rid", "left").select("_row", "_spans").mapInArrow(run, docs.schema)
-
-
-
+    return of_rows(named, found).select("_row", "_spans").mapInArrow(run, docs.schema)

@@ -91,7 +91,7 @@ def occurrences(docs: DataFrame, unit: Unit) -> DataFrame:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
-    """The text under each wanted anchor occurrence. wanted: rid, picks (array of h, c, pos, back, front)."""
+    """The text under each wanted anchor occurrence. wanted: rid, doc_id, picks (array of h, c, pos, back, front)."""
 
     def run(batches):
         for batch in batches:
@@ -108,7 +108,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[x.split()[0] for x in CONTEXTS.split(", ")])
 
-    return docs.select("rid", "doc_id", "text").join(wanted, "rid").mapInArrow(run, CONTEXTS)
+    return of_rows(docs.select("rid", "doc_id", "text"), wanted, "inner").mapInArrow(run, CONTEXTS)
 
 
 def runs(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterator[pa.Table]:
@@ -132,7 +132,7 @@ def runs(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterator[pa.T
 
 
 def resolved(docs: DataFrame, unit: Unit, close: Callable, ordered: bool, many: int = 20_000) -> DataFrame:
-    """rid and spans (array of start, end in units) of all covered units.
+    """rid, doc_id and spans (array of start, end in units) of all covered units.
 
     close(table) gives low and high for the rows of whole anchor groups: the first and last of the windows that count, as places against the anchor, or null.
     ordered: a window counts where an equal one starts earlier (else: where an equal one starts anywhere else).
@@ -145,7 +145,7 @@ def resolved(docs: DataFrame, unit: Unit, close: Callable, ordered: bool, many:
     by_context = shared.groupBy("h", "c", "several").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "rid", "back", "front")).alias("first"))
     several = by_context.where("several")
     size = several.groupBy("h").agg(F.count("*").alias("m"))
-    picks = several.select("h", "c", "first.*").groupBy("rid").agg(F.collect_list(F.struct("h", "c", "pos", "back", "front")).alias("picks"))
+    picks = several.select("h", "c", "first.*").groupBy("rid", "doc_id").agg(F.collect_list(F.struct("h", "c", "pos", "back", "front")).alias("picks"))
     texts = staged(contexts(docs, picks, unit).join(size, "h"), "contexts")
     few, rest = texts.where(F.col("m") <= many).drop("m"), texts.where(F.col("m") > many).drop("m")
 
@@ -168,8 +168,8 @@ def resolved(docs: DataFrame, unit: Unit, close: Callable, ordered: bool, many:
     partial = near.unionByName(far).groupBy("h", "c").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     whole = ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))) if ordered else F.col("n") > 1
     known = staged(by_context.select("h", "c", "n", "first").join(partial, ["h", "c"], "left"), "known")
-    spans = shared.drop("several").join(known, ["h", "c"]).select("rid", F.when(whole, F.col("pos") - F.col("back")).otherwise(F.col("pos") + F.col("low")).alias("start"), (F.when(whole, F.col("pos") - F.col("front")).otherwise(F.col("pos") + F.col("high")) + unit.length).alias("end"))
-    found = staged(spans.where("start IS NOT NULL").groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    spans = shared.drop("several").join(known, ["h", "c"]).select("rid", "doc_id", F.when(whole, F.col("pos") - F.col("back")).otherwise(F.col("pos") + F.col("low")).alias("start"), (F.when(whole, F.col("pos") - F.col("front")).otherwise(F.col("pos") + F.col("high")) + unit.length).alias("end"))
+    found = staged(spans.where("start IS NOT NULL").groupBy("rid", "doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     discard(stats, shared, texts, known)
     return found
 
@@ -201,10 +201,16 @@ def _windows(unit: Unit) -> Callable:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid (of the id and the text: equal rows share it), doc_id, text."""
+    """rid (64 bits over the id and the text), doc_id, text. A row is known by rid and doc_id together, 128 bits; equal rows share them."""
     return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def of_rows(rows: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
+    """rows with what `found` (rid, doc_id and others) holds for them; a null id meets a null id."""
+    right = found.withColumnsRenamed({"rid": "_found_rid", "doc_id": "_found_id"})
+    return rows.join(right, (F.col("rid") == F.col("_found_rid")) & F.col("doc_id").eqNullSafe(F.col("_found_id")), how).drop("_found_rid", "_found_id")
+
+
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     """Overlapping or touching spans as maximal runs."""
     out: list[tuple[int, int]] = []

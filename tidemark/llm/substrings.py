@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import buffers, slices
-from tidemark.llm.repeats import Unit, keyed, merged, resolved, window_codes
+from tidemark.llm.repeats import Unit, keyed, merged, of_rows, resolved, window_codes
 
 
 def roots(unit: Unit, table: pa.Table) -> tuple[np.ndarray, ...]:
@@ -105,7 +105,7 @@ def repeat_groups(table: pa.Table, length: int) -> list[tuple[int, list[tuple[in
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, many: int = 20_000) -> DataFrame:
-    """rid and spans (bytes) of docs (rid, doc_id, text)."""
+    """rid, doc_id and spans (bytes) of docs (rid, doc_id, text)."""
     unit = Unit(length, max(1, length // 2), False)
     return resolved(docs, unit, close(unit), ordered=False, many=many)
 
@@ -132,7 +132,7 @@ def removed(docs: DataFrame, length: int = 400, many: int = 20_000, id_col: str
                         col.append(v)
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(),) * 4 + (pa.string(),), strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return own.join(repeated_spans(own, length, many), "rid", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return of_rows(own, repeated_spans(own, length, many)).select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
 
