@@ -67,6 +67,23 @@ def test_one_of_each_class_stays(spark):
 def test_prefix_is_shortened_to_the_target():
     d = neardups.prefix_depth(0.8, 16, 6, 0.9995)
     assert neardups.recall(0.8, d, 16) >= 0.9995 > neardups.recall(0.8, d + 1, 16)
+    for n in range(1, 60):
+        sizes = [(b / (n + m - b)) for m in range(1, 90) for b in range(1, min(n, m) + 1) if b / (n + m - b) >= 0.8 - 1e-12]
+        assert abs(neardups.attainable(n, 0.8) - min(sizes)) < 1e-12
+    used, enters = neardups.lengths(0.8, 16, 6, 0.9995)
+    assert used == (4, 5, 6) and enters[3].tolist() == [False, False, True] and enters[200].tolist() == [True, False, False]
+    for n in range(1, 120):  # similar sizes meet at a length at which each pair of them is found
+        for m in range(-(-4 * n // 5), 5 * n // 4 + 1):
+            both = [k for k, x in zip(used, enters[n] & enters[m]) if x]
+            least = max(neardups.attainable(n, 0.8), neardups.attainable(m, 0.8))
+            assert any(neardups.recall(least, k, 16) >= 0.9995 for k in both)
+
+
+def test_near_duplicates_of_short_texts(spark):
+    rows = [(100 * n + k, " ".join(f"{x}{n}" for x in "abcdefghijklmnopqrstuvwxyz"[: n + k])) for n in range(1, 20) for k in range(4)]
+    rows += [(5000 + k, "the the the the the the the the " * (k + 1)) for k in range(3)]
+    got = [(r.doc_id, r.class_id, r.n_links) for r in neardups.linked(spark, documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(near(rows), key=str)
 
 
 def test_components(spark):

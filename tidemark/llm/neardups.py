@@ -1,14 +1,19 @@
 """N-gram Jaccard join (operator 1): a MinHash LSH forest, then exact verification of shingle sets.
 
-Each text has `trees` signatures of `deepest` minimum hashes; a tree is a trie of them in sorted order. The matched prefix starts at the deepest
-level and is shortened until a pair right at the threshold is found with the target probability in one tree at least. Texts
-below one trie node are candidates. Candidate clusters gather each text once; a cluster beyond `block` texts is dealt out in pairs of blocks.
+Each text has `trees` signatures of `deepest` minimum hashes; a tree is a trie of them, a node the texts that share a prefix. For each text the matched prefix
+starts at the deepest level and is shortened until a pair at the least similarity that this text can have with any similar one is found with the target
+probability in one tree at least: a text of few shingles has few possible similarities, all well above the threshold, and keeps a longer prefix.
+A text enters the nodes at the lengths that it and its possible partners (by size) settle at, so two similar texts meet at the longer one of theirs. Texts
+below one node are candidates. Candidate clusters gather each text once; a cluster beyond `block` texts is dealt out in pairs of blocks.
 In a task, two texts that share a node are compared by their whole sets of five-word shingles. Tasks return a row for each text
 (its links, and the smallest text it is tied to there), never pairs.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,41 +59,80 @@ def shingles(column: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray,
     return who[order], h[order], each, whole
 
 
-def signatures(who: np.ndarray, h: np.ndarray, trees: int, depth: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Texts that have shingles, and for each the hash of its prefix of `depth` minimum hashes in each tree."""
+def attainable(n: int, similarity: float) -> float:
+    """The least Jaccard similarity of `similarity` or more that a set of n can have with another set."""
+    least = 1.0
+    for m in range(math.ceil(similarity * n - 1e-9), math.floor(n / similarity + 1e-9) + 1):
+        both = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+        if both <= min(n, m):
+            least = min(least, both / (n + m - both))
+    return least
+
+
+#: Sets of more shingles have similarities so close to the threshold that they settle at its own prefix length.
+FEW = 256
+
+
+@lru_cache
+def lengths(similarity: float, trees: int, deepest: int, target: float) -> tuple[tuple[int, ...], np.ndarray]:
+    """(prefix lengths in use, which of them a text of n distinct shingles enters: a row for each n up to FEW, the last one for all above)."""
+    at = [prefix_depth(attainable(n, similarity), trees, deepest, target) for n in range(1, int(FEW / similarity) + 2)]
+    used = range(prefix_depth(similarity, trees, deepest, target), deepest + 1)
+    enters = np.zeros((FEW + 1, len(used)), bool)
+    for n in range(1, FEW):
+        for m in range(math.ceil(similarity * n - 1e-9), math.floor(n / similarity + 1e-9) + 1):
+            enters[n, max(at[n - 1], at[m - 1]) - used[0]] = True
+    enters[FEW, 0] = True
+    return tuple(used), enters
+
+
+def signatures(who: np.ndarray, h: np.ndarray, trees: int, how: tuple[float, int, float], seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts that have shingles; for each the hash of its prefix in each tree at each length in use; and which of these nodes it enters. how: similarity, deepest, target."""
+    similarity, deepest, target = how
+    used, enters = lengths(similarity, trees, deepest, target)
     rng = np.random.default_rng(seed)
     first = np.flatnonzero(np.concatenate([[True], np.diff(who) != 0])) if len(who) else np.zeros(0, np.int64)
-    keys = np.zeros((len(first), trees), np.uint64)
-    for t in range(trees):
+    keys = np.zeros((len(first), trees, len(used)), np.uint64)
+    for t in range(trees if len(first) else 0):
         key = np.full(len(first), t + 1, np.uint64)
-        for a, b in rng.integers(1, 2**63, (depth, 2), np.uint64).tolist():
-            if len(first):
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * np.uint64(2 * a + 1 & (2**64 - 1)) + np.uint64(b), first))
-        keys[:, t] = key
-    return who[first], keys
+        for d, (a, b) in enumerate(rng.integers(1, 2**63, (deepest, 2), np.uint64).tolist(), 1):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * np.uint64(2 * a + 1 & (2**64 - 1)) + np.uint64(b), first))
+            if d >= used[0]:
+                keys[:, t, d - used[0]] = key
+    distinct = np.bincount(np.searchsorted(first, np.flatnonzero(_new(who, h)), "right") - 1, minlength=len(first)) if len(first) else np.zeros(0, np.int64)
+    return who[first], keys.reshape(len(first), -1), np.repeat(enters[np.minimum(distinct, FEW)][:, None, :], trees, 1).reshape(len(first), -1)
+
 
+def _new(who: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Marks, in order of text and hash, the first of equal shingles; texts keep their places."""
+    order = np.lexsort((h, who))
+    a, b = who[order], h[order]
+    return np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
 
-def _sign(trees: int, depth: int):
+
+def _sign(trees: int, how: tuple[float, int, float]):
     def run(batches):
         for batch in batches:
             for some in slices(batch, "text"):
                 who, h, each, whole = shingles(some.column("text"))
-                texts, keys = signatures(who, h, trees, depth)
+                texts, keys, enters = signatures(who, h, trees, how)
                 take = pa.array(texts)
-                yield pa.record_batch([some.column("rid").take(take), some.column("doc_id").take(take), pa.array(whole[texts]), pa.array(signed(keys).tolist(), pa.list_(pa.int64()))], names=["rid", "doc_id", "tid", "keys"])
+                nodes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(enters.sum(1))]), pa.int32()), pa.array(signed(keys[enters])))
+                yield pa.record_batch([some.column("rid").take(take), some.column("doc_id").take(take), pa.array(whole[texts]), nodes], names=["rid", "doc_id", "tid", "keys"])
 
     return run
 
 
-def _sets(trees: int, depth: int):
+def _sets(trees: int, how: tuple[float, int, float]):
     def run(batches):
         for batch in batches:
             for some in slices(batch, "text"):
                 who, h, each, whole = shingles(some.column("text"))
-                texts, keys = signatures(who, h, trees, depth)
+                texts, keys, enters = signatures(who, h, trees, how)
+                alone = mixed(signed(whole[texts]).astype(np.uint64)[:, None] + np.arange(keys.shape[1], dtype=np.uint64)[None, :])
+                keys = np.where(enters, keys, alone)  # a node that the text does not enter is shared with none
                 cut = np.searchsorted(who, [*texts.tolist(), len(each)])
                 own = [np.unique(h[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-                take = pa.array(texts)
                 yield pa.record_batch([pa.array(whole[texts]), pa.array(own, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())], names=["tid", "shingles", "keys"])
 
     return run
@@ -170,17 +214,17 @@ def linked(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, trees:
     Texts are told apart by a 64-bit hash of their words.
     """
     ship(spark)
-    depth = prefix_depth(similarity, trees, deepest, target)
+    how = (similarity, deepest, target)
     own = keyed(docs, id_col, text_col)
-    signed_docs = staged(own.mapInArrow(_sign(trees, depth), "rid bigint, doc_id bigint, tid bigint, keys array<bigint>"), "signatures")
+    signed_docs = staged(own.mapInArrow(_sign(trees, how), "rid bigint, doc_id bigint, tid bigint, keys array<bigint>"), "signatures")
     texts = signed_docs.groupBy("tid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.min("rid").alias("rid"))
-    paths = signed_docs.select("tid", F.posexplode("keys").alias("tree", "key"))
-    nodes = paths.groupBy("tree", "key").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b")
-    below = paths.join(nodes.select("tree", "key", "a"), ["tree", "key"]).select(F.col("tid").alias("a"), F.col("a").alias("b"))
+    paths = signed_docs.select("tid", F.explode("keys").alias("key"))  # a key holds its tree and length
+    nodes = paths.groupBy("key").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b")
+    below = paths.join(nodes.select("key", "a"), "key").select(F.col("tid").alias("a"), F.col("a").alias("b"))
     clusters = staged(components(below).withColumnsRenamed({"node": "tid", "component": "cluster"}), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
     wanted = clusters.join(texts, "tid").join(sizes, "cluster").select("tid", "rid", "copies", "cluster", "m")
-    sets = own.join(wanted.select("rid", F.col("tid").alias("want")), "rid").select("rid", "text").mapInArrow(_sets(trees, depth), "tid bigint, shingles binary, keys binary")
+    sets = own.join(wanted.select("rid", F.col("tid").alias("want")), "rid").select("rid", "text").mapInArrow(_sets(trees, how), "tid bigint, shingles binary, keys binary")
     blocks = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("tid"), blocks).cast("int")
     dealt = wanted.select("tid", "copies", "cluster", blocks.alias("n"), mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
