@@ -174,3 +174,20 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, streams.drained(streams.percentiles(live.drop("retrieved_at"), 5)).collect()))
     batch = metrics.percentile(events.selectExpr("event_id AS id", "event_type AS asset", "ts AS observed_at", "value AS funding_rate"), window=5, strict=True)
     assert got == sorted(tuple(r) for r in batch.select("id", "asset", "percentile").collect())
+
+
+def test_gate_over_several_files_in_any_order(spark, tmp_path):
+    import shutil
+
+    from tidemark.streaming import streams
+
+    ticks = [(1, "view", "2024-01-01 10:10:00"), (2, "click", "2024-01-01 09:00:00"), (3, "purchase", "2024-01-01 08:30:00"), (4, "view", "2024-01-01 07:00:00")]
+    (tmp_path / "events").mkdir()
+    for k, row in enumerate(ticks):
+        one = spark.createDataFrame([row], "event_id bigint, event_type string, ts string").selectExpr("event_id", "event_type", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "1.0D AS value")
+        one.coalesce(1).write.parquet(f"{tmp_path}/part{k}")
+        shutil.move(str(next((tmp_path / f"part{k}").glob("part-*.parquet"))), tmp_path / "events" / f"{k}.parquet")
+    stream = lambda: streams.events_stream(spark, f"{tmp_path}/events")
+    got = streams.gated(stream(), ["view", "click", "purchase"]).collect()
+    assert [(r.status, str(r.watermark)) for r in got] == [("READY", "2024-01-01 08:30:00")]
+    assert [r.status for r in streams.gated(stream(), ["view", "click", "purchase", "other"]).collect()] == ["MISSING_ASSET"]

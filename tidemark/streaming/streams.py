@@ -36,7 +36,7 @@ def sessions(treated: DataFrame, gap: str = "1 hour", late: str = "1 hour") -> D
 
 
 def percentiles(ticks: DataFrame, window: int = 30) -> DataFrame:
-    """id, asset, percentile (strict) of each tick against the trailing window of its asset, kept in state as a ring of values. Each batch is put in order of time before it is used."""
+    """id, asset, percentile (strict) of each tick against the trailing window of its asset, kept in state as a ring of values. Each batch is put in order of time before it is used; across batches the ticks of an asset must come in order of time."""
 
     def step(key, frames, state):
         ring = list(state.get[0]) if state.exists else []
@@ -51,14 +51,20 @@ def percentiles(ticks: DataFrame, window: int = 30) -> DataFrame:
     return ticks.groupBy("asset").applyInPandasWithState(step, "id bigint, asset string, percentile double", "ring array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def gate(ticks: DataFrame, assets: list[str], path: str, stale_hours: int = 30) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: writes one row for each batch, keyed by its id (a repeated batch overwrites its own), with the watermark over all assets and whether it blocks."""
+def gate(assets: list[str], path: str, stale_hours: int = 30) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: after each batch one row with the watermark over all assets and whether it blocks, from all batches so far.
+
+    Each batch leaves every asset's latest times (a row for each asset) under its id, so a repeated batch overwrites its own, and the gate takes the maxima over them.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        each = batch.where(F.col("asset").isin(assets)).groupBy("asset").agg(F.max("observed_at").alias("m"), F.max("retrieved_at").alias("r"))
+        own = batch.where(F.col("asset").isin(assets)).groupBy("asset").agg(F.max("observed_at").alias("m"), F.max("retrieved_at").alias("r"))
+        own.write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+        seen = batch.sparkSession.read.schema("asset string, m timestamp, r timestamp, batch bigint").parquet(f"{path}/seen").where(F.col("batch") <= batch_id)
+        each = seen.groupBy("asset").agg(F.max("m").alias("m"), F.max("r").alias("r"))
         one = each.agg(F.count("*").alias("n"), F.min("m").alias("watermark"), F.max("r").alias("now"))
         stale = F.col("now") - F.expr(f"INTERVAL {stale_hours} HOURS") > F.col("watermark")
-        one.select(F.when(F.col("n") < len(assets), "MISSING_ASSET").when(stale, "STALE").otherwise("READY").alias("status"), "watermark", F.lit(batch_id).cast("bigint").alias("batch")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        one.select(F.when(F.col("n") < len(assets), "MISSING_ASSET").when(stale, "STALE").otherwise("READY").alias("status"), "watermark").write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
     return write
 
@@ -84,9 +90,10 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def gated(stream: DataFrame, assets: list[str]) -> DataFrame:
-    """The gate's rows over all batches."""
+    """The gate's row after the last batch."""
     spark = stream.sparkSession
     home = f"{shared_dir(spark)}/tidemark/gate-{uuid.uuid4().hex}"
-    q = stream.writeStream.foreachBatch(gate(stream, assets, f"{home}/out")).option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(gate(assets, home)).option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{home}/out").select("status", "watermark")
+    rows = spark.read.schema("status string, watermark timestamp, batch bigint").parquet(f"{home}/out")
+    return rows.groupBy().agg(F.max_by(F.struct("status", "watermark"), "batch").alias("g")).select("g.*").where("status IS NOT NULL")
