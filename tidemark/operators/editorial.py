@@ -214,6 +214,23 @@ def top_per(rows: DataFrame, keys: list[str], order: list, k: int, name: str = "
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
+def topic_briefs(findings: DataFrame, sources: DataFrame, known: DataFrame, version: int = 1, most: int = 4) -> DataFrame:
+    """Briefs of the first `most` findings of a run, with the least evidence depth of its sources; a (run, topic) that has a brief of this version gets no second.
+
+    findings: run_id, topic_id, id; sources: run_id, depth; known: run_id, topic_id, version.
+    """
+    depth = sources.groupBy("run_id").agg(minimum_depth(F.col("depth")).alias("depth"))
+    there = known.where(F.col("version") == version).select("run_id", "topic_id").distinct()
+    new = top_per(findings.select("run_id", "topic_id", "id"), ["run_id"], ["id"], most).join(there, ["run_id", "topic_id"], "left_anti")
+    return new.join(depth, "run_id", "left").select("run_id", "topic_id", "id", "rank", F.lit(version).alias("version"), F.coalesce("depth", F.lit(DEPTHS[0])).alias("depth"))
+
+
+def publication_status(drafts: DataFrame, pending: str = "PENDING", published: str = "PUBLISHED", failed: str = "FAILED") -> DataFrame:
+    """By channel: pending and published drafts, the time of the last failure, the last status. drafts: channel, status, created_at, id."""
+    is_ = lambda x: F.col("status") == x
+    return drafts.groupBy("channel").agg(F.count_if(is_(pending)).alias("pending"), F.count_if(is_(published)).alias("published"), F.max(F.when(is_(failed), F.col("created_at"))).alias("last_failure"), F.max_by("status", F.struct("created_at", "id")).alias("last_status"))
+
+
 def candidate_dedup(candidates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in candidates.columns if c not in keys]
     return candidates.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")

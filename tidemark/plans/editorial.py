@@ -35,6 +35,10 @@ def _packets(s, d):
     return i.select("id", *(f.alias(n) for f, n in zip(fields, E.PACKET, strict=True)))
 
 
+def _findings(s, d):
+    return items(s, d).select(F.col("source_name").alias("run_id"), F.col("lang").alias("topic_id"), "id", F.element_at(F.array(*map(F.lit, E.DEPTHS)), (F.col("id") % 3 + 2).cast("int")).alias("depth"))
+
+
 QUERIES = {
     "topic_gate": lambda s, d: _docs(s, d).select("doc_id", E.topic_gate(F.array(F.col("lang"), F.col("source")), F.col("text"), WORDS, ["en", "src1"]).alias("relevant")),
     "pair_gate": lambda s, d: _docs(s, d).select("doc_id", E.pair_gate(F.col("text"), [("thatin", "inoran"), ("hehely", "thing"), ("attion", "erble")]).alias("relevant")),
@@ -70,14 +74,14 @@ QUERIES = {
     "editorial_history": lambda s, d: E.editorial_history(_candidates(s, d).withColumn("passes", F.col("takeaway") > 0), ["run"], _order()).select("run", "id", "rank", "outcome"),
     "candidate_dedup": lambda s, d: E.candidate_dedup(_candidates(s, d).select("run", "category", "title", "id"), ["run", "category", "title"], ["id"]),
     "scorecard": lambda s, d: out(E.scorecard(_scores(s, d))),
-    "publication_status": lambda s, d: out(table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("channel")).agg(F.count_if(F.col("o_orderstatus") == "O").alias("pending"), F.count_if(F.col("o_orderstatus") == "F").alias("published"), F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("last_status"))),
+    "publication_status": lambda s, d: out(E.publication_status(table(s, d, "orders").select(F.col("o_orderpriority").alias("channel"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("date").cast("string").alias("created_at"), F.col("o_orderkey").alias("id")), "O", "F", "P")),
     "run_status": lambda s, d: table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("run")).agg(F.bool_and(F.col("o_orderstatus") == "F").alias("ready"), F.bool_or((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")).alias("fatal")).select("run", F.when(F.col("fatal"), "FAILED").when(F.col("ready"), "SUCCESS").otherwise("PARTIAL").alias("status")),
     "topic_link": lambda s, d: items(s, d).select("id", F.lower(F.trim("title")).alias("t")).join(items(s, d).groupBy(F.lower(F.trim("title")).alias("t")).agg(F.min("id").alias("topic_id")), "t", "left").select("id", "topic_id"),
     "publication_state": lambda s, d: table(s, d, "orders").where("o_orderstatus = 'O'").join(table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey"),
     "missing_days": lambda s, d: (o := table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderdate").cast("date").alias("day"))).agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day")).join(o.distinct(), "day", "left_anti"),
     "recent_duplicates": lambda s, d: _recent(s, d),
     "weekly_top": lambda s, d: E.top_per(hypotheses(s, d).withColumn("week", F.date_trunc("week", "as_of").cast("date")), ["week"], [F.col("score").desc(), "id"], 10).select(F.col("week").cast("string").alias("week"), "id", "rank"),
-    "topic_briefs": lambda s, d: E.top_per(items(s, d).select(F.col("lang").alias("topic_id"), "source_name", "id"), ["topic_id", "source_name"], ["id"], 4).join(table(s, d, "documents").where("lang = 'fr'").select(F.col("lang").alias("topic_id"), F.col("source").alias("source_name")).distinct(), ["topic_id", "source_name"], "left_anti").select("topic_id", "source_name", "id", "rank"),
+    "topic_briefs": lambda s, d: E.topic_briefs(_findings(s, d), _findings(s, d).select("run_id", "depth"), _findings(s, d).where("topic_id IN ('fr', 'de')").select("run_id", "topic_id", F.when(F.col("topic_id") == "fr", 2).otherwise(1).alias("version")), version=2),
     "accepted_claims": lambda s, d: items(s, d).where(E.pair_gate(F.col("raw_text"), [("thatin", "inoran"), ("hehely", "thing")]) & (F.col("quality") == 1) & (F.trim("title") != "")).groupBy("source_name").agg(F.count("*").alias("claims"), F.min("id").alias("first_id")),
     "publication_register": lambda s, d: table(s, d, "orders").select(F.col("o_custkey").alias("draft"), F.col("o_orderpriority").alias("platform")).distinct().join(table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("draft"), F.col("o_orderpriority").alias("platform")).distinct(), ["draft", "platform"], "left_anti"),
     "editorial_pool": lambda s, d: _pool(s, d),
@@ -154,14 +158,14 @@ ORACLE = {
     "editorial_history": sql(_C + f", r AS (SELECT *, takeaway > 0 AS ok, row_number() OVER (PARTITION BY run ORDER BY {_ORD}) AS rank FROM c), f AS (SELECT run, min(rank) FILTER (WHERE ok) AS f FROM r GROUP BY run) SELECT run, id, CAST(rank AS INTEGER) AS rank, CASE WHEN rank = f THEN 'SELECTED' WHEN f IS NULL OR rank < f THEN 'REJECTED' ELSE 'NOT_REACHED' END AS outcome FROM r JOIN f USING (run)"),
     "candidate_dedup": sql(_C + " SELECT run, category, title, min(id) AS id FROM c GROUP BY ALL"),
     "scorecard": "WITH t AS (SELECT role AS model, CAST(length(text) > 200 AS DOUBLE) AS a, CASE WHEN turn % 2 = 0 AND ends_with(text, '.') THEN 1.0 ELSE 0.0 END AS b FROM conversations) SELECT model, 'length' AS dimension, round(avg(a), 6) AS mean_score FROM t GROUP BY model UNION ALL SELECT model, 'ends', round(avg(b), 6) FROM t GROUP BY model",
-    "publication_status": "SELECT o_orderpriority AS channel, count(*) FILTER (WHERE o_orderstatus = 'O') AS pending, count(*) FILTER (WHERE o_orderstatus = 'F') AS published, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS last_status FROM orders GROUP BY 1",
+    "publication_status": "SELECT o_orderpriority AS channel, count(*) FILTER (WHERE o_orderstatus = 'O') AS pending, count(*) FILTER (WHERE o_orderstatus = 'F') AS published, CAST(max(CAST(o_orderdate AS DATE)) FILTER (WHERE o_orderstatus = 'P') AS VARCHAR) AS last_failure, arg_max(o_orderstatus, (CAST(o_orderdate AS DATE), o_orderkey)) AS last_status FROM orders GROUP BY 1",
     "run_status": "SELECT CAST(o_orderdate AS DATE) AS run, CASE WHEN bool_or(o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') THEN 'FAILED' WHEN bool_and(o_orderstatus = 'F') THEN 'SUCCESS' ELSE 'PARTIAL' END AS status FROM orders GROUP BY 1",
     "topic_link": sql("SELECT id, min(id) OVER (PARTITION BY lower(trim(title))) AS topic_id FROM items"),
     "publication_state": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "missing_days": "WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority = '1-URGENT'), s AS (SELECT CAST(unnest(range(min(day), max(day) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM o) SELECT day FROM s WHERE day NOT IN (SELECT day FROM o)",
     "recent_duplicates": sql(", i AS (SELECT id, CAST(published_at AS DATE) AS day, substr(trim(regexp_replace(lower(raw_text), '\\s+', ' ', 'g')), 1, 400) AS p FROM items WHERE published_at IS NOT NULL) SELECT DISTINCT a.id FROM i a JOIN i b ON a.p = b.p AND a.id <> b.id AND b.day <= a.day AND b.day >= a.day - INTERVAL 7 DAY"),
     "weekly_top": sql("SELECT CAST(CAST(date_trunc('week', as_of) AS DATE) AS VARCHAR) AS week, id, CAST(row_number() OVER (PARTITION BY date_trunc('week', as_of) ORDER BY score DESC, id) AS INTEGER) AS rank FROM hypotheses QUALIFY rank <= 10"),
-    "topic_briefs": sql("SELECT lang AS topic_id, source_name, id, CAST(row_number() OVER (PARTITION BY lang, source_name ORDER BY id) AS INTEGER) AS rank FROM items WHERE lang <> 'fr' QUALIFY rank <= 4"),
+    "topic_briefs": sql(", f AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_name ORDER BY id) AS INTEGER) AS rank FROM items), m AS (SELECT source_name, ['METADATA_ONLY', 'STRUCTURED_EXCERPT', 'ABSTRACT', 'FULL_TEXT'][min(id % 3 + 2)] AS depth FROM items GROUP BY 1) SELECT source_name AS run_id, lang AS topic_id, id, rank, 2 AS version, depth FROM f JOIN m USING (source_name) WHERE rank <= 4 AND lang <> 'fr'"),
     "accepted_claims": sql("SELECT source_name, count(*) AS claims, min(id) AS first_id FROM items WHERE quality = 1 AND trim(title) <> '' AND ((contains(lower(raw_text), 'thatin') AND contains(lower(raw_text), 'inoran')) OR (contains(lower(raw_text), 'hehely') AND contains(lower(raw_text), 'thing'))) GROUP BY 1"),
     "publication_register": "SELECT DISTINCT o_custkey AS draft, o_orderpriority AS platform FROM orders EXCEPT SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'",
     "editorial_pool": sql(_C + ", f AS (SELECT * FROM c WHERE category IN ('MARKET_OBSERVATION', 'EMPIRICAL_RESULT')) SELECT run, id, 'family' AS kind FROM f QUALIFY row_number() OVER (PARTITION BY run ORDER BY category = 'MARKET_OBSERVATION' DESC, id DESC) <= 2 UNION ALL SELECT run, id, 'paper' FROM c WHERE category = 'PAPER_EXPLAINER' QUALIFY row_number() OVER (PARTITION BY run ORDER BY id DESC) <= 8 UNION ALL SELECT run, max(id), 'note' FROM f GROUP BY run HAVING count(*) >= 2"),
