@@ -196,7 +196,8 @@ _made: dict[str, ByteBPE] = {}
 def encoded(spark: SparkSession, docs: DataFrame, ranks: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document; with_ids adds ids and token_bytes (the length in bytes of each id's text: offsets for decoding).
 
-    A null text is empty and has no ids; repeated rows stay; other columns are left out.
+    A null text is empty and has no ids; repeated rows stay; an empty table gives no row; a very long text is a slice of its own, and a very long pre-token is
+    merged over a heap; other columns, whatever their names, are left out.
     """
     ship(spark)
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>, token_bytes array<int>" * with_ids

@@ -211,7 +211,7 @@ def linked(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, trees:
     """doc_id, class_id (smallest doc_id of its component of similar documents), n_links (other documents with a Jaccard similarity of `similarity` or more) of every document.
 
     Documents without words (null, empty) are linked to none and are their own class. Equal rows are copies of each other. An empty table gives no row.
-    Texts are told apart by a 64-bit hash of their words.
+    Texts are told apart by a 64-bit hash of their words. A very long text is a slice of its own; other columns, whatever their names, are left out.
     """
     ship(spark)
     how = (similarity, deepest, target)

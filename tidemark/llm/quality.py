@@ -110,7 +110,11 @@ def rule_order(docs: DataFrame, sample: int = 2000, text_col: str = "text") -> l
 
 
 def measured(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the base measures, base_failed and kept of every document, whole texts. Null texts have no words and fail; repeated rows stay."""
+    """doc_id, the base measures, base_failed and kept of every document, whole texts.
+
+    Null and empty texts have no words and fail; repeated rows stay; an empty table gives no row; a very long text is a slice of its own; other columns, whatever
+    their names, are left out.
+    """
     ship(spark)
     order = rule_order(docs, text_col=text_col)
 
@@ -128,7 +132,7 @@ def measured(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
 
 
 def filtered(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that pass the base and all rules, with all their columns, in one pass over the texts."""
+    """The documents that pass the base and all rules, with all their columns, whatever their names, in one pass over the texts. Null, empty and repeated rows: as in measured."""
     ship(spark)
     order = rule_order(docs, text_col=text_col)
 

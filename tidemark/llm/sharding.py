@@ -84,7 +84,8 @@ def sharded(docs: DataFrame, limit: int = 1 << 20, id_col: str = "doc_id", text_
     """doc_id, n_bytes, shard (its prefix bits), depth, shard_bytes, shard_docs for every document; every shard holds at most `limit` bytes.
 
     A document above the limit stands alone in its shard. Equal ids hash alike; where the rows of one id exceed the limit together, they are cut into
-    parts by running totals (shard ends in "+part"), and the totals are those of the part. Null texts have 0 bytes; an empty table gives no row. Texts are not moved: only sizes are.
+    parts by running totals (shard ends in "+part"), and the totals are those of the part. Null texts have 0 bytes; an empty table gives no row; other columns,
+    whatever their names, are left out. Texts are not moved: only sizes are.
     """
     placed, _ = _placed(_sized(docs, id_col, text_col, F.col(id_col).cast("bigint").alias("doc_id")), limit)
     return placed.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
