@@ -1,4 +1,7 @@
-"""The corpus pipeline: each stage writes its documents, and the next reads them again."""
+"""The corpus pipeline: each stage writes its documents, and the next reads them again.
+
+Stages keep all columns of their documents, whatever their names; an empty table passes through as one; a very long text is a text like any other.
+"""
 
 from __future__ import annotations
 
@@ -15,18 +18,18 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule go."""
+    """Documents that fail the base or a rule go, those with a null or empty text among them."""
     return quality.filtered(spark, docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later similar lines go, short ones too; documents of which no word is left go with them."""
+    """Later similar lines go, short ones too; documents of which no word is left go with them. Equal rows lose the same lines."""
     kept = lines.cleaned(docs, min_words=1)
     return _counted(kept.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays, that with the smallest doc_id."""
+    """One document of each group of similar ones stays, that with the smallest doc_id (equal rows of that id all do); a null id counts as none."""
     return neardups.first_of_each(spark, docs)
 
 
