@@ -80,11 +80,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encoded(spark, _documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import centroids
+
+    return centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.llm import lines, neardups, quality, sharding, topk
+    from tidemark.llm import centroids, lines, neardups, quality, sharding, topk
 
-    return {"op1_ngram_jaccard_join": neardups.ORACLE, "op4_line_dedup": lines.ORACLE, "op6_quality_rules": quality.ORACLE, "op7_exact_topk": topk.ORACLE, "op8_extendible_sharding": sharding.ORACLE}
+    return {"op11_centroid_clustering": centroids.oracle(), "op1_ngram_jaccard_join": neardups.ORACLE, "op4_line_dedup": lines.ORACLE, "op6_quality_rules": quality.ORACLE, "op7_exact_topk": topk.ORACLE, "op8_extendible_sharding": sharding.ORACLE}
