@@ -92,11 +92,17 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import phrases
+
+    return phrases.collocations(spark, _documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.llm import centroids, lines, neardups, quality, sharding, topk, warc
+    from tidemark.llm import centroids, lines, neardups, phrases, quality, sharding, topk, warc
 
-    return {"op11_centroid_clustering": centroids.oracle(), "op12_warc": warc.ORACLE, "op1_ngram_jaccard_join": neardups.ORACLE, "op4_line_dedup": lines.ORACLE, "op6_quality_rules": quality.ORACLE, "op7_exact_topk": topk.ORACLE, "op8_extendible_sharding": sharding.ORACLE}
+    return {"op11_centroid_clustering": centroids.oracle(), "op12_warc": warc.ORACLE, "op13_phrase_collocations": phrases.ORACLE, "op1_ngram_jaccard_join": neardups.ORACLE, "op4_line_dedup": lines.ORACLE, "op6_quality_rules": quality.ORACLE, "op7_exact_topk": topk.ORACLE, "op8_extendible_sharding": sharding.ORACLE}
