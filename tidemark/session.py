@@ -39,10 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and returns it read back: lineage ends there, lost executors do not matter."""
     path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._staged_at = path
     return back
