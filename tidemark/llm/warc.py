@@ -206,7 +206,7 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     ship(spark)
     text = spark.read.option("lineSep", MAGIC.decode()).text(path)
     pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("piece"))
-    found = staged(pieces.mapInArrow(_candidates, "file string, split bigint, at bigint, size bigint, cut boolean, head binary, body binary, places binary, ends binary"), "candidates")
+    found = staged(pieces.mapInArrow(_candidates, "file string, split bigint, at bigint, size bigint, cut boolean, head binary, body binary, places binary, ends binary"), "candidates", "zstd")
     splits = found.where("at IS NULL").select("file", "split", F.col("size").alias("total"), "places", "ends")
     order = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     sizes = splits.select("file", "split", "total").withColumn("base", F.coalesce(F.sum("total").over(order), F.lit(0)))  # numbers alone: a row for each split
