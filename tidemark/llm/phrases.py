@@ -21,13 +21,15 @@ from tidemark.llm.common import RangeHash, buffers, mixed, slices
 from tidemark.session import discard, ship, staged
 
 #: Candidates of one trie: what a broadcast holds, some 20 bytes for each.
-TRIE = 1 << 21
-#: Bits of the number of hash buckets: at least, and at most (a bitmap of 128 MB). Between them there are about as many buckets as half of the words.
+TRIE = 1 << 20
+#: Bits of the number of hash buckets: at least, and at most (a bitmap of 128 MB). Between them there are about as many buckets as words.
 BUCKETS = (16, 30)
 #: Buckets that are summed together; bits of one digit of a word number.
 CHUNK, DIGIT = 1 << 16, 10
 #: Keys that a task holds before it sums them.
 HELD = 1 << 23
+#: Bytes of text that are taken together.
+SLICE = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -93,17 +95,25 @@ class Words:
             self._hashes = RangeHash(self.data).of(self.edge[:-1], self.edge[1:])
         return self._hashes
 
-    def runs(self, at: np.ndarray, k: int) -> list[bytes]:
-        """The text of runs of k words."""
-        raw, edge = self.data.tobytes(), self.edge
-        return [b" ".join(raw[edge[i + j] : edge[i + j + 1]] for j in range(k)) for i in at.tolist()]
+    def runs(self, at: np.ndarray, k: int) -> pa.Array:
+        """The text of runs of k words, joined by a space."""
+        word = (at[:, None] + np.arange(k)).ravel()
+        size = self.edge[word + 1] - self.edge[word]
+        gap = np.tile(np.append(np.ones(k - 1, np.int64), 0), len(at))
+        ends = np.cumsum(size + gap)
+        flat = np.arange(size.sum())
+        before = np.cumsum(size) - size
+        out = np.full(ends[-1] if len(ends) else 0, 0x20, np.uint8)
+        out[flat + np.repeat(ends - size - gap - before, size)] = self.data[flat + np.repeat(self.edge[word] - before, size)]
+        edge = np.append(0, ends[k - 1 :: k]).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(edge), pa.py_buffer(out)]).cast(pa.binary())
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, Words]]:
     """The words of a batch, language by language, a slice of texts at a time."""
     langs = batch.column("lang")
     for lang in pc.unique(langs).to_pylist():
-        for part in slices(batch.filter(pc.equal(langs, lang)), "text"):
+        for part in slices(batch.filter(pc.equal(langs, lang)), "text", SLICE):
             yield lang, Words(part.column("text"))
 
 
@@ -173,7 +183,7 @@ def _listed(bitmap, bits: int, longest: int):
                     on = (bucket >= 0) & before & np.append(before[1:], False)
                     on[on] = (full[bucket[on] >> 3] >> (bucket[on] & 7)) & 1 == 1
                     before = on
-                    names = pa.array(words.runs(words.different(np.flatnonzero(on), k), k), pa.binary())
+                    names = words.runs(words.different(np.flatnonzero(on), k), k)
                     yield pa.record_batch([pa.array([lang] * len(names), pa.string()), names], names=["lang", "phrase"])
 
     return run
@@ -210,49 +220,43 @@ class Trie:
         self.node[order] = self.slot[ends]
 
     def _place(self, parent: np.ndarray, label: np.ndarray, made: int, width: int) -> None:
-        """Lays out the nodes: those with many children first, each at the first place that is free for all of them; an only child takes any free slot."""
+        """Lays out the nodes: those with many children first, all nodes of one number of children together, each at a random place that is free for all its
+        children (of two that want one slot, one tries again); an only child takes any free slot.
+        """
         by = np.lexsort([label, parent])
         parent, label, child = parent[by], label[by], by + 1
         owner, first, count = np.unique(parent, return_index=True, return_counts=True)
-        size = 2 * made + 2 * width + 64
-        taken = np.zeros(size, bool)
+        draw = np.random.default_rng(made)
+        size = 3 * made + 2 * width
+        taken, claim = np.zeros(size, bool), np.zeros(size, np.int64)
         taken[0] = True
         base, slot = np.zeros(made, np.int64), np.zeros(made, np.int64)
-        low = 1
-        for i in np.argsort(-count, kind="stable"):
-            if count[i] == 1:
-                break
-            d = label[first[i] : first[i] + count[i]]
-            at = low
-            while True:
-                tried = np.arange(at, at + 64)
-                while tried[-1] + d[-1] >= len(taken):
-                    taken = np.concatenate([taken, np.zeros(len(taken), bool)])
-                clash = taken[tried[:, None] + d[None, :] - d[0]].any(1)
-                if not clash.all():
-                    break
-                at += 64
-            b = int(tried[np.argmin(clash)]) - int(d[0])
-            base[owner[i]] = b
-            slot[child[first[i] : first[i] + count[i]]] = b + d
-            taken[b + d] = True
-            if at - low > 4096:  # the slots before are nearly full
-                low = at - 1024
+        for m in np.unique(count)[::-1].tolist():
+            left, tries = np.flatnonzero(count == m), 0
+            while m > 1 and len(left):
+                if tries == 50:  # too full for so many children
+                    taken, claim, tries = np.append(taken, np.zeros(size, bool)), np.append(claim, np.zeros(size, np.int64)), 0
+                    size *= 2
+                at = first[left][:, None] + np.arange(m)
+                b = draw.integers(1, size - width, len(left))
+                slots = b[:, None] + label[at]
+                free = ~taken[slots].any(1)
+                claim[slots[free]] = left[free][:, None]
+                won = free.copy()
+                won[free] = (claim[slots[free]] == left[free][:, None]).all(1)
+                base[owner[left[won]]] = b[won]
+                slot[child[at[won]]] = slots[won]
+                taken[slots[won]] = True
+                left, tries = left[~won], tries + 1
         lone = np.flatnonzero(count == 1)
-        free = np.flatnonzero(~taken)
-        if len(free) < len(lone):
-            free = np.concatenate([free, np.arange(len(taken), len(taken) + len(lone))])
-        free = free[: len(lone)]
+        free = np.flatnonzero(~taken)[: len(lone)]
         slot[child[first[lone]]] = free
         base[owner[lone]] = free - label[first[lone]]
-        top = int(slot.max()) + 1
         self.slot = slot
-        low_base = int(base.min())
-        self.check = np.full(top + width + max(0, -low_base), -1, np.int32)
+        self.check = np.full(int(slot.max()) + 1 + width, -1, np.int32)
         self.check[slot[child]] = slot[parent]
-        self.base = np.zeros(len(self.check), np.int32)
-        self.base[slot] = base
-        self.base[np.setdiff1d(np.arange(len(self.base)), slot[owner], assume_unique=False)] = -width - 1  # no child of a slot without children is asked for: check fails
+        self.base = np.full(len(self.check), -width - 1, np.int32)  # a state without children leads nowhere
+        self.base[slot[owner]] = base[owner]
 
     def step(self, state: np.ndarray, digit: np.ndarray) -> np.ndarray:
         """The states one digit on; -1 where there is none."""
@@ -264,29 +268,42 @@ class Trie:
 
 def _built(table: pa.Table) -> pa.Table:
     """One row with the trie of a shard's candidates, its words and the state of each candidate."""
-    phrases, langs = table.column("phrase").to_pylist(), table.column("lang").to_pylist()
-    number: dict[tuple[str, bytes], int] = {}
-    split = [[number.setdefault((lang, w), len(number)) for w in p.split(b" ")] for lang, p in zip(langs, phrases, strict=True)]
-    digits = max(1, math.ceil(max(1, len(number).bit_length()) / DIGIT))
-    keys = np.full((len(phrases), digits * max(map(len, split))), -1, np.int64)
-    for row, words in zip(keys, split, strict=True):
-        for j, w in enumerate(words):
-            for d in range(digits):
-                row[j * digits + d] = w >> (DIGIT * (digits - 1 - d)) & ((1 << DIGIT) - 1)
+    langs = table.column("lang").combine_chunks().dictionary_encode()
+    parts = pc.split_pattern(table.column("phrase").combine_chunks(), " ")
+    size = np.asarray(pc.list_value_length(parts)).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    words = parts.flatten().dictionary_encode()
+    # Words are numbered by language; the digits of a number, the highest first, are the labels of the trie.
+    code = np.asarray(langs.indices).astype(np.int64)[row] * len(words.dictionary) + np.asarray(words.indices)
+    codes, number = np.unique(code, return_inverse=True)
+    digits = max(1, math.ceil(len(codes).bit_length() / DIGIT))
+    longest = int(size.max())
+    keys = np.full((len(size), digits * longest), -1, np.int64)
+    column = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)) * digits
+    for d in range(digits):
+        keys[row, column + d] = number >> (DIGIT * (digits - 1 - d)) & ((1 << DIGIT) - 1)
     trie = Trie(keys, 1 << DIGIT)
-    vocabulary: dict[str, dict[bytes, int]] = {}
-    for (lang, w), i in number.items():
-        vocabulary.setdefault(lang, {})[w] = i
-    order = np.argsort(trie.node)
-    raw = pickle.dumps((digits, keys.shape[1] // digits, vocabulary, trie.base, trie.check))
-    return pa.table({"shard": table.column("shard")[:1], "trie": pa.array([raw], pa.binary()), "states": pa.array([trie.node[order].tolist()], pa.list_(pa.int64())), "langs": pa.array([[langs[i] for i in order]]), "phrases": pa.array([[phrases[i] for i in order]], pa.list_(pa.binary()))})
+    texts = words.dictionary.to_pylist()
+    vocabulary: dict[str, dict[bytes, int]] = {lang: {} for lang in langs.dictionary.to_pylist()}
+    of = list(vocabulary.values())
+    for i, c in enumerate(codes.tolist()):
+        of[c // len(texts)][texts[c % len(texts)]] = i
+    raw = pickle.dumps((digits, longest, vocabulary, trie.base, trie.check))
+    listed = lambda a, kind: pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), a.cast(kind))
+    return pa.table({"shard": table.column("shard")[:1].combine_chunks(), "trie": pa.array([raw], pa.binary()), "states": listed(pa.array(trie.node), pa.int64()), "langs": listed(table.column("lang").combine_chunks(), pa.string()), "phrases": listed(table.column("phrase").combine_chunks(), pa.binary())})
+
+
+_held: dict = {}
 
 
-def _matched(held):
+def _matched(held, name: str):
     """state, n: how often each accepting or inner state at a word's end was reached; one row for each state seen by the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digits, longest, vocabulary, base, check = held.value
+        if name not in _held:  # a worker keeps the trie for its next task
+            _held.clear()
+            _held[name] = pickle.loads(held.value)
+        digits, longest, vocabulary, base, check = _held[name]
         trie = Trie.__new__(Trie)
         trie.base, trie.check = base, check
         total = np.zeros(len(check), np.int64)
@@ -327,7 +344,7 @@ def counted(spark: SparkSession, documents: DataFrame, longest: int = 3, least:
     n = words.agg(F.sum("f")).first()[0]
     if not n or longest < 2:
         return frequent, sizes
-    bits = min(max(math.ceil(math.log2(n / 2 + 1)), BUCKETS[0]), BUCKETS[1])
+    bits = min(max(math.ceil(math.log2(n + 1)), BUCKETS[0]), BUCKETS[1])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // (CHUNK * 64))
     sums = docs.mapInArrow(_bucketed(bits, longest, least), "chunk bigint, low binary, n binary").repartition(parts, "chunk")
     bitmap = np.zeros(max(1 << bits, CHUNK) // 8, np.uint8)
@@ -345,8 +362,8 @@ def counted(spark: SparkSession, documents: DataFrame, longest: int = 3, least:
         row = tries.where(F.col("shard") == shard).select("trie").first()
         if row is None:
             continue
-        held = spark.sparkContext.broadcast(pickle.loads(row["trie"]))
-        seen = docs.mapInArrow(_matched(held), "state bigint, n bigint").groupBy("state").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        held = spark.sparkContext.broadcast(bytes(row["trie"]))
+        seen = docs.mapInArrow(_matched(held, f"{tries._staged_at} {shard}"), "state bigint, n bigint").groupBy("state").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         names = tries.where(F.col("shard") == shard).select(F.explode(F.arrays_zip("states", "langs", "phrases")).alias("x")).select(F.col("x.states").alias("state"), F.col("x.langs").alias("lang"), F.col("x.phrases").cast("string").alias("phrase"))
         part = staged(names.join(seen, "state").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"), "phrases")
         held.unpersist()
