@@ -227,7 +227,7 @@ class Trie:
         parent, label, child = parent[by], label[by], by + 1
         owner, first, count = np.unique(parent, return_index=True, return_counts=True)
         draw = np.random.default_rng(made)
-        size = 3 * made + 2 * width
+        size = 2 * made + 2 * width
         taken, claim = np.zeros(size, bool), np.zeros(size, np.int64)
         taken[0] = True
         base, slot = np.zeros(made, np.int64), np.zeros(made, np.int64)
@@ -267,7 +267,7 @@ class Trie:
 
 
 def _built(table: pa.Table) -> pa.Table:
-    """One row with the trie of a shard's candidates, its words and the state of each candidate."""
+    """The trie of a shard's candidates with its words in the first row; then a row for each candidate with its state."""
     langs = table.column("lang").combine_chunks().dictionary_encode()
     parts = pc.split_pattern(table.column("phrase").combine_chunks(), " ")
     size = np.asarray(pc.list_value_length(parts)).astype(np.int64)
@@ -288,9 +288,20 @@ def _built(table: pa.Table) -> pa.Table:
     of = list(vocabulary.values())
     for i, c in enumerate(codes.tolist()):
         of[c // len(texts)][texts[c % len(texts)]] = i
-    raw = pickle.dumps((digits, longest, vocabulary, trie.base, trie.check))
-    listed = lambda a, kind: pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), a.cast(kind))
-    return pa.table({"shard": table.column("shard")[:1].combine_chunks(), "trie": pa.array([raw], pa.binary()), "states": listed(pa.array(trie.node), pa.int64()), "langs": listed(table.column("lang").combine_chunks(), pa.string()), "phrases": listed(table.column("phrase").combine_chunks(), pa.binary())})
+    n, none = len(size), [None] * len(size)
+    first = lambda x: pa.array([x, *none], pa.binary())
+    behind = lambda a, kind: pa.concat_arrays([pa.nulls(1, kind), a.cast(kind)])
+    return pa.table(
+        {
+            "shard": pa.array(np.full(n + 1, table.column("shard")[0].as_py(), np.int32)),
+            "words": first(pickle.dumps((digits, longest, vocabulary))),
+            "base": first(trie.base.tobytes()),
+            "check": first(trie.check.tobytes()),
+            "state": behind(pa.array(trie.node), pa.int64()),
+            "lang": behind(table.column("lang").combine_chunks(), pa.string()),
+            "phrase": behind(table.column("phrase").combine_chunks(), pa.string()),
+        }
+    )
 
 
 _held: dict = {}
@@ -302,11 +313,12 @@ def _matched(held, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _held:  # a worker keeps the trie for its next task
             _held.clear()
-            _held[name] = pickle.loads(held.value)
-        digits, longest, vocabulary, base, check = _held[name]
-        trie = Trie.__new__(Trie)
-        trie.base, trie.check = base, check
-        total = np.zeros(len(check), np.int64)
+            words, base, check = held.value
+            trie = Trie.__new__(Trie)
+            trie.base, trie.check = np.frombuffer(base, np.int32), np.frombuffer(check, np.int32)
+            _held[name] = trie, *pickle.loads(words)
+        trie, digits, longest, vocabulary = _held[name]
+        total = np.zeros(len(trie.check), np.int64)
         for batch in batches:
             for lang, words in _texts(batch):
                 known = vocabulary.get(lang)
@@ -355,16 +367,17 @@ def counted(spark: SparkSession, documents: DataFrame, longest: int = 3, least:
     held.unpersist()
     shards = max(1, math.ceil(listed.count() / trie))
     dealt = listed.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
-    tries = staged(dealt.groupBy("shard").applyInArrow(_built, "shard int, trie binary, states array<bigint>, langs array<string>, phrases array<binary>"), "tries")
+    tries = staged(dealt.groupBy("shard").applyInArrow(_built, "shard int, words binary, base binary, check binary, state bigint, lang string, phrase string"), "tries")
     discard(listed)
     phrases = None
     for shard in range(shards):  # the driver and a task hold one trie at a time, of a bounded number of candidates
-        row = tries.where(F.col("shard") == shard).select("trie").first()
+        own = tries.where(F.col("shard") == shard)
+        row = own.where("state IS NULL").select("words", "base", "check").first()
         if row is None:
             continue
-        held = spark.sparkContext.broadcast(bytes(row["trie"]))
+        held = spark.sparkContext.broadcast(tuple(map(bytes, row)))
         seen = docs.mapInArrow(_matched(held, f"{tries._staged_at} {shard}"), "state bigint, n bigint").groupBy("state").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        names = tries.where(F.col("shard") == shard).select(F.explode(F.arrays_zip("states", "langs", "phrases")).alias("x")).select(F.col("x.states").alias("state"), F.col("x.langs").alias("lang"), F.col("x.phrases").cast("string").alias("phrase"))
+        names = own.where("state IS NOT NULL").select("state", "lang", "phrase")
         part = staged(names.join(seen, "state").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"), "phrases")
         held.unpersist()
         phrases = part if phrases is None else phrases.unionByName(part)
