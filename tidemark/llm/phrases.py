@@ -21,7 +21,7 @@ from tidemark.llm.common import RangeHash, buffers, mixed, slices
 from tidemark.session import discard, ship, staged
 
 #: Candidates of one trie: what a broadcast holds, some 20 bytes for each.
-TRIE = 1 << 19
+TRIE = 1 << 20
 #: Bits of the number of hash buckets: at least, and at most (a bitmap of 128 MB). Between them there are about as many buckets as words.
 BUCKETS = (16, 30)
 #: Buckets that are summed together; bits of one digit of a word number.
@@ -29,7 +29,7 @@ CHUNK, DIGIT = 1 << 16, 10
 #: Keys that a task holds before it sums them.
 HELD = 1 << 22
 #: Bytes of text that are taken together.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
