@@ -11,6 +11,8 @@ from tests.llm.test_repeats import brute
 from tests.llm.test_selection import near
 from tests.llm.test_short_lines import expected
 
+from tidemark.llm import passages
+
 LIBRARY = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
@@ -90,3 +92,20 @@ def test_an_empty_table_passes_every_stage(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0, name
+
+
+def test_one_id_on_different_texts(spark):
+    """Rows are judged one by one: the copy of an earlier text goes, another text of that id stays."""
+    a, b = words(81, 80), words(82, 80)
+    near_b = b.split(" ")
+    near_b[0] = "changed"
+    rows = [(5, b), (20, a), (20, b), (None, a), (30, words(83, 60)), (30, words(83, 60)), (40, None), (40, ""), (None, words(84, 50)), (50, " ".join(near_b))]
+    got = rows_of(corpus_pipeline.near_duplicates(spark, documents(spark, rows), ""))
+    assert sorted(got, key=str) == sorted([(5, b), (20, a), (30, words(83, 60)), (30, words(83, 60)), (40, None), (40, ""), (None, words(84, 50))], key=str)
+
+
+def test_cut_leaves_wide_white_space():
+    """Only ASCII white space parts words; other kinds are characters of words."""
+    for end in ("\u3000", "c\u00a0", "c\x1c", "c\u2029"):
+        assert passages.cut(f"a b {end}", [{"start": 0, "end": 1}]) == f"b {end}"
+    assert passages.cut("a b c \n", [{"start": 0, "end": 1}]) == "b c"

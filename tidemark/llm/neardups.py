@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import RangeHash, buffers, mixed, signed, slices, word_bounds
 from tidemark.llm.components import components
-from tidemark.llm.repeats import Unit, keyed
+from tidemark.llm.repeats import Unit, keyed, of_rows
 from tidemark.session import discard, ship, staged
 
 WORDS = Unit(5, 1, True)
@@ -213,6 +213,11 @@ def linked(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, trees:
     Documents without words (null, empty) are linked to none and are their own class. Equal rows are copies of each other. An empty table gives no row.
     Texts are told apart by a 64-bit hash of their words. A very long text is a slice of its own; other columns, whatever their names, are left out.
     """
+    return classed(spark, docs, similarity, trees, deepest, target, block, id_col, text_col).select("doc_id", "class_id", "n_links")
+
+
+def classed(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, trees: int = 16, deepest: int = 6, target: float = 0.9995, block: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As linked, with the rid of the row (64 bits over id and text) and the component of its text; null for a row without words."""
     ship(spark)
     how = (similarity, deepest, target)
     own = keyed(docs, id_col, text_col)
@@ -236,19 +241,24 @@ def linked(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, trees:
     ties = components(verified.select(F.col("tid").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "tid"})
     placed = texts.join(ties, "tid", "left").join(links, "tid", "left").withColumn("component", F.coalesce("component", "tid"))
     lowest = placed.groupBy("component").agg(F.min("first_doc").alias("class_id"))
-    known = staged(placed.join(lowest, "component").select("tid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    known = staged(placed.join(lowest, "component").select("tid", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     discard(clusters, verified)
-    having = signed_docs.select("doc_id", "tid").join(known, "tid").select("doc_id", "class_id", "n_links")
-    bare = own.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    having = signed_docs.select("rid", "doc_id", "tid").join(known, "tid").select("rid", "doc_id", "component", "class_id", "n_links")
+    bare = own.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("rid", "doc_id", F.lit(None).cast("bigint").alias("component"), F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return having.unionByName(bare)
 
 
 def first_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents of which no similar one has a smaller id: one of each class, with all their columns. Equal rows stay together."""
-    found = linked(spark, docs, id_col=id_col, text_col=text_col, **how)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    return rows.join(keep, F.col("_row")[id_col].eqNullSafe(F.col("_keep")), "left_semi").select("_row.*")
+    """One document of each class, with all its columns: that with the smallest id; a null id counts as none.
+
+    Rows are judged one by one, not by their ids: of one id on different texts each row has its own class. Where an id stands on similar texts of one class, the
+    row with the smallest hash stays. Equal rows stay or go together; documents without words stay.
+    """
+    found = classed(spark, docs, id_col=id_col, text_col=text_col, **how)
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("f"))
+    keep = first.select("f.rid", "f.doc_id").unionByName(found.where("component IS NULL").select("rid", "doc_id").distinct())
+    rows = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("rid"), docs[id_col].cast("bigint").alias("doc_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return of_rows(rows, keep, "left_semi").select("_row.*")
 
 
 ORACLE = r"""

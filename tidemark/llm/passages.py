@@ -133,7 +133,7 @@ def cut(text: str | None, spans: list[dict] | None) -> str | None:
         out.append(raw[at : edge[a]])
         at = edge[b]
     out.append(raw[at:])
-    return b"".join(out).decode().rstrip()
+    return b"".join(out).rstrip(b" \t\n\r\x0b\x0c").decode()  # other white space is part of words
 
 
 def cleaned(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

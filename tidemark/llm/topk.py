@@ -138,6 +138,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
     """query_id, rank, vec_id, score: the k rows of `vectors` with the highest integer inner product for each row of `queries`, its own id left out.
 
     Queries and rows meet in blocks: a task has a copy of one index block and a few query blocks. Vectors of different lengths do not meet. Empty tables give no row; repeated rows count each; other columns are left out.
+    Rows without an id are candidates like others, before all ids where scores are equal, and come back without one; as queries they are left out of their own results, all of them.
     Components must stay below 2**31 / scale in size. The result holds k rows for a query, or all if there are fewer.
     """
     ship(spark)
@@ -172,7 +173,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
 
     found = met.mapInArrow(search, "query_id bigint, asked bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id", "asked").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    named = lambda c: F.nullif(F.col(c), F.lit(-(1 << 63)).cast("bigint")).alias(c)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(named("query_id"), "rank", named("vec_id"), "score")
 
 
 ORACLE = """
