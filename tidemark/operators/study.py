@@ -115,22 +115,6 @@ def bootstrap_ci(outcomes: DataFrame, keys: list[str], replicates: int = 1000, s
     return ordered.select(*keys, F.element_at("_all", F.floor(0.025 * (F.size("_all") - 1)).cast("int") + 1).alias("ci_low"), F.element_at("_all", F.floor(0.975 * (F.size("_all") - 1)).cast("int") + 1).alias("ci_high"))
 
 
-#: Cumulative probabilities of a Poisson variable of mean 1 (fixed values): weight k where the draw lies below the k-th and not below the one before.
-POISSON = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885]
-
-
-def bootstrap_poisson_ci(outcomes: DataFrame, keys: list[str], replicates: int = 1000, seed: int = 20260901, value: str = "outcome", flag: str = "treated") -> DataFrame:
-    """The interval of bootstrap_ci for large groups: a row counts Poisson(1) times in each replicate, so means pre-combine where the rows are and nothing is joined or shuffled by row."""
-    known = outcomes.where(F.col(value).isNotNull())
-    reps = known.select(*keys, "id", F.col(flag).alias("_t"), F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
-    u = draw(seed, F.col("_rep"), F.col("id")) / float(1 << 32)
-    w = sum(F.when(u >= p, 1).otherwise(0) for p in POISSON)
-    mean = lambda side: F.sum(F.when(F.col("_t") == side, F.col("_w") * F.col("_v"))) / F.nullif(F.sum(F.when(F.col("_t") == side, F.col("_w"))), F.lit(0))
-    means = reps.withColumn("_w", w).groupBy(*keys, "_rep").agg((mean(True) - mean(False)).alias("_d"))
-    ordered = means.where("_d IS NOT NULL").groupBy(*keys).agg(F.sort_array(F.collect_list("_d")).alias("_all"))  # one number for each replicate
-    return ordered.select(*keys, F.element_at("_all", F.floor(0.025 * (F.size("_all") - 1)).cast("int") + 1).alias("ci_low"), F.element_at("_all", F.floor(0.975 * (F.size("_all") - 1)).cast("int") + 1).alias("ci_high"))
-
-
 #: Bits of a draw that tell its bucket where rows are ranked by their draws.
 RANK_BITS = 10
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as M
-from tidemark.operators import pit, study
+from tidemark.operators import pit, resampling, study
 from tidemark.plans.standins import candle, funding, observations, out, receipts, runs, sql
+from tidemark.session import staged
 
 AS_OF = "2024-01-20 10:12:18"
 REPLICATES, SEED = 1000, 20260901
@@ -40,6 +43,22 @@ def _tests(s, d):
     return e.withColumn("p_value", F.round(F.exp(-F.abs("standardized_diff") * 10), 6)).withColumn("study", F.lit("s")).withColumn("role", study.role())
 
 
+def _judged(s, d):
+    """Every cell of the study with its permutation p-value, its role and its adjusted p-value."""
+    tests = resampling.study(_outcomes(s, d), REPLICATES, SEED).withColumn("study", F.lit("s")).withColumn("role", study.role())
+    return study.bh_adjust(tests, ["study"]).drop("study")
+
+
+def _verdict(s, d):
+    """The study's disposition on real p-values, one shuffled control over its 24-hour outcomes, and the receipts of its events."""
+    marked = staged(_marked(s, d).select("id", "asset", "treated", "starts", "observed_at"), "marked")
+    outcomes = study.forward_outcomes(marked, candle(s, d))
+    shuffled = study.control_shuffled(outcomes.where("horizon = 24").withColumn("study", F.lit("s")), ["study"], SEED)
+    covered = study.receipt_qualified(observations(s, d).where("observation_kind = 'funding'"), receipts(s, d), runs(s, d)).select("id", F.lit(1).alias("has"))
+    coverage = marked.where("treated").join(covered, "id", "left").groupBy("asset").agg(F.count("*").alias("eligible"), F.count("has").alias("covered"))
+    return resampling.verdict(resampling.study(outcomes, REPLICATES, SEED), shuffled, coverage)
+
+
 QUERIES = {
     "pit_receipt": lambda s, d: out(pit.visible_receipt(observations(s, d), _at())),
     "pit_native": lambda s, d: out(pit.visible_native(observations(s, d), _at())),
@@ -63,7 +82,10 @@ QUERIES = {
     "study_cube": lambda s, d: out(study.effect_sizes((p := _pop(s, d)).withColumn("level", F.lit("observation")).unionByName(p.where("NOT treated OR starts").withColumn("level", F.lit("regime"))), ["level", "population", "horizon"]).select("level", "population", "horizon", "n_treated", "n_ordinary", "mean_diff")),
     "matched_baseline": lambda s, d: out(study.matched_baseline(study.strata(_outcomes(s, d).where("horizon = 24"), candle(s, d))).select("stratum", "treated_id", "baseline_id", "diff")),
     "bootstrap_ci": lambda s, d: out(study.bootstrap_ci(_day(s, d), ["population"], REPLICATES, SEED)),
-    "bootstrap_poisson_ci": lambda s, d: out(study.bootstrap_poisson_ci(_day(s, d), ["population"], REPLICATES, SEED)),
+    "bootstrap_poisson_ci": lambda s, d: out(resampling.bootstrap(_outcomes(s, d), REPLICATES, SEED)),
+    "study_effects": lambda s, d: out(resampling.effects(resampling.moments(resampling.rows_of(_outcomes(s, d), SEED)))),
+    "study_tests": lambda s, d: out(_judged(s, d)),
+    "study_verdict": lambda s, d: out(_verdict(s, d)),
     "permutation_p": lambda s, d: out(study.permutation_p(_day(s, d), ["population"], REPLICATES, SEED)),
     "bh_adjust": lambda s, d: out(study.bh_adjust(_tests(s, d), ["study"]).select("level", "population", "horizon", "role", "p_value", "p_adjusted")),
     "pseudo_replication": lambda s, d: out(study.pseudo_replication(_tests(s, d), ["population", "horizon"])),
@@ -89,6 +111,11 @@ _RET = "SELECT c.asset, c.observed_at, h AS horizon, CASE WHEN b.mark_price <> 0
 _PCTJ = "SELECT asset, observed_at, pct AS percentile FROM (SELECT c.asset, c.observed_at, p.pct, row_number() OVER (PARTITION BY c.asset, c.observed_at ORDER BY p.observed_at DESC, p.id DESC) AS rn FROM candle c ASOF LEFT JOIN (SELECT asset, observed_at, id, pct FROM pct QUALIFY row_number() OVER (PARTITION BY asset, observed_at ORDER BY id DESC) = 1) p ON p.asset = c.asset AND p.observed_at <= c.observed_at) WHERE rn = 1"
 _U = lambda *parts: f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
 _VOL = "SELECT asset, observed_at, CASE WHEN count(*) OVER x = 24 AND count(q) OVER x = 24 AND count(sr) OVER x >= 2 THEN stddev_samp(sr) OVER x END AS volatility FROM logret WINDOW x AS (PARTITION BY asset ORDER BY observed_at RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW)"
+#: Draws of every row and replicate, and which result cells a base cell belongs to (see operators/resampling.py).
+_DRAWS = f""", ab AS MATERIALIZED (SELECT rep, 1 + {_U(str(SEED), "'a'", 'rep')} % {resampling.PRIME - 1} AS a, {_U(str(SEED), "'b'", 'rep')} % {resampling.PRIME} AS b FROM (SELECT unnest(range(0, {REPLICATES})) AS rep)),
+kn AS MATERIALIZED (SELECT id, asset, horizon, treated, begins, outcome AS v, {_U(str(SEED), 'id')} % {resampling.PRIME} AS h FROM outc WHERE outcome IS NOT NULL AND treated IS NOT NULL),
+cl AS (SELECT level, population, horizon, treated, begins, asset FROM (SELECT DISTINCT asset, horizon, treated, begins FROM kn) CROSS JOIN (SELECT unnest(['observation', 'regime']) AS level) CROSS JOIN LATERAL (SELECT unnest([asset, 'POOLED']) AS population) WHERE level = 'observation' OR NOT treated OR begins)"""
+_WEIGHT = " + ".join(f"CAST((h * a + b) % {resampling.PRIME} >= {math.ceil(p * resampling.PRIME)} AS INTEGER)" for p in resampling.POISSON)
 _DAY = ", k AS (SELECT * FROM pop WHERE horizon = 24 AND outcome IS NOT NULL)"
 
 ORACLE = {
@@ -114,7 +141,14 @@ ORACLE = {
     "study_cube": sql(_E + " SELECT level, population, horizon, n_treated, n_ordinary, round(mean_diff, 6) AS mean_diff FROM f"),
     "matched_baseline": sql(", s AS (SELECT e.id, e.observed_at, e.treated, e.outcome, e.asset || CASE WHEN coalesce(CASE WHEN c1.mark_price > 0 AND c0.mark_price > 0 THEN ln(c1.mark_price / c0.mark_price) END, 0) >= 0 THEN '|r=up' ELSE '|r=down' END || CASE WHEN v.k >= 2 THEN '|v=known' ELSE '|v=missing' END AS stratum FROM outc e LEFT JOIN candle c1 ON c1.asset = e.asset AND c1.observed_at = e.a LEFT JOIN candle c0 ON c0.asset = e.asset AND c0.observed_at = e.a - INTERVAL 4 HOUR LEFT JOIN (SELECT asset, observed_at, count(lr) OVER (PARTITION BY asset ORDER BY observed_at RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW) AS k FROM logret) v ON v.asset = e.asset AND v.observed_at = e.a WHERE horizon = 24), r AS (SELECT *, row_number() OVER (PARTITION BY stratum, treated ORDER BY observed_at, id) AS rn FROM s) SELECT t.stratum, t.id AS treated_id, o.id AS baseline_id, round(t.outcome - o.outcome, 6) AS diff FROM r t LEFT JOIN r o ON o.stratum = t.stratum AND o.rn = t.rn AND NOT o.treated WHERE t.treated"),
     "bootstrap_ci": sql(_DAY + f", n AS (SELECT population, CAST(treated AS INTEGER) AS side, outcome, row_number() OVER (PARTITION BY population, treated ORDER BY observed_at, id) - 1 AS i, count(*) OVER (PARTITION BY population, treated) AS n FROM k), g AS (SELECT population, side, rep, {_U(str(SEED), 'rep', 'side', 'i')} % n AS pick FROM n CROSS JOIN (SELECT unnest(range(0, {REPLICATES})) AS rep)), m AS (SELECT g.population, g.rep, avg(n.outcome) FILTER (WHERE g.side = 1) - avg(n.outcome) FILTER (WHERE g.side = 0) AS diff FROM g JOIN n ON n.population = g.population AND n.side = g.side AND n.i = g.pick GROUP BY ALL), l AS (SELECT population, list_sort(list(diff)) AS l FROM m WHERE diff IS NOT NULL GROUP BY population) SELECT population, round(l[CAST(floor(0.025 * (len(l) - 1)) AS INTEGER) + 1], 6) AS ci_low, round(l[CAST(floor(0.975 * (len(l) - 1)) AS INTEGER) + 1], 6) AS ci_high FROM l"),
-    "bootstrap_poisson_ci": sql(_DAY + f", g AS (SELECT population, treated, outcome, rep, {_U(str(SEED), 'rep', 'id')} / 4294967296.0 AS u FROM k CROSS JOIN (SELECT unnest(range(0, {REPLICATES})) AS rep)), w AS (SELECT *, {' + '.join(f'CAST(u >= {p} AS INTEGER)' for p in study.POISSON)} AS w FROM g), m AS (SELECT population, rep, sum(w * outcome) FILTER (WHERE treated) / nullif(sum(w) FILTER (WHERE treated), 0) - sum(w * outcome) FILTER (WHERE NOT treated) / nullif(sum(w) FILTER (WHERE NOT treated), 0) AS diff FROM w GROUP BY ALL), l AS (SELECT population, list_sort(list(diff)) AS l FROM m WHERE diff IS NOT NULL GROUP BY population) SELECT population, round(l[CAST(floor(0.025 * (len(l) - 1)) AS INTEGER) + 1], 6) AS ci_low, round(l[CAST(floor(0.975 * (len(l) - 1)) AS INTEGER) + 1], 6) AS ci_high FROM l"),
+    "bootstrap_poisson_ci": sql(
+        _DRAWS
+        + f""", s AS (SELECT asset, horizon, treated, begins, rep, sum(w) AS w, sum(w * v) AS wv FROM (SELECT kn.*, rep, {_WEIGHT} AS w FROM kn CROSS JOIN ab) GROUP BY ALL),
+m AS (SELECT level, population, horizon, rep, sum(wv) FILTER (WHERE treated) / nullif(sum(w) FILTER (WHERE treated), 0) - sum(wv) FILTER (WHERE NOT treated) / nullif(sum(w) FILTER (WHERE NOT treated), 0) AS diff FROM s JOIN cl USING (asset, horizon, treated, begins) GROUP BY ALL),
+l AS (SELECT level, population, horizon, list_sort(list(diff)) AS l FROM m WHERE diff IS NOT NULL GROUP BY ALL)
+SELECT level, population, horizon, round(l[CAST(floor(0.025 * (len(l) - 1)) AS INTEGER) + 1], 6) AS ci_low, round(l[CAST(floor(0.975 * (len(l) - 1)) AS INTEGER) + 1], 6) AS ci_high FROM l"""
+    ),
+    "study_effects": sql(_E + " SELECT level, population, horizon, n_treated, n_ordinary, round(mean_diff, 6) AS mean_diff, round(p_positive_diff, 6) AS p_positive_diff, round(standardized_diff, 6) AS standardized_diff FROM f"),
     "permutation_p": sql(_DAY + f", z AS (SELECT population, count(*) FILTER (WHERE treated) AS nt, avg(outcome) FILTER (WHERE treated) - avg(outcome) FILTER (WHERE NOT treated) AS diff FROM k GROUP BY population), q AS (SELECT k.population, rep, outcome, row_number() OVER (PARTITION BY k.population, rep ORDER BY {_U(str(SEED), 'rep', 'id')}, id) AS rn FROM k CROSS JOIN (SELECT unnest(range(0, {REPLICATES})) AS rep)), m AS (SELECT population, rep, avg(outcome) FILTER (WHERE rn <= nt) - avg(outcome) FILTER (WHERE rn > nt) AS g, any_value(diff) AS diff FROM q JOIN z USING (population) GROUP BY ALL) SELECT population, round(any_value(diff), 6) AS diff, round((count(*) FILTER (WHERE abs(g) >= abs(diff) - 1e-12) + 1) / ({REPLICATES} + 1), 6) AS p_value FROM m GROUP BY population"),
     "bh_adjust": sql(_E + ", c AS (SELECT *, role = 'SECONDARY' AND p_value IS NOT NULL AS fam FROM t), r AS (SELECT *, p_value * count(*) OVER (PARTITION BY fam) / row_number() OVER (PARTITION BY fam ORDER BY p_value, level, population, horizon) AS q, row_number() OVER (PARTITION BY fam ORDER BY p_value, level, population, horizon) AS rn FROM c) SELECT level, population, horizon, role, p_value, CASE WHEN fam THEN round(least(1.0, min(q) OVER (PARTITION BY fam ORDER BY rn DESC)), 6) END AS p_adjusted FROM r"),
     "pseudo_replication": sql(_E + " SELECT a.population, a.horizon, a.p_value AS p_observation, b.p_value AS p_regime, a.p_value < 0.05 AND b.p_value >= 0.05 AS warning FROM t a JOIN t b USING (population, horizon) WHERE a.level = 'observation' AND b.level = 'regime'"),
