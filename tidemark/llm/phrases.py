@@ -294,9 +294,9 @@ def _built(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "shard": pa.array(np.full(n + 1, table.column("shard")[0].as_py(), np.int32)),
-            "words": first(pickle.dumps((digits, longest, vocabulary))),
-            "base": first(trie.base.tobytes()),
-            "check": first(trie.check.tobytes()),
+            "words": first(pickle.dumps((digits, longest, vocabulary, len(trie.base)))),
+            "base": first(pa.compress(trie.base.tobytes(), "zstd", asbytes=True)),  # the driver passes on these bytes
+            "check": first(pa.compress(trie.check.tobytes(), "zstd", asbytes=True)),
             "state": behind(pa.array(trie.node), pa.int64()),
             "lang": behind(table.column("lang").combine_chunks(), pa.string()),
             "phrase": behind(table.column("phrase").combine_chunks(), pa.string()),
@@ -315,8 +315,9 @@ def _matched(held, name: str):
             _held.clear()
             words, base, check = held.value
             trie = Trie.__new__(Trie)
-            trie.base, trie.check = np.frombuffer(base, np.int32), np.frombuffer(check, np.int32)
-            _held[name] = trie, *pickle.loads(words)
+            digits, longest, vocabulary, size = pickle.loads(words)
+            trie.base, trie.check = (np.frombuffer(pa.decompress(x, 4 * size, "zstd"), np.int32) for x in (base, check))
+            _held[name] = trie, digits, longest, vocabulary
         trie, digits, longest, vocabulary = _held[name]
         total = np.zeros(len(trie.check), np.int64)
         for batch in batches:
@@ -363,8 +364,9 @@ def counted(spark: SparkSession, documents: DataFrame, longest: int = 3, least:
     for r in sums.mapInArrow(_full(least), "chunk bigint, full binary").toLocalIterator():  # 2**bits / 8 bytes at most, a chunk at least
         bitmap[r["chunk"] * (CHUNK // 8) : (r["chunk"] + 1) * (CHUNK // 8)] = np.frombuffer(r["full"], np.uint8)
     held = spark.sparkContext.broadcast(bitmap.tobytes())
+    del bitmap
     listed = staged(docs.mapInArrow(_listed(held, bits, longest), "lang string, phrase binary").distinct(), "candidates")
-    held.unpersist()
+    held.destroy()
     shards = max(1, math.ceil(listed.count() / trie))
     dealt = listed.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
     tries = staged(dealt.groupBy("shard").applyInArrow(_built, "shard int, words binary, base binary, check binary, state bigint, lang string, phrase string"), "tries")
@@ -376,10 +378,11 @@ def counted(spark: SparkSession, documents: DataFrame, longest: int = 3, least:
         if row is None:
             continue
         held = spark.sparkContext.broadcast(tuple(map(bytes, row)))
+        del row
         seen = docs.mapInArrow(_matched(held, f"{tries._staged_at} {shard}"), "state bigint, n bigint").groupBy("state").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         names = own.where("state IS NOT NULL").select("state", "lang", "phrase")
         part = staged(names.join(seen, "state").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"), "phrases")
-        held.unpersist()
+        held.destroy()
         phrases = part if phrases is None else phrases.unionByName(part)
     return (frequent if phrases is None else frequent.unionByName(phrases)), sizes
 
