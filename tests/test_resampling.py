@@ -129,3 +129,26 @@ def test_roles_and_adjusted_values(spark):
     got = {(r.level, r.population, r.horizon): (r.role, r.p_adjusted) for r in S.bh_adjust(df, ["study"]).collect()}
     assert got[("observation", "POOLED", 24)] == ("PRIMARY", None) and got[("regime", "a", 1)] == ("EXPLORATORY", None)
     assert [got[("observation", *k)][1] for k in (("a", 24), ("a", 1), ("POOLED", 1))] == pytest.approx([0.03, 0.04, 0.04])
+
+
+def test_medians_of_groups_with_null_keys_and_outliers(spark):
+    import statistics
+
+    r = random.Random(5)
+    data = [(k, f, None if r.random() < 0.1 else r.choice([0.0, 0.25, 1e12, -7.0, r.gauss(0, 1e-6)])) for k in ("a", "b", None) for f in (True, False, None) for _ in range(r.randint(60, 90))]
+    data += [("one", True, 2.0), ("one", False, 1.0), ("none", True, None)]
+    df = spark.createDataFrame(data, "k string, treated boolean, outcome double")
+    got = {x.k: x for x in S.effect_sizes(df, ["k"]).collect()}
+    summed = {x.k: x for x in S.outcome_summary(df, ["k"]).collect()}
+    assert set(got) == set(summed) == {"a", "b", None, "one", "none"}
+    for k in got:
+        side = {f: [v for q, g, v in data if q == k and g is f and v is not None] for f in (True, False)}
+        every = sorted(v for q, _, v in data if q == k and v is not None)
+        assert (got[k].n_treated, got[k].n_ordinary) == (len(side[True]), len(side[False]))
+        if min(map(len, side.values())) < 2:
+            assert got[k].median_diff is None and got[k].mean_diff is None
+        else:
+            assert got[k].median_diff == statistics.median(side[True]) - statistics.median(side[False])
+        assert summed[k].n == len(every) and summed[k].missing == sum(q == k and v is None for q, _, v in data)
+        assert summed[k]["median"] == (statistics.median(every) if every else None)
+        assert [summed[k][f"p{p:02d}"] for p in (5, 25, 50, 75, 95)] == [every[round((len(every) - 1) * p / 100)] if every else None for p in (5, 25, 50, 75, 95)]

@@ -203,13 +203,14 @@ def histogram_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, value:
     """wanted (keys, name, rank from 0) with the value at that place in the order of its key: exact, and no key is sorted or gathered.
 
     The range of a key is cut into equal cells; only counts are shuffled to find the cell of a rank, and its values are cut again over their own range. Then the
-    different values of one small cell are counted and put in order. rows are scanned three times, so they are best a written table.
+    different values of one small cell are counted and put in order. rows are scanned three times (ends, counts, the rows of the cells found, which are written), so they are best a written table.
     """
     now, wanted = rows.select(*keys, F.col(value).alias("_v")), wanted.select(*keys, "name", "rank")
     part: list[str] = []
     for step in ("_c1", "_c2"):
         own = [*keys, *part]
-        ends = now.groupBy(*own).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        # Written, so that Spark knows its size: it is broadcast below the session's threshold and joined by key beyond it.
+        ends = staged(now.groupBy(*own).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "ends")
         at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(cells - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells))).otherwise(0)
         now = now.join(ends, own).withColumn(step, at.cast("int")).drop("_lo", "_hi")
         counts = now.groupBy(*own, step).agg(F.count("*").alias("_n"))
@@ -218,6 +219,8 @@ def histogram_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, value:
         wanted = staged(wanted.join(places, own).where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n"))).withColumn("rank", F.col("rank") - F.col("_before")).drop("_n", "_before"), "ranks")
         part.append(step)
         now = now.join(wanted.select(*keys, *part).distinct(), [*keys, *part], "left_semi")
+        if step == "_c1":
+            now = staged(now, "near")
     own = [*keys, *part]
     values = now.groupBy(*own, "_v").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*own).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
@@ -225,6 +228,13 @@ def histogram_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, value:
     return wanted.join(placed, own).where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n"))).select(*keys, "name", F.col("_v").alias("value"))
 
 
+def ranked_values(rows: DataFrame, ranks: DataFrame, names: list[str]) -> DataFrame:
+    """_g and a column for each name: the value of `rows` (_g, _v; a written table) at the rank of that name, from `ranks` (_g and a rank for each name; null: none)."""
+    wanted = ranks.select("_g", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("bigint").alias("rank")) for n in names))).alias("_w")).select("_g", "_w.*").where("rank >= 0")
+    found = histogram_ranks(rows, ["_g"], wanted)
+    return found.groupBy("_g").agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
+
+
 def verdict(tests: DataFrame, controls: DataFrame, coverage: DataFrame, least: int = 12, least_regimes: int = 5, alpha: float = 0.05, primary: int = 24, pooled: str = "POOLED") -> DataFrame:
     """One row: the study's disposition with what it rests on, from tests of every cell (see study), controls (shuffled_diff) and coverage (asset, eligible, covered).
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import percentile
+from tidemark.operators.resampling import ranked_values
 from tidemark.operators.windows import chunked, hours, numbered, running
+from tidemark.session import staged
 
 
 def receipt_qualified(observations: DataFrame, receipts: DataFrame, runs: DataFrame) -> DataFrame:
@@ -61,15 +63,21 @@ def nearest_rank(values: str, p: float) -> Column:
     return F.element_at(values, F.bround((F.size(values) - 1) * F.lit(p), 0).cast("int") + 1)
 
 
+def _grouped(outcomes: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """The columns with the keys as one struct _g, which joins null keys too; written, since ranks read it several times."""
+    return staged(outcomes.select(F.struct(F.lit(0).alias("_"), *keys).alias("_g"), *columns), "outcomes")
+
+
 def outcome_summary(outcomes: DataFrame, keys: list[str], value: str = "outcome", points: tuple[int, ...] = (5, 25, 50, 75, 95)) -> DataFrame:
-    """n, missing, mean, median, stddev (0 for one value), min, max, nearest-rank percentiles, shares above and below 0. Ranks come from numbered rows, so no group is gathered."""
-    known = outcomes.where(F.col(value).isNotNull())
-    base = outcomes.groupBy(*keys).agg(F.count(value).alias("n"), F.count_if(F.col(value).isNull()).alias("missing"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.when(F.count(value) == 1, 0.0).otherwise(F.stddev_samp(value)).alias("stddev"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg((F.col(value) > 0).cast("double")).alias("p_positive"), F.avg((F.col(value) < 0).cast("double")).alias("p_negative"))
-    ranked = numbered(known.select(*keys, value), keys, [value], F.floor(F.col(value) * 50))
-    sized = ranked.join(base.select(*keys, "n"), keys)
-    at = lambda p: F.bround((F.col("n") - 1) * F.lit(p / 100), 0)
-    picks = sized.groupBy(*keys).agg(*(F.max(F.when(F.col("_rank") == at(p), F.col(value))).alias(f"p{p:02d}") for p in points))
-    return base.join(picks, keys, "left")
+    """n, missing, mean, median, stddev (0 for one value), min, max, nearest-rank percentiles, shares above and below 0. Median and percentiles are
+    picked by rank from refined counts (see histogram_ranks), so no group is gathered or sorted in one task."""
+    rows = _grouped(outcomes, keys, value)
+    base = rows.groupBy("_g").agg(F.count(value).alias("n"), F.count_if(F.col(value).isNull()).alias("missing"), F.avg(value).alias("mean"), F.when(F.count(value) == 1, 0.0).otherwise(F.stddev_samp(value)).alias("stddev"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg((F.col(value) > 0).cast("double")).alias("p_positive"), F.avg((F.col(value) < 0).cast("double")).alias("p_negative"))
+    base = staged(base, "summary")
+    at = {f"p{p:02d}": F.bround((F.col("n") - 1) * F.lit(p / 100), 0) for p in points} | {"_lo": F.floor((F.col("n") - 1) / 2), "_hi": F.floor(F.col("n") / 2)}
+    picks = ranked_values(rows.where(F.col(value).isNotNull()).select("_g", F.col(value).alias("_v")), base.where("n > 0").select("_g", *(c.alias(k) for k, c in at.items())), list(at))
+    got = base.join(picks, "_g", "left")
+    return got.select(*(F.col("_g")[k].alias(k) for k in keys), "n", "missing", "mean", ((F.col("_lo") + F.col("_hi")) / 2).alias("median"), "stddev", "min", "max", "p_positive", "p_negative", *(f"p{p:02d}" for p in points))
 
 
 def cubed(outcomes: DataFrame, key: str = "asset", pooled: str = "POOLED") -> DataFrame:
@@ -78,11 +86,23 @@ def cubed(outcomes: DataFrame, key: str = "asset", pooled: str = "POOLED") -> Da
 
 
 def effect_sizes(outcomes: DataFrame, keys: list[str], value: str = "outcome", flag: str = "treated") -> DataFrame:
-    """Treated against ordinary rows: counts, mean, median and P(>0) differences, standardised difference; null unless both sides have two values."""
-    t, o = F.when(F.col(flag), F.col(value)), F.when(~F.col(flag), F.col(value))
-    got = outcomes.groupBy(*keys).agg(F.count(t).alias("n_treated"), F.count(o).alias("n_ordinary"), (F.avg(t) - F.avg(o)).alias("_mean"), (F.median(t) - F.median(o)).alias("_median"), (F.avg((t > 0).cast("double")) - F.avg((o > 0).cast("double"))).alias("_p"), ((F.var_pop(t) + F.var_pop(o)) / 2).alias("_v"))
+    """Treated against ordinary rows: counts, mean, median and P(>0) differences, standardised difference; null unless both sides have two values.
+
+    Rows of either side are counted and summed before the shuffle; medians are picked by rank from refined counts, so no group is gathered. Null values and
+    rows of neither side (null flag) count for nothing, but their group has a row.
+    """
+    rows = _grouped(outcomes.withColumn("_v", F.when(F.col(flag).isNotNull(), F.col(value))).withColumn("_side", F.col(flag)), keys, "_side", "_v")
+    t, o = F.when(F.col("_side"), F.col("_v")), F.when(~F.col("_side"), F.col("_v"))
+    base = rows.groupBy("_g").agg(F.count(t).alias("n_treated"), F.count(o).alias("n_ordinary"), (F.avg(t) - F.avg(o)).alias("_mean"), (F.avg((t > 0).cast("double")) - F.avg((o > 0).cast("double"))).alias("_p"), ((F.var_pop(t) + F.var_pop(o)) / 2).alias("_v"))
+    base = staged(base, "effects")
     enough = (F.col("n_treated") >= 2) & (F.col("n_ordinary") >= 2)
-    return got.select(*keys, "n_treated", "n_ordinary", F.when(enough, F.col("_mean")).alias("mean_diff"), F.when(enough, F.col("_median")).alias("median_diff"), F.when(enough, F.col("_p")).alias("p_positive_diff"), F.when(enough, F.col("_mean") / F.greatest(F.lit(1e-12), F.sqrt("_v"))).alias("standardized_diff"))
+    sides = [(True, "n_treated"), (False, "n_ordinary")]
+    ranks = base.where(enough).select(F.explode(F.array(*(F.struct(F.struct(F.col("_g").alias("of"), F.lit(s).alias("side")).alias("_g"), F.floor((F.col(n) - 1) / 2).alias("_lo"), F.floor(F.col(n) / 2).alias("_hi")) for s, n in sides))).alias("_r")).select("_r.*")
+    picks = ranked_values(rows.where("_v IS NOT NULL").select(F.struct(F.col("_g").alias("of"), F.col("_side").alias("side")).alias("_g"), "_v"), ranks, ["_lo", "_hi"])
+    middle = (F.col("_lo") + F.col("_hi")) / 2
+    medians = picks.groupBy(F.col("_g.of").alias("_g")).agg((F.max(F.when(F.col("_g.side"), middle)) - F.max(F.when(~F.col("_g.side"), middle))).alias("_median"))
+    got = base.join(medians, "_g", "left")
+    return got.select(*(F.col("_g")[k].alias(k) for k in keys), "n_treated", "n_ordinary", F.when(enough, F.col("_mean")).alias("mean_diff"), F.when(enough, F.col("_median")).alias("median_diff"), F.when(enough, F.col("_p")).alias("p_positive_diff"), F.when(enough, F.col("_mean") / F.greatest(F.lit(1e-12), F.sqrt("_v"))).alias("standardized_diff"))
 
 
 def matched_baseline(events: DataFrame, value: str = "outcome", order: tuple[str, ...] = ("observed_at", "id")) -> DataFrame:
