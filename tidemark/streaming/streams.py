@@ -5,10 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.session import shared_dir
 
@@ -51,6 +54,52 @@ def percentiles(ticks: DataFrame, window: int = 30) -> DataFrame:
     return ticks.groupBy("asset").applyInPandasWithState(step, "id bigint, asset string, percentile double", "ring array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+#: What an asset keeps between batches: ticks still waiting for the watermark, the last values, the last tick used and the number of regimes so far.
+WAITING = "at array<bigint>, ids array<bigint>, values array<double>, ring array<double>, last bigint, was boolean, regime bigint"
+
+
+def regimes(ticks: DataFrame, late: str = "1 hour", threshold: float = 90.0, window: int = 30, gap_seconds: int = 3600) -> DataFrame:
+    """id, asset, percentile (strict, trailing), treated, regime, starts of each tick, used in order of event time whatever order files and batches bring.
+
+    A tick waits in its asset's state until the watermark (latest time less `late`) has reached it; then all that may be used are put in order of (observed_at,
+    id), so the rows are those of the batch forms over the same ticks. A timer wakes an asset that gets no more ticks. State is the ticks of the last `late` plus
+    `window` values for each asset; ticks without a time or a value are dropped, late ones too unless they still come after the last tick used of their asset (Spark
+    lets rows in by the watermark of the batch before); ticks after the last watermark stay in state.
+    """
+
+    def step(key, frames, state):
+        at, ids, values, ring, last, was, regime = state.get if state.exists else ([], [], [], [], None, False, 0)
+        new = [f for f in frames if len(f)]
+        # Nanoseconds or microseconds, as pandas has it: state holds microseconds.
+        at = np.concatenate([np.asarray(at, np.int64), *(f["observed_at"].to_numpy().astype("datetime64[us]").astype(np.int64) for f in new)])
+        ids = np.concatenate([np.asarray(ids, np.int64), *(f["id"].to_numpy(np.int64) for f in new)])
+        values = np.concatenate([np.asarray(values, float), *(f["funding_rate"].to_numpy(float) for f in new)])
+        order = np.lexsort((ids, at))
+        order = order if last is None else order[at[order] > last]
+        at, ids, values = at[order], ids[order], values[order]
+        mark = state.getCurrentWatermarkMs()
+        n = int(np.searchsorted(at, mark * 1000, "right"))
+        if n:
+            known = np.concatenate([np.full(window - 1 - len(ring), np.nan), np.asarray(ring, float), values[:n]])
+            views, now = np.lib.stride_tricks.sliding_window_view(known, window), values[:n, None]
+            lower = ((views < now) | (np.isnan(now) & ~np.isnan(views))).sum(1)  # NaN is the largest value, as in Spark
+            percentile = 100.0 * lower / np.minimum(window, len(ring) + 1 + np.arange(n))
+            treated = percentile >= threshold
+            before = np.concatenate([[was], treated[:-1]])
+            gap = np.diff(at[:n], prepend=at[0] if last is None else last) > gap_seconds * 1_000_000
+            starts = treated & (~before | gap)
+            number = regime + np.cumsum(starts)
+            ring, last, was, regime = [*ring, *values[:n].tolist()][-(window - 1):] if window > 1 else [], int(at[n - 1]), bool(treated[-1]), int(number[-1])
+            yield pd.DataFrame({"id": ids[:n], "asset": key[0], "percentile": percentile, "treated": treated, "regime": pd.Series(number, dtype="Int64").where(treated), "starts": starts})
+        state.update((at[n:].tolist(), ids[n:].tolist(), values[n:].tolist(), list(ring), last, was, regime))
+        if n < len(at):
+            state.setTimeoutTimestamp(max(mark + 1, -(-int(at[n]) // 1000) - 1))
+
+    known = ticks.where("observed_at IS NOT NULL AND funding_rate IS NOT NULL").select("id", "asset", "observed_at", "funding_rate").withWatermark("observed_at", late)
+    schema = "id bigint, asset string, percentile double, treated boolean, regime bigint, starts boolean"
+    return known.groupBy("asset").applyInPandasWithState(step, schema, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def gate(assets: list[str], path: str, stale_hours: int = 30) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: after each batch one row with the watermark over all assets and whether it blocks, from all batches so far.
 
@@ -89,6 +138,39 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{home}/out")
 
 
+class Paused(RuntimeError):
+    """A run has done as many batches as it may."""
+
+
+def continued(stream: DataFrame, home: str, most: int | None = None) -> DataFrame:
+    """Runs the stream from where the folder `home` stands, through at most `most` batches, and returns all that this and earlier runs have written.
+
+    `home` holds progress, state and output, so a run that ended for whatever reason (a lost driver, an error, `most`) is taken up by the next one with the same
+    folder. Each batch overwrites the folder of its own number: one that was written but not yet committed when its run ended is written again, not twice.
+    """
+    spark, done = stream.sparkSession, []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if most is not None and len(done) >= most:
+            raise Paused(f"{most} batches done")
+        batch.write.mode("overwrite").parquet(f"{home}/out/batch={batch_id}")
+        done.append(batch_id)
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    except StreamingQueryException as stopped:
+        if most is None or len(done) < most or Paused.__name__ not in str(stopped):
+            raise
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(schema).parquet(f"{home}/out").drop("batch") if done or _exists(spark, f"{home}/out") else spark.createDataFrame([], stream.schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def gated(stream: DataFrame, assets: list[str]) -> DataFrame:
     """The gate's row after the last batch."""
     spark = stream.sparkSession
