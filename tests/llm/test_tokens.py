@@ -140,3 +140,29 @@ def test_plan_is_close_to_the_bound():
     short = lambda rows: sum(k * len(held) for held, k in rows if held != (2048,))
     assert short(made[:from_patterns]) > 0.5 * short(made) and all(sum(held) == 2048 for held, _ in made[:from_patterns])
     assert sum(k for _, k in made) <= 1.01 * -(-int((counts * np.arange(2049)).sum()) // 2048)
+
+
+def test_fit_decides():
+    """Without the fit no pattern is used; with it most pieces come from patterns, each with a fitted count of a half or more, in no more sequences."""
+    r = np.random.default_rng(7)
+    counts = np.bincount(np.minimum(2048, r.geometric(1 / 700, 20_000)), minlength=2049)
+    made, from_patterns = packing.plan(counts, 2048)
+    bare, none = packing.plan(counts, 2048, lambda rows, left: np.zeros(len(rows)))
+    bins = lambda rows: sum(k for _, k in rows)
+    assert all(held == (2048,) for held, _ in bare[:none]) and bins(made) <= bins(bare)
+    short = lambda rows: sum(k * len(held) for held, k in rows if held != (2048,))
+    assert short(made[:from_patterns]) > 0.5 * short(made)
+    rows = packing.patterns(np.where(np.arange(2049) < 2048 // packing.SPARE, 0, np.where(np.arange(2049) < 2048, counts, 0)), 2048)
+    assert (rows.sum(1) == 2048).all()
+    x = dict(zip((tuple(sorted((v for v in row if v), reverse=True)) for row in rows.tolist()), packing.fitted(rows, np.where(np.arange(2049) < 2048, counts, 0)).tolist(), strict=True))
+    assert all(x[held] >= 0.5 and k <= x[held] + 0.5 for held, k in made[:from_patterns] if held != (2048,))
+
+
+def test_fit_is_a_least_squares_minimum():
+    """Three patterns, by hand: the weighted minimum has no count that could move, and the one that is not needed stays at 0."""
+    rows = np.array([[4, 4, 0, 0], [2, 6, 0, 0], [2, 2, 4, 0]])
+    counts = np.zeros(9, np.int64)
+    counts[[2, 4, 6]] = [10, 8, 10]
+    x = packing.fitted(rows, counts, least=1e-6)
+    assert x == pytest.approx([4, 10, 0], abs=1e-3)
+    assert len(packing.fitted(np.zeros((0, 4), np.int64), counts)) == 0

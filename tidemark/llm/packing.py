@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,11 @@ from tidemark.llm.encoders import SLICE, Spaced, encoder
 from tidemark.session import ship, staged
 
 #: Pieces shorter than capacity / SPARE stay out of patterns: they fill the gaps of the residue.
-SPARE = 16
+SPARE = 32
+#: The fit has converged when no pattern's count can move by this much; counts are rounded to whole ones.
+LEAST = 0.1
+#: Power of a length by which the fit weighs what it misses there.
+WEIGHT = 0.5
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint"
 
 
@@ -42,8 +47,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
     return docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInArrow(encode, PIECES)
 
 
-def patterns(left: np.ndarray, capacity: int) -> list[list[int]]:
-    """Multisets of lengths still left that fill the capacity exactly: all of two and three, and of four those made of the most frequent pair of each sum. Their number is bounded by the capacity, not by the data."""
+def patterns(left: np.ndarray, capacity: int) -> np.ndarray:
+    """Multisets of lengths still left that fill the capacity exactly, four columns padded with 0: all of two and three, and of four those made of the most frequent pair of each sum. Their number is bounded by the capacity, not by the data."""
     lengths = np.flatnonzero(left)
     a, b = np.meshgrid(lengths, lengths, indexing="ij")
     inside = (a <= b) & (a + b < capacity)
@@ -59,51 +64,66 @@ def patterns(left: np.ndarray, capacity: int) -> list[list[int]]:
     best[sums] = np.stack([a, b], 1)[order][first]
     low = np.arange(1, capacity // 2 + 1)
     low = low[(best[low, 0] > 0) & (best[capacity - low, 0] > 0)]
-    return [*two.tolist(), *three.tolist(), *np.concatenate([best[low], best[capacity - low]], 1).tolist()]
+    rows = [two, three, np.concatenate([best[low], best[capacity - low]], 1)]
+    return np.concatenate([np.pad(r.astype(np.int64), ((0, 0), (0, 4 - r.shape[1]))) for r in rows])
 
 
-def fitted(rows: list[list[int]], counts: np.ndarray, sweeps: int = 3) -> list[float]:
-    """Non-negative repeat counts x that lower ||A x - counts||², a column of A for each pattern: coordinate descent, each count at its own minimum in turn."""
-    gap, x = counts.astype(float).tolist(), [0.0] * len(rows)
-    size = [sum(row.count(v) for v in row) for row in rows]
-    for _ in range(sweeps):
-        for j, row in enumerate(rows):
-            pull = 0.0
-            for v in row:
-                pull += gap[v]
-            new = max(0.0, x[j] + pull / size[j])
-            step = new - x[j]
-            if step:
-                x[j] = new
-                for v in row:
-                    gap[v] -= step
+def fitted(rows: np.ndarray, counts: np.ndarray, least: float = LEAST, at_once: int = 8192) -> np.ndarray:
+    """Non-negative repeat counts x that lower ||W (A x - counts)||², a column of A for each pattern, from 0 until no single x can move by `least`.
+
+    W weighs a length's miss by the length to the power WEIGHT: long pieces are fitted first, and what the fit leaves is short and easily placed.
+
+    Steepest coordinate descent: in each round the patterns whose own best step lowers the sum most move by just that step, as many at once as share no length
+    with one that lowers it more (so each is still at its own minimum). Patterns that are not needed stay at 0, so few are not 0.
+    """
+    gap, x = counts.astype(float), np.zeros(len(rows))
+    gap[0] = 0.0  # the padding
+    weight = np.arange(len(gap), dtype=float) ** (2 * WEIGHT) / float(len(gap) - 1) ** (2 * WEIGHT)
+    weight[0] = 0.0
+    size = (((rows[:, :, None] == rows[:, None, :]) & (rows[:, :, None] > 0)).sum(2) * weight[rows]).sum(1)
+    while len(rows):
+        step = np.maximum(-x, (gap * weight)[rows].sum(1) / size)
+        gain = np.where(np.abs(step) >= least, step * step * size, 0.0)
+        moving = np.flatnonzero(gain)
+        if not len(moving):
+            break
+        if len(moving) > at_once:
+            moving = moving[np.argpartition(-gain[moving], at_once)[:at_once]]
+        moving = moving[np.argsort(-gain[moving], kind="stable")]
+        place = np.arange(len(moving))
+        first = np.full(len(gap), len(moving))
+        np.minimum.at(first, rows[moving], place[:, None])
+        own = moving[((first[rows[moving]] == place[:, None]) | (rows[moving] == 0)).all(1)]
+        x[own] += step[own]
+        np.subtract.at(gap, rows[own], step[own, None])
+        gap[0] = 0.0
     return x
 
 
-def plan(counts: np.ndarray, capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+def plan(counts: np.ndarray, capacity: int, fit: Callable[[np.ndarray, np.ndarray], np.ndarray] = fitted) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """((lengths, repeats) that use up `counts`, pieces by length, a fixed-size histogram; how many of these come from patterns).
 
-    Patterns are fitted to the histogram and their counts rounded, one repeat at least, the largest first, as far as pieces last; what is left is fitted anew until
-    no pattern finds its pieces. Only then the residue goes by best fit, longest first.
+    Patterns are fitted to the histogram and their counts rounded (a pattern of less than a half is not used), the largest first, as far as pieces last. The residue
+    goes by best fit, longest first.
     """
     left = counts.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
     if left[capacity]:
         out.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    placed = -1
-    while placed < len(out):
-        placed, rows = len(out), patterns(np.where(np.arange(capacity + 1) < capacity // SPARE, 0, left), capacity)
-        fit = fitted(rows, left)
-        held = left.tolist()
-        for j in sorted(range(len(rows)), key=lambda j: -fit[j]):
-            row = rows[j]
-            k = min([max(1, int(fit[j] + 0.5)), *(held[v] // row.count(v) for v in row)])
-            if k > 0:
-                out.append((tuple(sorted(row, reverse=True)), k))
-                for v in row:
-                    held[v] -= k
-        left = np.array(held, np.int64)
+    rows = patterns(np.where(np.arange(capacity + 1) < capacity // SPARE, 0, left), capacity)
+    x = fit(rows, left)
+    wanted = np.floor(x + 0.5).astype(np.int64)
+    used = np.flatnonzero(wanted)
+    held = left.tolist()
+    for j in used[np.argsort(-x[used], kind="stable")].tolist():
+        row = [v for v in rows[j].tolist() if v]
+        k = min([int(wanted[j]), *(held[v] // row.count(v) for v in row)])
+        if k > 0:
+            out.append((tuple(sorted(row, reverse=True)), k))
+            for v in row:
+                held[v] -= k
+    left = np.array(held, np.int64)
     from_patterns = len(out)
     # Residue: the bins open at each free length, as (contents, number of equal bins).
     room: list[list[list]] = [[] for _ in range(capacity + 1)]
