@@ -154,7 +154,10 @@ def test_fit_decides():
     assert short(made[:from_patterns]) > 0.5 * short(made)
     rows = packing.patterns(np.where(np.arange(2049) < 2048 // packing.SPARE, 0, np.where(np.arange(2049) < 2048, counts, 0)), 2048)
     assert (rows.sum(1) == 2048).all()
-    x = dict(zip((tuple(sorted((v for v in row if v), reverse=True)) for row in rows.tolist()), packing.fitted(rows, np.where(np.arange(2049) < 2048, counts, 0)).tolist(), strict=True))
+    x = defaultdict(float)  # a multiset may be listed twice
+    for row, v in zip(rows.tolist(), packing.fitted(rows, np.where(np.arange(2049) < 2048, counts, 0)).tolist(), strict=True):
+        held = tuple(sorted((n for n in row if n), reverse=True))
+        x[held] = max(x[held], v)
     assert all(x[held] >= 0.5 and k <= x[held] + 0.5 for held, k in made[:from_patterns] if held != (2048,))
 
 
