@@ -9,7 +9,7 @@ from tidemark.plans import registry
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
 #: At this scale some of these have no row.
-MAY_BE_EMPTY = {"publication_state", "search", "extreme_facts", "walk_forward", "accepted_claims", "near_duplicates", "recent_duplicates", "pct_inclusive"}
+MAY_BE_EMPTY = {"publication_state", "search", "extreme_facts", "walk_forward", "accepted_claims", "near_duplicates", "duplicate_links", "recent_duplicates", "pct_inclusive"}
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import chunked, hours, numbered
+from tidemark.operators.windows import chunked, hours, numbered, trailing
+from tidemark.session import staged
 
 
 def _gaps(rows: DataFrame, keys: list[str], at: Column) -> DataFrame:
@@ -84,3 +85,62 @@ def coverage_audit(coverage: DataFrame, least: int = 5) -> DataFrame:
     got = coverage.agg(F.count("*").alias("n_assets"), F.sum("n_regimes").cast("bigint").alias("total_regimes"), F.min("n_regimes").alias("least_regimes"))
     ready = (F.col("total_regimes") >= least) & (F.col("least_regimes") >= least)
     return got.withColumn("ready", ready).withColumn("recommendation", F.when(ready, "RUN_STUDY").otherwise("COLLECT_MORE"))
+
+
+def qualified(observations: DataFrame, receipts: DataFrame, runs: DataFrame, start: Column, end: Column, mode: str) -> DataFrame:
+    """asset, kind, observed_at, id, funding_rate, n_receipts: observations in [start, end] with a receipt of this mode, of a finished successful run, at exactly their native time."""
+    native = F.when(F.col("observation_kind") == "candle", F.col("observed_at") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("observed_at"))
+    done = runs.where("status = 'SUCCESS' AND ended_at IS NOT NULL").select(F.col("id").alias("collection_run_id"))
+    good = receipts.where(F.col("analysis_mode") == mode).join(done, "collection_run_id", "left_semi")
+    inside = observations.where((F.col("observed_at") >= start) & (F.col("observed_at") <= end)).withColumn("_native", native)
+    held = inside.join(good.select(F.col("market_observation_id").alias("id"), F.col("source_native_timestamp").alias("_native")), ["id", "_native"])
+    one = held.groupBy("asset", F.col("observation_kind").alias("kind"), "observed_at")
+    return one.agg(F.min("id").alias("id"), F.min_by("funding_rate", "id").alias("funding_rate"), F.count("*").alias("n_receipts"))
+
+
+def _recent(rows: DataFrame, seconds: int, stretch: int = 30 * 86400) -> DataFrame:
+    """Adds _recent: earlier rows of the asset within so many seconds. Time is cut into stretches with a halo, so no task holds an asset."""
+    at = F.floor(F.col("_us") / (stretch * 1_000_000))
+    late = F.pmod(F.col("_us"), F.lit(stretch * 1_000_000)) >= (stretch - seconds) * 1_000_000
+    halo = rows.withColumn("_chunk", F.explode(F.when(late, F.array(at, at + 1)).otherwise(F.array(at)))).withColumn("_own", F.col("_chunk") == at)
+    frame = Window.partitionBy("asset", "_chunk").orderBy("_us").rangeBetween(-seconds * 1_000_000, -1)
+    return halo.withColumn("_recent", F.count("*").over(frame)).where("_own").drop("_own", "_chunk")
+
+
+def qualified_audit(rows: DataFrame, assets: list[str], horizons: tuple[int, ...] = (1, 4, 24), share: float = 0.9, window: int = 30) -> DataFrame:
+    """What the receipt-qualified rows (of qualified()) of each asset hold: for funding and candles first, last, rows, gaps by the hour and duplicate receipts; extreme
+    funding observations, their regimes, and extremes with both candles of a horizon.
+
+    A funding row is extreme if it exceeds `share` of the values among the asset's last `window` rows, itself included; ties do not count as exceeded, rows without
+    a rate keep their place in the window. An extreme more than an hour after the extreme before begins a regime. An asset without rows is listed with zeros.
+    The qualified rows are judged once and staged; everything else is an aggregate of that table.
+    """
+    keys = ["asset", "kind"]
+    day = F.date_trunc("day", "observed_at")
+    last = Window.partitionBy(*keys, "_chunk").orderBy("_rank").rowsBetween(-1, -1)
+    near = trailing(rows, keys, ["observed_at"], day, window, {"_last": lambda w: F.collect_list("funding_rate").over(w), "_before": lambda w: F.first(hours("observed_at")).over(last)})
+    exceeded = F.size(F.filter("_last", lambda x: x < F.col("funding_rate"))) / F.size("_last") >= share
+    extreme = (F.col("kind") == "funding") & F.col("funding_rate").isNotNull() & exceeded
+    judged = staged(near.select(*keys, "observed_at", "n_receipts", (hours("observed_at") - F.col("_before") > 1).alias("gap"), F.coalesce(extreme, F.lit(False)).alias("extreme")), "audited")
+    parts = {"start": F.min, "end": F.max}
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    plain = judged.groupBy("asset").agg(*(x.alias(f"{k}_{n}") for k in ("funding", "candle") for n, x in (
+        *((n, f(of(k, F.col("observed_at")))) for n, f in parts.items()),
+        ("rows", F.count(of(k, F.lit(1)))),
+        ("gaps", F.count_if((F.col("kind") == k) & F.col("gap"))),
+        ("duplicates", F.coalesce(F.sum(of(k, F.col("n_receipts") - 1)), F.lit(0))),
+    )))
+    hits = _recent(judged.where("extreme").select("asset", "observed_at", F.unix_micros("observed_at").alias("_us")), 3600)
+    steps = hits.withColumn("_k", F.explode(F.array(*map(F.lit, (0, *horizons))))).withColumn("_h", hours("observed_at") - 1 + F.col("_k"))
+    candles = judged.where((F.col("kind") == "candle") & (F.date_trunc("hour", "observed_at") == F.col("observed_at"))).select("asset", hours("observed_at").alias("_h"), F.lit(True).alias("_has"))
+    has = steps.join(candles, ["asset", "_h"], "left").groupBy("asset", "_us", "_recent").agg(*(F.bool_or((F.col("_k") == k) & F.col("_has")).alias(f"_has{k}") for k in (0, *horizons)))
+    counts = has.groupBy("asset").agg(F.count("*").alias("n_extreme"), F.count_if(F.col("_recent") == 0).alias("n_regimes"), *(F.count_if(F.col("_has0") & F.col(f"_has{h}")).alias(f"eligible_{h}h") for h in horizons))
+    listed = rows.sparkSession.createDataFrame([(a,) for a in assets], "asset string").join(plain, "asset", "left").join(counts, "asset", "left")
+    return listed.select("asset", *(c if c.endswith(("_start", "_end")) else F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in listed.columns if c != "asset"))
+
+
+def audit_verdict(audit: DataFrame, least: int = 5, horizon: int = 24) -> DataFrame:
+    """One row: whether regimes suffice in total and eligible outcomes of the horizon for every asset, and what to do with the history window."""
+    got = audit.agg(F.count("*").alias("n_assets"), F.sum("n_regimes").alias("total_regimes"), F.min(f"eligible_{horizon}h").alias("least_eligible"))
+    ready = (F.col("total_regimes") >= least) & (F.col("least_eligible") >= least)
+    return got.withColumn("data_ready", F.when(ready, "YES").otherwise("NO")).withColumn("recommendation", F.when(ready, "HISTORY_WINDOW_SUFFICIENT").otherwise("EXTEND_TO_18_MONTHS"))

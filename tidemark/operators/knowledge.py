@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.groups import components
+from tidemark.session import staged
+
 #: Query expansions (fixed values): a query that equals a key is also searched by these terms.
 EXPANSIONS = {
     "crowded perp longs": ["funding", "perpetual", "positioning", "crowding"],
@@ -141,6 +144,31 @@ def near_duplicates(texts: DataFrame, structure: list[str] | None = None, least:
     return one.join(own("a"), "a").join(own("b"), "b").select("a", "b", F.round("_s", 3).alias("similarity"), (F.col("_a") == F.col("_b")).alias("shared_structure"))
 
 
+def duplicate_classes(texts: DataFrame, structure: list[str] | None = None, least: float = 0.45, least_structured: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of the duplicates that near_duplicates() would list pair by pair; texts as there.
+
+    members: id, set_id (the smallest id with the same set of words), class_id (the smallest id that links lead to) of every text. links: a, b (a < b), similarity,
+    structured (found between texts of one structure) between such smallest ids. Texts with the same words are one before anything is joined, so copies cost a row
+    each, not a pair each; texts without a word and null texts are one class.
+    """
+    also = structure or []
+    sets = texts.select("id", *also, F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != ""))).alias("words"))
+    firsts = staged(sets.groupBy("words").agg(F.min("id").alias("set_id")), "sets")
+    named = sets.join(firsts, "words")
+    found = _similar_sets(firsts.select(F.col("set_id").alias("id"), "words"), least, []).withColumn("structured", F.lit(False))
+    if also:  # a set takes part once for each structure it is found in
+        inner = named.select(F.col("set_id").alias("_set"), *also, "words").distinct().withColumn("id", F.xxhash64("_set", *also))
+        inner = staged(inner, "sets")
+        near = _similar_sets(inner.select("id", *also, "words"), least_structured, also)
+        ends = lambda x: inner.select(F.col("id").alias(x), F.col("_set").alias(f"_{x}"))
+        near = near.join(ends("a"), "a").join(ends("b"), "b").where("_a <> _b")
+        found = found.unionByName(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "_s", F.lit(True).alias("structured")))
+    links = staged(found.groupBy("a", "b").agg(F.round(F.max("_s"), 3).alias("similarity"), F.bool_or("structured").alias("structured")), "links")
+    groups = components(links.select("a", "b")).select(F.col("node").alias("set_id"), "component")
+    members = named.select("id", "set_id").join(groups, "set_id", "left").select("id", "set_id", F.coalesce("component", "set_id").alias("class_id"))
+    return members, links
+
+
 def expand(query: str) -> list[str]:
     """The normalised query and its synonyms; 1 to 500 characters."""
     q = " ".join(query.lower().split())

@@ -81,3 +81,20 @@ def trusted(stored: DataFrame, fresh: DataFrame, cutoff: Column) -> DataFrame:
     """Stored metrics that equal their recomputation and carry the same cutoff."""
     again = fresh.select("asset", "observed_at", "metric_name", F.col("metric_value").alias("_fresh"))
     return stored.join(again, ["asset", "observed_at", "metric_name"]).where(F.col("metric_value").eqNullSafe(F.col("_fresh")) & (F.col("cutoff") == cutoff)).drop("_fresh")
+
+
+def refreshed(stored: DataFrame, fresh: DataFrame, visible: DataFrame, cutoff: Column) -> DataFrame:
+    """The metric store after a recomputation at `cutoff`, with `change`; stored: asset, observed_at, metric_name, metric_value, cutoff.
+
+    A stored metric of this cutoff stays (skipped), as does one whose observation is not visible (asset, observed_at) at the cutoff (untouched). Any other is
+    updated, or deleted where the recomputation has no value for it; fresh metrics without a stored one are inserted.
+    """
+    keys = ["asset", "observed_at", "metric_name"]
+    old = stored.select(*keys, F.col("metric_value").alias("_old"), F.col("cutoff").alias("_cutoff"))
+    new = fresh.select(*keys, F.col("metric_value").alias("_new"))
+    seen = visible.select("asset", "observed_at", F.lit(True).alias("_seen")).distinct()
+    both = old.join(new, keys, "full_outer").join(seen, keys[:2], "left")
+    change = F.when(F.col("_cutoff").isNull(), "inserted").when(F.col("_cutoff") == cutoff, "skipped").when(F.col("_seen").isNull(), "untouched").when(F.col("_new").isNull(), "deleted").otherwise("updated")
+    takes = F.col("change").isin("inserted", "updated")
+    got = both.withColumn("change", change)
+    return got.select(*keys, F.when(takes, F.col("_new")).otherwise(F.col("_old")).alias("metric_value"), F.when(takes, cutoff).otherwise(F.col("_cutoff")).alias("cutoff"), "change")

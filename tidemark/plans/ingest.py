@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest as I
-from tidemark.operators import pit
-from tidemark.plans.standins import funding, items, out, runs, sql, table
+from tidemark.operators import metrics, pit
+from tidemark.plans.standins import candle, funding, items, out, runs, sql, table
+from tidemark.session import shared_dir
+from tidemark.sources import stores
 
 LOW, HIGH = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
 CUT = "2024-01-25 00:00:00"
@@ -56,7 +60,31 @@ def _twice(ticks):
     return ticks.unionByName(ticks.where("id % 7 = 0"))
 
 
+def _collected(s, d):
+    """Two batches of orders taken into one store of a new folder, the second with rows that have no key: (store, runs)."""
+    at = f"{shared_dir(s)}/tidemark/collected-{uuid.uuid4().hex}"
+    rows = _hashed(_store(s, d).withColumn("key", F.when(F.col("id") % 31 != 0, F.col("key"))))
+    batches = {"first": rows.where("id % 3 = 0 AND key IS NOT NULL"), "second": rows.where("id % 3 <> 0")}
+    for name, batch in batches.items():
+        stores.collect(batch, f"{at}/store", ["key"], "hash", ["id"], stores.spread(["key"], 16), f"{at}/runs", name, 1000)
+    return stores.read(s, f"{at}/store", rows.schema), s.read.parquet(f"{at}/runs")
+
+
+def _refreshed(s, d):
+    """Returns recomputed at a cutoff against stored ones: of this cutoff, of an earlier one, under a name that is no longer computed, or later than the cutoff."""
+    c = candle(s, d)
+    got = metrics.anchor_returns(c).where("return IS NOT NULL").select("asset", "observed_at", F.format_string("return_%dh", "horizon").alias("metric_name"), F.col("return").alias("metric_value"))
+    h = F.hour("observed_at")
+    name = F.when(h == 5, F.concat("metric_name", F.lit("_old"))).otherwise(F.col("metric_name"))
+    stored = got.where(F.dayofmonth("observed_at") % 3 != 0).select("asset", "observed_at", name.alias("metric_name"), (F.col("metric_value") + 1).alias("metric_value"), F.when(h % 2 == 0, _ts(LOW)).otherwise(_ts(HIGH)).alias("cutoff"))
+    seen = c.where(F.col("observed_at") <= _ts(HIGH))
+    return metrics.refreshed(stored, got.where(F.col("observed_at") <= _ts(HIGH)), seen, _ts(HIGH))
+
+
 QUERIES = {
+    "metrics_refresh": lambda s, d: out(_refreshed(s, d)),
+    "store_collect": lambda s, d: _collected(s, d)[0].select("key", "id", "hash"),
+    "run_accounting": lambda s, d: _collected(s, d)[1].drop("started_at", "ended_at"),
     "asof_dated": lambda s, d: pit.records_as_of(items(s, d), _ts(LOW), keep_undated=False).select("id", F.lit(True).alias("kept")),
     "asof_records": lambda s, d: pit.records_as_of(items(s, d), _ts(LOW)).select("id", F.lit(True).alias("kept")),
     "dispositions": lambda s, d: pit.dispositions(items(s, d), items(s, d).where("id % 4 <> 0").select(F.col("id").alias("source_item_id")), _ts(HIGH), F.lower(F.concat_ws(" ", "title", "raw_text")).rlike("ing")).select("id", "disposition", "reason_code"),
@@ -90,8 +118,15 @@ _ID = ", r AS (SELECT id, source_name, title, coalesce('doi:' || lower(CASE WHEN
 _PG = ", p AS (SELECT page_id AS id, html, CASE WHEN page_id % 9 = 0 THEN 'MEDIA_TYPE' WHEN strlen(html) > 6000 THEN 'TOO_LARGE' END AS reason, sha256(html) AS sha FROM pages)"
 _B = ", b AS (SELECT asset, CAST(date_trunc('day', min(observed_at)) AS TIMESTAMP) AS s, CAST(date_trunc('day', max(observed_at)) AS TIMESTAMP) AS e FROM funding GROUP BY asset)"
 _O = f", o AS (SELECT event_id AS id, event_type AS asset, CASE WHEN event_id % 3 = 0 THEN ts ELSE CAST(date_trunc('hour', ts) AS TIMESTAMP) END AS open_at FROM events), i AS (SELECT *, date_trunc('hour', open_at) = open_at AS aligned FROM o WHERE open_at {_RANGE})"
+_CO = ", s0 AS (SELECT CASE WHEN o_orderkey % 31 <> 0 THEN o_custkey END AS key, o_orderkey AS id, sha256(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)) AS hash FROM orders), b1 AS (SELECT * FROM s0 WHERE id % 3 = 0 AND key IS NOT NULL), b2 AS (SELECT * FROM s0 WHERE id % 3 <> 0), o AS (SELECT * FROM b1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) = 1), n AS (SELECT * FROM b2 WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) = 1)"
+_RE = f""", fr AS (SELECT c.asset, c.observed_at, 'return_' || h || 'h' AS metric_name, c.mark_price / b.mark_price - 1 AS v FROM candle c CROSS JOIN (SELECT unnest([1, 4, 24]) AS h) JOIN candle b ON b.asset = c.asset AND b.observed_at = c.observed_at - to_hours(h) AND b.mark_price <> 0),
+st AS (SELECT asset, observed_at, metric_name || CASE WHEN hour(observed_at) = 5 THEN '_old' ELSE '' END AS metric_name, v + 1 AS old, CASE WHEN hour(observed_at) % 2 = 0 THEN TIMESTAMP '{LOW}' ELSE TIMESTAMP '{HIGH}' END AS was FROM fr WHERE day(observed_at) % 3 <> 0),
+bo AS (SELECT *, CASE WHEN was IS NULL THEN 'inserted' WHEN was = TIMESTAMP '{HIGH}' THEN 'skipped' WHEN observed_at > TIMESTAMP '{HIGH}' THEN 'untouched' WHEN v IS NULL THEN 'deleted' ELSE 'updated' END AS change FROM st FULL JOIN (FROM fr WHERE observed_at <= TIMESTAMP '{HIGH}') USING (asset, observed_at, metric_name))"""
 
 ORACLE = {
+    "metrics_refresh": sql(_RE + f" SELECT asset, observed_at, metric_name, round(CASE WHEN change IN ('inserted', 'updated') THEN v ELSE old END, 6) AS metric_value, CASE WHEN change IN ('inserted', 'updated') THEN TIMESTAMP '{HIGH}' ELSE was END AS cutoff, change FROM bo"),
+    "store_collect": sql(_CO + " SELECT key, CASE WHEN n.hash IS NOT NULL AND (o.hash IS NULL OR n.hash <> o.hash) THEN n.id ELSE o.id END AS id, CASE WHEN n.hash IS NOT NULL THEN n.hash ELSE o.hash END AS hash FROM n FULL JOIN o USING (key)"),
+    "run_accounting": sql(_CO + ", u AS (SELECT count(*) FILTER (WHERE o.key IS NULL) AS i, count(*) FILTER (WHERE n.hash <> o.hash) AS u FROM n LEFT JOIN o USING (key)), c AS (SELECT 'first' AS source, (SELECT count(*) FROM b1) AS retrieved, (SELECT count(*) FROM o) AS inserted, 0 AS updated, 0 AS failed UNION ALL SELECT 'second', (SELECT count(*) FROM b2), i, u, (SELECT count(*) FROM b2 WHERE key IS NULL) FROM u) SELECT source, CAST(1000 AS BIGINT) AS requested, retrieved, inserted, updated, retrieved - failed - inserted - updated AS duplicates, failed, CASE WHEN failed > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM c"),
     "asof_dated": sql(f"SELECT id, true AS kept FROM items WHERE published_at <= TIMESTAMP '{LOW}'"),
     "asof_records": sql(f"SELECT id, true AS kept FROM items WHERE published_at IS NULL OR published_at <= TIMESTAMP '{LOW}'"),
     "dispositions": sql(f", c AS (SELECT id, CASE WHEN published_at IS NULL OR published_at > TIMESTAMP '{HIGH}' THEN 1 WHEN retrieved_at > TIMESTAMP '{HIGH}' THEN 2 WHEN NOT contains(lower(title || ' ' || raw_text), 'ing') THEN 3 WHEN id % 4 = 0 THEN 4 END AS k FROM items) SELECT id, CASE k WHEN 1 THEN 'REJECTED_AVAILABILITY' WHEN 2 THEN 'REJECTED_AVAILABILITY' WHEN 3 THEN 'REJECTED_RELEVANCE' WHEN 4 THEN 'RETAINED_LEGACY_UNARCHIVED' ELSE 'RETAINED' END AS disposition, CASE k WHEN 1 THEN 'PUBLISHED_AFTER_AS_OF' WHEN 2 THEN 'RETRIEVED_AFTER_AS_OF' WHEN 3 THEN 'STRICT_TOPIC_GATE' WHEN 4 THEN 'NO_RAW_ARCHIVE_RECEIPT' END AS reason_code FROM c"),

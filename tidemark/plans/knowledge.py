@@ -64,6 +64,8 @@ QUERIES = {
     "family_members": lambda s, d: hypotheses(s, d).join(table(s, d, "customer").select(F.col("c_custkey").alias("fingerprint"), F.col("c_mktsegment").alias("segment")), "fingerprint").groupBy("segment").agg(F.count("*").alias("members"), F.count_distinct("fingerprint").alias("families")),
     "lineage": lambda s, d: K.lineage(hypotheses(s, d), links(s, d), _item_receipts(s, d), _at()),
     "near_duplicates": lambda s, d: K.near_duplicates(_texts(s, d), ["iv", "dv", "horizon"]),
+    "duplicate_classes": lambda s, d: K.duplicate_classes(_texts(s, d), ["iv", "dv", "horizon"])[0],
+    "duplicate_links": lambda s, d: K.duplicate_classes(_texts(s, d), ["iv", "dv", "horizon"])[1],
     "search": lambda s, d: out(K.search(_searched(s, d), "  Order   FLOW ", ["title", "raw_text", "source_name", "external_id", "topic"], [F.col("published_at").desc_nulls_last(), F.col("id").desc()], 50, K.in_scope(F.col("analysis_mode"), "PRODUCTION")).select("id", "published_at")),
     "search_all": lambda s, d: out(K.search(_searched(s, d), "order flow", ["title", "raw_text", "source_name", "external_id", "topic"], [F.col("published_at").desc_nulls_last(), F.col("id").desc()], 100, K.in_scope(F.col("analysis_mode"), "ALL")).select("id", "published_at")),
     "independence_key": lambda s, d: table(s, d, "events").select("event_id", K.independence_key(F.regexp_replace("props", '"k":', '"doi":'), F.col("event_id").cast("string")).alias("key")),
@@ -79,6 +81,12 @@ _DR = ", dr AS (SELECT fingerprint, l.channel, source_item_id AS evidence_id, in
 
 _SEARCHED = """, sr AS (SELECT id, published_at, CASE WHEN id % 5 = 0 THEN 'REPLAY' ELSE 'PRODUCTION' END AS analysis_mode, raw_text IS NOT NULL AND id % 9 IN (1, 2) OR id % 7 = 3
   OR regexp_matches(lower(concat_ws('|', title, raw_text, source_name, external_id, CASE WHEN id % 7 <> 3 THEN lang END)), 'order flow|order-flow imbalance|market microstructure') AS hit FROM items)"""
+_SETS = """, t AS (SELECT doc_id AS id, (lang, source, doc_id % 3) AS st, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(replace(coalesce(text, ''), chr(10), ' ')), '[^a-z0-9 ]+', '', 'g')), ' '), lambda w: w <> ''))) AS w FROM documents),
+k AS (SELECT w, min(id) AS set_id FROM t GROUP BY w), m AS (SELECT id, set_id, st FROM t JOIN k USING (w)), e AS (SELECT set_id, len(w) AS n, unnest(w) AS x FROM k),
+p AS (SELECT a.set_id AS a, b.set_id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS s FROM e a JOIN e b ON a.x = b.x AND a.set_id < b.set_id GROUP BY 1, 2),
+q AS (SELECT a, b, s, EXISTS (FROM m x JOIN m y ON x.st = y.st WHERE x.set_id = p.a AND y.set_id = p.b) AS structured FROM p WHERE s >= 0.25),
+li AS (SELECT a, b, round(s, 3) AS similarity, structured FROM q WHERE s >= 0.45 OR structured),
+ed AS (SELECT a, b FROM li UNION SELECT b, a FROM li)"""
 
 ORACLE = {
     "fuse_evidence": sql(_DR + " SELECT fingerprint, channels, evidence, n_keys, maturity FROM fm"),
@@ -99,6 +107,8 @@ e AS (SELECT id, len(w) AS n, unnest(w) AS x FROM t), p AS (SELECT a.id AS a, b.
 q AS (SELECT a, b, c / (an + bn - c) AS s FROM p UNION ALL SELECT x.id, y.id, 0.0 FROM t x JOIN t y ON x.id < y.id AND len(x.w) = 0 AND len(y.w) = 0),
 r AS (SELECT q.*, (x.iv, x.dv, x.hz) = (y.iv, y.dv, y.hz) AS shared_structure, len(x.w) = 0 AS bare FROM q JOIN t x ON x.id = q.a JOIN t y ON y.id = q.b)
 SELECT a, b, round(s, 3) AS similarity, shared_structure FROM r WHERE bare OR s >= 0.45 OR shared_structure AND s >= 0.25"""),
+    "duplicate_links": sql(_SETS + " SELECT a, b, similarity, structured FROM li"),
+    "duplicate_classes": sql(_SETS + ", lead AS (SELECT set_id AS node, set_id AS label FROM k) SELECT m.id, m.set_id, c.label AS class_id FROM m JOIN (WITH RECURSIVE r(node, label) AS (SELECT node, label FROM lead UNION SELECT ed.b, r.label FROM r JOIN ed ON ed.a = r.node) SELECT node, min(label) AS label FROM r GROUP BY node) c ON c.node = m.set_id"),
     "search": sql(_SEARCHED + " SELECT id, published_at FROM sr WHERE analysis_mode = 'PRODUCTION' AND hit ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 50"),
     "search_all": sql(_SEARCHED + " SELECT id, published_at FROM sr WHERE hit ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 100"),
     "independence_key": "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS VARCHAR), CAST(event_id AS VARCHAR)) AS key FROM events",
