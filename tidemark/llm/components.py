@@ -1,30 +1,5 @@
-"""Connected components of an edge table by alternating large-star and small-star steps; nothing is collected."""
+"""Connected components, shared with the rest of the library."""
 
-from __future__ import annotations
+from tidemark.operators.groups import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tidemark.session import discard, staged
-
-
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """edges: a, b (bigint). Returns node, component (the smallest node of its component) for every node of an edge."""
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    for _ in range(most):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        last, now = now, staged(small.where("a <> b").distinct(), "edges")
-        discard(last)
-        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if new == mark:
-            break
-        mark = new
-    else:
-        raise RuntimeError("components did not settle")
-    found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return found.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+__all__ = ["components"]
