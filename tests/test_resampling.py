@@ -152,3 +152,38 @@ def test_medians_of_groups_with_null_keys_and_outliers(spark):
         assert summed[k].n == len(every) and summed[k].missing == sum(q == k and v is None for q, _, v in data)
         assert summed[k]["median"] == (statistics.median(every) if every else None)
         assert [summed[k][f"p{p:02d}"] for p in (5, 25, 50, 75, 95)] == [every[round((len(every) - 1) * p / 100)] if every else None for p in (5, 25, 50, 75, 95)]
+
+
+def test_digests_of_many_texts():
+    import hashlib
+
+    from tidemark.operators.digests import Endings
+
+    ends = [b"|0", b"|-7", b"", b"|123456", b"|1|99", b"|%d" % (10**17), b"|0"]
+    made = Endings(ends)
+    for beginning in (b"9|0", b"20260901|17", b"20260901|999"):
+        assert made.numbers(beginning).tolist() == [int(hashlib.md5(beginning + e).hexdigest()[:8], 16) for e in ends]
+
+
+def test_resamples_are_made_inside_tasks(spark, monkeypatch):
+    """Equal to plain Python, also where a side has several blocks, and without a row for each replicate and row."""
+    monkeypatch.setattr(R, "PICKED", 25)
+    B, seed = 40, 9
+    data = [(i, k, t, v, at) for i, k, h, t, _, v, at in rows() if h == 24 and k != "lone"]
+    df = spark.createDataFrame(data, "id bigint, k string, treated boolean, outcome double, observed_at timestamp").repartition(4)
+    ci, p = {}, {}
+    for k in {x[1] for x in data}:
+        known = sorted((at, i, t, v) for i, q, t, v, at in data if q == k and v is not None)
+        side = {t: [x[3] for x in known if x[2] is t] for t in (True, False)}
+        mean = lambda t, r: statistics.fmean(side[t][R.number(seed, r, int(t), i) % len(side[t])] for i in range(len(side[t])))  # noqa: B023, E731
+        diffs = sorted(mean(True, r) - mean(False, r) for r in range(B))
+        ci[k] = (diffs[int(0.025 * (B - 1))], diffs[int(0.975 * (B - 1))])
+        real, hits, n = statistics.fmean(side[True]) - statistics.fmean(side[False]), 0, len(side[True])
+        for r in range(B):
+            order = [v for *_, v in sorted((R.number(seed, r, i), i, v) for _, i, _, v in known)]
+            hits += abs(statistics.fmean(order[:n]) - statistics.fmean(order[n:])) >= abs(real) - 1e-12
+        p[k] = (real, (hits + 1) / (B + 1))
+    got = {x.k: (x.ci_low, x.ci_high) for x in S.bootstrap_ci(df, ["k"], B, seed).collect()}
+    assert set(got) == set(ci) and all(got[k] == pytest.approx(ci[k]) for k in ci)
+    tested = S.permutation_p(df, ["k"], B, seed)
+    assert {x.k: (x["diff"], x.p_value) for x in tested.collect()} == {k: pytest.approx(v) for k, v in p.items()}

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.digests import Endings
 from tidemark.session import ship, staged
 
 PRIME = (1 << 31) - 1
@@ -177,18 +178,23 @@ def _permuted(rows: DataFrame, tests: DataFrame, sizes: list, replicates: int, s
             yield pa.record_batch([pa.array([level] * replicates), pa.array([population] * replicates), pa.array(np.full(replicates, horizon, np.int32)), pa.array(np.arange(replicates, dtype=np.int32)), pa.nulls(replicates, kinds[4]), pa.nulls(replicates, kinds[5]), pa.array(sums[0].astype(np.int64)), pa.array(sums[1])], names=names)
 
     found = staged(rows.mapInArrow(run, "level string, population string, horizon int, rep int, u bigint, id bigint, c bigint, v double"), "permuted")
-    keys = [*CELL, "rep"]
+    return _cut(found, tests, CELL)
+
+
+def _cut(found: DataFrame, tests: DataFrame, cell: list[str]) -> DataFrame:
+    """The cell, d, real and missed (see _permuted) from counts and sums below each band (c, v) and the rows of the band (u, id, v), by cell and rep."""
+    keys = [*cell, "rep"]
     low = found.where("u IS NULL").groupBy(*keys).agg(F.sum("c").alias("c"), F.sum("v").alias("below"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("u", "id"))
     near = found.where("u IS NOT NULL").select(*keys, "u", "id", "v").withColumn("r", rank)
-    known = low.join(F.broadcast(tests), CELL)  # one row for each cell
+    known = low.join(F.broadcast(tests), cell)  # one row for each cell
     take = near.join(known.select(*keys, "c", "k"), keys).groupBy(*keys).agg(F.sum(F.when(F.col("r") + F.col("c") <= F.col("k"), F.col("v"))).alias("part"), F.count("*").alias("held"))
     got = known.join(take, keys, "left")
     missed = (F.col("c") > F.col("k")) | (F.col("c") + F.coalesce("held", F.lit(0)) < F.col("k"))
     top = F.col("below") + F.coalesce("part", F.lit(0.0))
     real = F.col("st") / F.col("k") - (F.col("s") - F.col("st")) / (F.col("n") - F.col("k"))
     d = top / F.col("k") - (F.col("s") - top) / (F.col("n") - F.col("k"))
-    return got.select(*CELL, d.alias("d"), real.alias("real"), missed.alias("missed"))
+    return got.select(*cell, d.alias("d"), real.alias("real"), missed.alias("missed"))
 
 
 def study(outcomes: DataFrame, replicates: int = 1000, seed: int = 20260901, value: str = "outcome") -> DataFrame:
@@ -199,6 +205,113 @@ def study(outcomes: DataFrame, replicates: int = 1000, seed: int = 20260901, val
     return effects(base).join(permutation(rows, base, min(2000, replicates), seed), CELL, "left")
 
 
+#: Rows whose digests are made together; values of a block that resamples pick from; tasks that share the replicates of a block.
+TOGETHER, PICKED, SHARES = 1 << 15, 1 << 22, 16
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= least:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def digest_permutation(rows: DataFrame, tests: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """_cell, hits: replicates with |diff*| >= |diff|, where the k rows of smallest (digest of seed, replicate and id; id) play the k treated ones.
+
+    rows: _cell, id, _v; tests: _cell, k, n, s, st (rows and sums, of all and treated), a row for each cell. As in permutation(): a row's digests are made once for
+    all its cells, rows clearly below a cut are summed where they are, those near it are ranked.
+    """
+    ship(rows.sparkSession)
+    rows = staged(rows, "resampled")
+    sizes = tests.collect()  # one row for each cell
+    for around in AROUND:
+        drawn = staged(_cut(staged(_digested(rows, sizes, replicates, seed, around), "permuted"), tests, ["_cell"]), "permutations")
+        if not drawn.where("missed").head(1):
+            break
+    return drawn.groupBy("_cell").agg(F.count_if(F.abs("d") >= F.abs("real") - 1e-12).alias("hits"))
+
+
+def _digested(rows: DataFrame, sizes: list, replicates: int, seed: int, around: float) -> DataFrame:
+    numbers = np.array(sorted(c["_cell"] for c in sizes), np.int64)
+    low, high = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+    for c in sizes:
+        q, i = c["k"] / c["n"], int(np.searchsorted(numbers, c["_cell"]))
+        near = around * (q * (1 - q) / c["n"]) ** 0.5 + 2 / c["n"]
+        low[i], high[i] = int(max(0.0, q - near) * 2**32), int(min(1.0, q + near) * 2**32) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_cell", "rep", "u", "id", "c", "v"]
+        count, total = np.zeros((replicates, len(numbers)), np.int64), np.zeros((replicates, len(numbers)))
+        for t in _gathered(batches, TOGETHER):
+            ids, v = t["id"].combine_chunks(), t["_v"].to_numpy()
+            own = ids.dictionary_encode("encode")
+            whose = own.indices.to_numpy()
+            cell = np.searchsorted(numbers, t["_cell"].to_numpy())
+            draws, least, most = Endings([b"" if i is None else b"|%d" % i for i in own.dictionary.to_pylist()]), low[cell], high[cell]
+            reps, us, at = [], [], []
+            for r in range(replicates):
+                u = draws.numbers(b"%d|%d" % (seed, r))[whose].astype(np.int64)
+                under = np.flatnonzero(u < least)
+                count[r] += np.bincount(cell[under], minlength=len(numbers))
+                total[r] += np.bincount(cell[under], v[under], len(numbers))
+                near = np.flatnonzero((u >= least) & (u < most))
+                reps.append(np.full(len(near), r, np.int32))
+                us.append(u[near])
+                at.append(near)
+            at, n = np.concatenate(at), sum(map(len, at))
+            yield pa.record_batch([pa.array(numbers[cell[at]]), pa.array(np.concatenate(reps)), pa.array(np.concatenate(us)), ids.take(pa.array(at)), pa.nulls(n, pa.int64()), pa.array(v[at])], names=names)
+        n = count.size
+        yield pa.record_batch([pa.array(np.tile(numbers, replicates)), pa.array(np.repeat(np.arange(replicates, dtype=np.int32), len(numbers))), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(count.ravel()), pa.array(total.ravel())], names=names)
+
+    return rows.mapInArrow(run, "_cell bigint, rep int, u bigint, id bigint, c bigint, v double")
+
+
+def digest_bootstrap(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """_g, ci_low, ci_high of the mean difference over resamples of each side: the i-th pick of a replicate is the row whose number is the digest of seed, replicate, side
+    and i, modulo the rows of the side. rows: _g, _side (1 or 0), _i (number from 0 within both), _v.
+
+    Values are cut into blocks of PICKED; a task makes the picks of some replicates and sums those that fall into its block, so no pick is shuffled and no task holds
+    a side. Beyond PICKED rows of a side the picks are made again for every block.
+    """
+    ship(rows.sparkSession)
+    rows = staged(rows.where("_side IS NOT NULL").select("_g", "_side", F.col("_i").cast("bigint").alias("_i"), F.col("_v").cast("double").alias("_v")), "resampled")
+    sizes = staged(rows.groupBy("_g", "_side").agg(F.count("*").alias("n")), "sizes")
+    kind = dict(rows.dtypes)["_g"]
+
+    def block(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_i")
+        return pa.table([t["_g"][:1].combine_chunks(), t["_side"][:1].combine_chunks(), t["_i"][:1].combine_chunks(), pa.array([t["_v"].to_numpy()], pa.list_(pa.float64()))], names=["_g", "_side", "at", "v"])
+
+    blocks = staged(rows.groupBy("_g", "_side", F.floor(F.col("_i") / PICKED).alias("_b")).applyInArrow(block, f"_g {kind}, _side int, at bigint, v array<double>"), "blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                side, at, n, share = (batch.column(c)[k].as_py() for c in ("_side", "at", "n", "share"))
+                v = batch.column("v").slice(k, 1).flatten().to_numpy()
+                reps = range(share, replicates, SHARES)
+                sums = np.zeros(len(reps))
+                for start in range(0, n, TOGETHER):
+                    draws = Endings([b"|%d|%d" % (side, i) for i in range(start, min(n, start + TOGETHER))])
+                    for j, r in enumerate(reps):
+                        pick = draws.numbers(b"%d|%d" % (seed, r)).astype(np.int64) % n - at
+                        sums[j] += v[pick[(pick >= 0) & (pick < len(v))] if len(v) < n else pick].sum()
+                g = batch.column("_g").take(pa.array(np.full(len(reps), k)))
+                yield pa.record_batch([g, pa.array(np.full(len(reps), side, np.int32)), pa.array(np.array(reps, np.int32)), pa.array(sums / n)], names=["_g", "_side", "rep", "part"])
+
+    shared = blocks.join(F.broadcast(sizes), ["_g", "_side"]).withColumn("share", F.explode(F.array(*map(F.lit, range(SHARES)))))  # sizes: one row for each side of a cell
+    work = shared.repartition(max(1, min(1000, blocks.count() * SHARES)), "_g", "_side", "at", "share")
+    parts = work.select("_g", "_side", "at", "n", "share", "v").mapInArrow(run, f"_g {kind}, _side int, rep int, part double")
+    mean = lambda side: F.sum(F.when(F.col("_side") == side, F.col("part")))
+    return bounds(staged(parts, "parts").groupBy("_g", "rep").agg((mean(1) - mean(0)).alias("_d")), ["_g"])
+
+
 def histogram_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, value: str = "_v", cells: int = 4096) -> DataFrame:
     """wanted (keys, name, rank from 0) with the value at that place in the order of its key: exact, and no key is sorted or gathered.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import percentile
-from tidemark.operators.resampling import ranked_values
+from tidemark.operators.resampling import digest_bootstrap, digest_permutation, ranked_values
 from tidemark.operators.windows import chunked, hours, numbered, running
 from tidemark.session import staged
 
@@ -126,13 +126,8 @@ def _sides(outcomes: DataFrame, keys: list[str], value: str, flag: str) -> DataF
 
 def bootstrap_ci(outcomes: DataFrame, keys: list[str], replicates: int = 1000, seed: int = 20260901, value: str = "outcome", flag: str = "treated") -> DataFrame:
     """Percentile interval of the mean difference over resamples of each side, drawn by hash; bounds at int(.025 (B - 1)) and int(.975 (B - 1))."""
-    rows = _sides(outcomes, keys, value, flag).select(*keys, "_side", "_i", F.col(value).alias("_v"))
-    sizes = rows.groupBy(*keys, "_side").agg(F.count("*").alias("_n"))
-    draws = rows.select(*keys, "_side", "_i").join(sizes, [*keys, "_side"]).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    picked = draws.withColumn("_pick", draw(seed, F.col("_rep"), F.col("_side"), F.col("_i")) % F.col("_n")).select(*keys, "_side", "_rep", F.col("_pick").alias("_i"))
-    means = picked.join(rows, [*keys, "_side", "_i"]).groupBy(*keys, "_rep").agg((F.avg(F.when(F.col("_side") == 1, F.col("_v"))) - F.avg(F.when(F.col("_side") == 0, F.col("_v")))).alias("_d"))
-    ordered = means.where("_d IS NOT NULL").groupBy(*keys).agg(F.sort_array(F.collect_list("_d")).alias("_all"))  # one number for each replicate
-    return ordered.select(*keys, F.element_at("_all", F.floor(0.025 * (F.size("_all") - 1)).cast("int") + 1).alias("ci_low"), F.element_at("_all", F.floor(0.975 * (F.size("_all") - 1)).cast("int") + 1).alias("ci_high"))
+    rows = _sides(outcomes.withColumn("_g", F.struct(F.lit(0).alias("_"), *keys)), ["_g"], value, flag).select("_g", "_side", "_i", F.col(value).alias("_v"))
+    return digest_bootstrap(rows, replicates, seed).select(*(F.col("_g")[k].alias(k) for k in keys), "ci_low", "ci_high")
 
 
 #: Bits of a draw that tell its bucket where rows are ranked by their draws.
@@ -164,12 +159,13 @@ def keys_of(sizes: DataFrame, keys: list[str]) -> list[str]:
 
 def permutation_p(outcomes: DataFrame, keys: list[str], replicates: int = 1000, seed: int = 20260901, value: str = "outcome", flag: str = "treated") -> DataFrame:
     """(count(|diff*| >= |diff|) + 1) / (B + 1) over label permutations: in each replicate the rows of smallest hash play the treated ones."""
-    known = outcomes.where(F.col(value).isNotNull()).select(*keys, "id", F.col(flag).alias("_t"), F.col(value).alias("_v"))
-    real = known.groupBy(*keys).agg(F.count_if(F.col("_t")).alias("_k"), (F.avg(F.when(F.col("_t"), F.col("_v"))) - F.avg(F.when(~F.col("_t"), F.col("_v")))).alias("diff"))
-    reps = known.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_u", draw(seed, F.col("_rep"), F.col("id")))
-    got = lowest(reps, real.where("_k > 0"), [*keys, "_rep"]).withColumn("_d", F.try_divide("_low", "_k") - F.try_divide(F.col("_all") - F.col("_low"), F.col("_n") - F.col("_k")))
-    hits = got.join(real.select(*keys, "diff"), keys).groupBy(*keys).agg(F.count_if(F.abs("_d") >= F.abs("diff") - 1e-12).alias("_hits"))
-    return real.join(hits, keys, "left").select(*keys, "diff", ((F.coalesce("_hits", F.lit(0)) + 1) / (replicates + 1)).alias("p_value"))
+    cell = F.xxhash64(*(x for k in keys for x in (F.col(k), F.col(k).isNull())))
+    known = outcomes.where(F.col(value).isNotNull()).select(*keys, cell.alias("_cell"), F.col("id").cast("bigint").alias("id"), F.col(flag).alias("_t"), F.col(value).cast("double").alias("_v"))
+    side = F.when(F.col("_t"), F.col("_v"))
+    real = staged(known.groupBy(*keys, "_cell").agg(F.count_if(F.col("_t")).alias("_k"), F.count("*").alias("_n"), F.sum("_v").alias("_s"), F.sum(side).alias("_st"), (F.avg(side) - F.avg(F.when(~F.col("_t"), F.col("_v")))).alias("diff")), "real")
+    tests = real.where("_k > 0 AND _n > _k").select("_cell", *(F.col(f"_{c}").alias(c) for c in ("k", "n", "s", "st")))
+    hits = digest_permutation(known.select("_cell", "id", "_v").join(F.broadcast(tests.select("_cell")), "_cell", "left_semi"), tests, replicates, seed)  # tests: one row for each cell
+    return real.join(hits, "_cell", "left").select(*keys, "diff", ((F.coalesce("hits", F.lit(0)) + 1) / (replicates + 1)).alias("p_value"))
 
 
 def role(level: str = "level", population: str = "population", horizon: str = "horizon", pooled: str = "POOLED", primary: int = 24) -> Column:
