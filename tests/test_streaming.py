@@ -90,3 +90,17 @@ def test_an_error_of_the_stream_is_raised(spark, tmp_path):
     events = written(spark, tmp_path / "events", ticks(5), 1)
     with pytest.raises(Exception, match="boom"):
         streams.continued(streams.events_stream(spark, events).selectExpr("raise_error('boom') AS id"), str(tmp_path / "home"), most=1)
+
+
+def test_a_table_is_replayed_in_files_of_bounded_size_in_order_of_time(spark, tmp_path):
+    rows = ticks()
+    mixed = rows[:]
+    random.Random(2).shuffle(mixed)
+    home = streams.replayed(spark, written(spark, tmp_path / "events", mixed, 1), rows=60)
+    at = home.removeprefix("file:")
+    files = sorted((os.stat(f"{at}/{f}").st_mtime_ns, f) for f in os.listdir(at) if f.endswith(".parquet"))
+    held = [[(x.ts, x.event_id) for x in spark.read.parquet(f"{at}/{f}").collect()] for _, f in files]
+    assert sorted(x for h in held for x in h) == sorted((t.replace(tzinfo=None), i) for i, _, t, _ in rows)
+    assert len(held) >= 5 and max(map(len, held)) < 200
+    assert all(max(a)[0] < min(b)[0] for a, b in zip(held, held[1:], strict=False))
+    assert tuples(streams.drained(streams.regimes(streams.events_stream(spark, home)))) == batch(spark, rows)

@@ -17,6 +17,11 @@ def _ticks(s, d):
     return S.events_stream(s, f"{d}/events.parquet")
 
 
+def _replayed(s, d):
+    """The ticks from files in order of time, one a batch."""
+    return S.events_stream(s, S.replayed(s, f"{d}/events.parquet"))
+
+
 def _resumed(s, d):
     """The whole table in several files, read one a batch: a run that stops after two batches, then one that takes it up."""
     events = staged(table(s, d, "events").repartition(6, "event_id"), "ticks")
@@ -32,10 +37,10 @@ QUERIES = {
     "stream_late": lambda s, d: out(S.drained(S.as_received(_ticks(s, d), F.lit(CUT).cast("timestamp")).select("id", "asset"))),
     "stream_gate": lambda s, d: out(S.gated(_ticks(s, d), ["click", "purchase", "view"])),
     "stream_regimes": lambda s, d: out(S.drained(S.sessions(_ticks(s, d).where("funding_rate >= 90")))),
-    "stream_percentile": lambda s, d: out(S.drained(S.percentiles(_ticks(s, d).drop("retrieved_at"))).select("id", "percentile")),
+    "stream_percentile": lambda s, d: out(S.drained(S.percentiles(_replayed(s, d).drop("retrieved_at"))).select("id", "percentile")),
     "stream_resume": lambda s, d: out(S.drained(_ticks(s, d).where("asset = 'click'").select("id", "observed_at"))),
-    "stream_percentile_ordered": lambda s, d: out(S.drained(S.regimes(_ticks(s, d))).select("id", "percentile")),
-    "stream_regimes_exact": lambda s, d: out(S.drained(S.regimes(_ticks(s, d))).select("id", "asset", "treated", "regime", "starts")),
+    "stream_percentile_ordered": lambda s, d: out(S.drained(S.regimes(_replayed(s, d))).select("id", "percentile")),
+    "stream_regimes_exact": lambda s, d: out(S.drained(S.regimes(_replayed(s, d))).select("id", "asset", "treated", "regime", "starts")),
     "stream_resume_stopped": lambda s, d: out(_resumed(s, d)),
 }
 

@@ -129,6 +129,29 @@ def events_stream(spark: SparkSession, path: str, files_each: int = 1) -> DataFr
     return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("asset"), at.alias("observed_at"), F.col("value").alias("funding_rate"), F.timestamp_seconds(F.unix_micros(at) / 1_000_000 + F.col("event_id") % 7200).alias("retrieved_at"))
 
 
+#: Ticks of a file of a replayed table, on average.
+REPLAYED = 500_000
+
+
+def replayed(spark: SparkSession, path: str, rows: int = REPLAYED, ts: str = "ts") -> str:
+    """A folder with the table at `path` as files of some `rows` rows in order of time, the earliest file the oldest, as a collector would have left them.
+
+    A stream that takes a file a batch then holds a bounded number of ticks at once, however large the table; one file with all of them would be one batch, whose
+    ticks all wait in state together. Rows of one time are in one file.
+    """
+    table = spark.read.parquet(path)
+    files = max(1, -(-table.count() // rows))
+    home = f"{shared_dir(spark)}/tidemark/replayed-{uuid.uuid4().hex}"
+    cut = table.repartitionByRange(files, ts).withColumn("_file", F.spark_partition_id())
+    cut.write.partitionBy("_file").parquet(f"{home}/cut")
+    parts = spark.read.schema(cut.schema).parquet(f"{home}/cut")
+    for (k,) in parts.select("_file").distinct().orderBy("_file").collect():  # a row for each file
+        parts.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(f"{home}/ticks")
+    whole = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/cut")
+    whole.getFileSystem(spark._jsc.hadoopConfiguration()).delete(whole, True)
+    return f"{home}/ticks"
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over all that is there and returns what it wrote; progress and output are in the shared folder, so a restart resumes."""
     spark = stream.sparkSession
