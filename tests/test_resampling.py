@@ -187,3 +187,13 @@ def test_resamples_are_made_inside_tasks(spark, monkeypatch):
     assert set(got) == set(ci) and all(got[k] == pytest.approx(ci[k]) for k in ci)
     tested = S.permutation_p(df, ["k"], B, seed)
     assert {x.k: (x["diff"], x.p_value) for x in tested.collect()} == {k: pytest.approx(v) for k, v in p.items()}
+
+
+def test_draws_are_remainders_and_stay_in_cache():
+    import numpy as np
+
+    a, b = R.multipliers(7, 1000)
+    h = np.array([0, 1, 2, R.PRIME - 1, R.PRIME // 2, *np.random.default_rng(3).integers(0, R.PRIME, 400)])
+    want = [[(int(x) * int(p) + int(q)) % R.PRIME for p, q in zip(a, b, strict=True)] for x in h[:8]]
+    assert R._draws(h, a, b)[:8].tolist() == want and R._draws(h, a, b).max() < R.PRIME
+    assert R.ROWS * 1000 * 8 <= 1 << 20

@@ -20,8 +20,8 @@ from tidemark.session import ship, staged
 PRIME = (1 << 31) - 1
 #: Cumulative probabilities of a Poisson variable of mean 1 (fixed values): weight k where the draw lies below the k-th and not below the one before.
 POISSON = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885]
-#: Rows whose draws are expanded together; standard deviations around the expected cut within which rows are ranked, the next where a cut falls outside.
-ROWS, AROUND = 1024, (6.0, 12.0, float("inf"))
+#: Rows whose draws are expanded together (with 1,000 replicates half a megabyte, which a core's cache holds); standard deviations around the expected cut within which rows are ranked, the next where a cut falls outside.
+ROWS, AROUND = 64, (6.0, 12.0, float("inf"))
 BASE = ["asset", "horizon", "treated", "starts"]
 CELL = ["level", "population", "horizon"]
 
@@ -56,8 +56,16 @@ def rows_of(outcomes: DataFrame, seed: int, value: str = "outcome") -> DataFrame
 
 
 def _draws(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """rows x replicates."""
-    return (h.astype(np.uint64)[:, None] * a + b) % np.uint64(PRIME)
+    """rows x replicates. PRIME is 2^31 - 1, so a remainder is what is left of adding the upper bits to the lower ones, twice."""
+    x = h.astype(np.uint64)[:, None] * a
+    x += b
+    p, bits = np.uint64(PRIME), np.uint64(31)
+    for _ in range(2):
+        high = x >> bits
+        x &= p
+        x += high
+    x[x == p] = 0
+    return x
 
 
 def _parts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
@@ -162,18 +170,25 @@ def _permuted(rows: DataFrame, tests: DataFrame, sizes: list, replicates: int, s
         below: dict[tuple, np.ndarray] = {}
         names = [*CELL, "rep", "u", "id", "c", "v"]
         kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-        for (asset, horizon, treated, starts), part in _parts(batches, ["_v", "_h", "id"]):
-            u = _draws(part["_h"], a, b)
-            for population in (asset, "POOLED"):
-                for level, low, high in window.get((population, horizon), ()):
-                    if level == "regime" and treated and not starts:
-                        continue
-                    under = u < np.uint64(low)
-                    sums = below.setdefault((level, population, horizon), np.zeros((2, replicates)))
-                    sums += np.stack([np.ones(len(under)), part["_v"]]) @ under.astype(float)
-                    i, r = np.nonzero(~under & (u < np.uint64(high)))
-                    n = len(i)
-                    yield pa.record_batch([pa.array([level] * n, kinds[0]), pa.array([population] * n, kinds[1]), pa.array(np.full(n, horizon, np.int32)), pa.array(r.astype(np.int32)), pa.array(u[i, r].astype(np.int64)), pa.array(part["id"][i].astype(np.int64)), pa.nulls(n, kinds[6]), pa.array(part["_v"][i])], names=names)
+        for batch in batches:
+            near: dict[tuple, list[tuple]] = {}
+            for (asset, horizon, treated, starts), part in _parts([batch], ["_v", "_h", "id"]):
+                u = _draws(part["_h"], a, b)
+                one = np.stack([np.ones(len(u)), part["_v"]])
+                for population in (asset, "POOLED"):
+                    for level, low, high in window.get((population, horizon), ()):
+                        if level == "regime" and treated and not starts:
+                            continue
+                        cell = (level, population, horizon)
+                        sums = below.setdefault(cell, np.zeros((2, replicates)))
+                        sums += one @ (u < np.uint64(low)).astype(float)
+                        at = np.flatnonzero(u - np.uint64(low) < np.uint64(high - low))  # below low the difference wraps round
+                        i, r = np.divmod(at, replicates)
+                        near.setdefault(cell, []).append((r, u.ravel()[at], part["id"][i], part["_v"][i]))
+            for (level, population, horizon), found in near.items():
+                r, us, ids, v = (np.concatenate(c) for c in zip(*found, strict=True))
+                n = len(r)
+                yield pa.record_batch([pa.array([level] * n, kinds[0]), pa.array([population] * n, kinds[1]), pa.array(np.full(n, horizon, np.int32)), pa.array(r.astype(np.int32)), pa.array(us.astype(np.int64)), pa.array(ids.astype(np.int64)), pa.nulls(n, kinds[6]), pa.array(v)], names=names)
         for (level, population, horizon), sums in below.items():
             yield pa.record_batch([pa.array([level] * replicates), pa.array([population] * replicates), pa.array(np.full(replicates, horizon, np.int32)), pa.array(np.arange(replicates, dtype=np.int32)), pa.nulls(replicates, kinds[4]), pa.nulls(replicates, kinds[5]), pa.array(sums[0].astype(np.int64)), pa.array(sums[1])], names=names)
 
