@@ -1,5 +1,7 @@
 """Operator 4 on lines of one word or more, and the pipeline's line dedup."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import documents, words
@@ -47,3 +49,28 @@ def test_pipeline_removes_a_later_short_line(spark, tmp_path):
     kept = corpus_pipeline.line_dedup(spark, docs, str(tmp_path))
     assert {r.doc_id for r in kept.where("text LIKE '%Share this page%'").collect()} == {0}
     assert {r.doc_id: r.text for r in kept.collect()}[3] == words(33, 60) + "\n\n"
+
+
+def near_copies(n, changes=2):
+    """One line in n copies, each with a few words of its own; copies of copies among them, not all similar to the first."""
+    r, base, rows = random.Random(5), words(77, 80, 4000).split(), []
+    for i in range(n):
+        own = list(rows[r.randrange(len(rows))][1].split() if rows and i % 10 == 0 else base)
+        for k in range(changes):
+            own[r.randrange(len(own))] = f"own{i}x{k}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_near_copies_of_a_line_are_settled_without_their_pairs(spark, monkeypatch):
+    rows, made, staged = near_copies(200), [], lines.staged
+
+    def counted(df, name, *more):
+        out = staged(df, name, *more)
+        made.extend([out.count()] if name in ("pairs", "late", "rest") else [])
+        return out
+
+    monkeypatch.setattr(lines, "staged", counted)
+    got = {r.doc_id: r.removed for r in lines.marked(documents(spark, rows)).collect() if r.n_removed}
+    assert got == expected(rows, 1) and len(got) > 150
+    assert sum(made) < 10 * len(rows), made
