@@ -74,3 +74,29 @@ def test_near_copies_of_a_line_are_settled_without_their_pairs(spark, monkeypatc
     got = {r.doc_id: r.removed for r in lines.marked(documents(spark, rows)).collect() if r.n_removed}
     assert got == expected(rows, 1) and len(got) > 150
     assert sum(made) < 10 * len(rows), made
+
+
+def test_copies_that_differ_more_or_less_make_few_pairs(spark, monkeypatch):
+    """Copies with one to nine words of their own each: most pairs of them are near 80 %, and the earliest one is similar to some only."""
+    r, base, rows, made, staged = random.Random(9), words(78, 60, 4000).split(), [], [], lines.staged
+    for i in range(300):
+        own = list(base)
+        for k in r.sample(range(len(own)), 1 + r.randrange(9)):
+            own[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(own)))
+
+    def counted(df, name, *more):
+        out = staged(df, name, *more)
+        made.extend([out.count()] if name in ("led", "pairs", "rest") else [])
+        return out
+
+    monkeypatch.setattr(lines, "staged", counted)
+    got = {r.doc_id: r.removed for r in lines.marked(documents(spark, rows)).collect() if r.n_removed}
+    assert got == expected(rows, 1) and len(got) > 100
+    assert sum(made) < 60 * len(rows), made
+
+
+def test_words_that_were_not_counted_are_the_rarest(spark):
+    docs = documents(spark, [(1, "a b b c"), (2, "d")])
+    levels = spark.range(1).select(F.array_distinct(lines._levels(docs, "text")).alias("x")).first().x
+    assert sorted(x >> lines.CODE_BITS for x in levels) == [0, 1, 3]
