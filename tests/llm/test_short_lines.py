@@ -100,3 +100,31 @@ def test_words_that_were_not_counted_are_the_rarest(spark):
     docs = documents(spark, [(1, "a b b c"), (2, "d")])
     levels = spark.range(1).select(F.array_distinct(lines._levels(docs, "text")).alias("x")).first().x
     assert sorted(x >> lines.CODE_BITS for x in levels) == [0, 1, 3]
+
+
+def test_no_leader_is_asked_where_few_sets_meet(spark, monkeypatch):
+    """Under words that few lines have, the join finds the pairs; to ask leaders there costs a shuffle of all index words and saves none."""
+    rows = []
+    for i in range(40):
+        own = words(200 + i, 30).split()
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[1:], f"own{i}"]))]
+    made, staged = [], lines.staged
+
+    def counted(df, name, *more):
+        out = staged(df, name, *more)
+        made.extend([out.count()] if name == "led" else [])
+        return out
+
+    monkeypatch.setattr(lines, "staged", counted)
+    got = {r.doc_id: r.removed for r in lines.marked(documents(spark, rows)).collect() if r.n_removed}
+    assert got == expected(rows, 1) and len(got) >= 35
+    assert sum(made) == 0, made
+
+
+def test_ids_of_any_size_order_lines(spark):
+    """Ids that fit with the line number into 63 bits are places by themselves; others are numbered."""
+    a, b, c = words(301, 30), words(302, 30), words(303, 30)
+    for ids in ([0, 7, (1 << 32) - 1], [-3, 7, (1 << 63) - 1]):
+        rows = [(ids[2], f"{a}\n{b}\n{c}"), (ids[0], f"{c}\nx {a}"), (ids[1], f"{a} x\n{c}\n{b} y")]
+        got = {r.doc_id: r.removed for r in lines.marked(documents(spark, rows)).collect() if r.n_removed}
+        assert got == expected(rows, 1) and len(got) == 2, ids
