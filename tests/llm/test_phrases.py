@@ -88,3 +88,23 @@ def test_trie_finds_its_keys_and_no_others():
                 break
         else:
             assert key not in known or known[key] == state[0]
+
+
+def test_texts_are_scanned_as_often_with_many_tries_as_with_one(spark):
+    """Work grows with the texts, not with texts times tries."""
+    rows, seen = corpus(300, 7), spark.sparkContext.accumulator(0)
+
+    def scan(spark, trie):
+        before = seen.value
+        made = spark.createDataFrame([(i, t, lang, "x", 3) for i, t, lang in rows], SCHEMA).repartition(3)
+
+        def counted(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        found = phrases.counted(spark, made.select("lang", "text").mapInArrow(counted, "lang string, text string"), trie=trie)[0]
+        return sorted(map(tuple, found.collect())), seen.value - before
+
+    (one, scans), (many, more) = scan(spark, 1 << 20), scan(spark, 20)
+    assert one == many and len(one) > 100 and scans == more <= 5 * len(rows)

@@ -1,14 +1,13 @@
 """Phrase collocations by level-wise candidates and double-array tries (operator 13).
 
 Candidates come first: a scan counts words and runs of words by hashed buckets, whose counts are upper bounds, and a second one lists the runs of which every part may
-reach the least count. The candidates' tries are broadcast one after the other, each of a bounded size; a scan advances the states of all positions of a
-slice together, one digit of a word number at a time, counts accepting states with bincount, and Spark sums the counts of all tasks.
+reach the least count, each place by its longest one. Runs are dealt to tries by their first two words, each of a bounded size and built where its runs are; a task advances the states of
+all its runs together, one digit of a word number at a time, and sums how often each state at a word's end is reached. The texts are scanned three times, whatever the number of tries.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +19,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import RangeHash, buffers, mixed, slices
 from tidemark.session import discard, ship, staged
 
-#: Candidates of one trie: what a broadcast holds, some 20 bytes for each.
-TRIE = 1 << 20
+#: Runs of one trie, about: what a task holds.
+TRIE = 1 << 18
 #: Bits of the number of hash buckets: at least, and at most (a bitmap of 128 MB). Between them there are about as many buckets as words.
 BUCKETS = (16, 30)
 #: Buckets that are summed together; bits of one digit of a word number.
@@ -64,8 +63,8 @@ class Words:
         made = pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(self.edge), pa.py_buffer(np.ascontiguousarray(self.data))]).dictionary_encode()
         return made.dictionary.to_pylist(), np.asarray(made.indices)
 
-    def different(self, at: np.ndarray, k: int) -> np.ndarray:
-        """One position for each different run of k words among the given ones."""
+    def different(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """One position for each different run of k words among the given ones, and how many there are of it."""
         if not hasattr(self, "_numbers"):
             self._numbers = self.distinct()[1].astype(np.int64)
         rows = np.stack([self._numbers[at + j] for j in range(k)])
@@ -74,8 +73,10 @@ class Words:
             code = rows[0]
             for r in rows[1:]:
                 code = code * size + r
-            return at[np.unique(code, return_index=True)[1]]
-        return at[np.unique(rows, axis=1, return_index=True)[1]]
+            _, one, n = np.unique(code, return_index=True, return_counts=True)
+        else:
+            _, one, n = np.unique(rows, axis=1, return_index=True, return_counts=True)
+        return at[one], n
 
     def buckets(self, k: int, bits: int, lang: str) -> np.ndarray:
         """The bucket of the run of k words at each position; -1 where its piece ends before."""
@@ -171,20 +172,21 @@ def _full(least: int):
 
 
 def _listed(bitmap, bits: int, longest: int):
-    """lang, phrase: the runs whose bucket is full and whose shorter runs are listed too."""
+    """lang, phrase, n: the runs whose bucket is full and whose shorter runs are listed too; at each place the longest one, whose beginnings are the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             for lang, words in _texts(batch):
-                before = np.ones(len(words), bool)
+                before, size = np.ones(len(words), bool), np.ones(len(words), np.int64)
                 for k in range(2, longest + 1):
                     bucket = words.buckets(k, bits, lang)
                     on = (bucket >= 0) & before & np.append(before[1:], False)
                     on[on] = (full[bucket[on] >> 3] >> (bucket[on] & 7)) & 1 == 1
-                    before = on
-                    names = words.runs(words.different(np.flatnonzero(on), k), k)
-                    yield pa.record_batch([pa.array([lang] * len(names), pa.string()), names], names=["lang", "phrase"])
+                    before, size[on] = on, k
+                for k in range(2, longest + 1):
+                    at, n = words.different(np.flatnonzero(size == k), k)
+                    yield pa.record_batch([pa.array([lang] * len(at), pa.string()), words.runs(at, k), pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
 
     return run
 
@@ -266,83 +268,39 @@ class Trie:
         return np.where(good, to, -1)
 
 
-def _built(table: pa.Table) -> pa.Table:
-    """The trie of a shard's candidates with its words in the first row; then a row for each candidate with its state."""
-    langs = table.column("lang").combine_chunks().dictionary_encode()
-    parts = pc.split_pattern(table.column("phrase").combine_chunks(), " ")
-    size = np.asarray(pc.list_value_length(parts)).astype(np.int64)
-    row = np.repeat(np.arange(len(size)), size)
-    words = parts.flatten().dictionary_encode()
-    # Words are numbered by language; the digits of a number, the highest first, are the labels of the trie.
-    code = np.asarray(langs.indices).astype(np.int64)[row] * len(words.dictionary) + np.asarray(words.indices)
-    codes, number = np.unique(code, return_inverse=True)
-    digits = max(1, math.ceil(len(codes).bit_length() / DIGIT))
-    longest = int(size.max())
-    keys = np.full((len(size), digits * longest), -1, np.int64)
-    column = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)) * digits
-    for d in range(digits):
-        keys[row, column + d] = number >> (DIGIT * (digits - 1 - d)) & ((1 << DIGIT) - 1)
-    trie = Trie(keys, 1 << DIGIT)
-    texts = words.dictionary.to_pylist()
-    vocabulary: dict[str, dict[bytes, int]] = {lang: {} for lang in langs.dictionary.to_pylist()}
-    of = list(vocabulary.values())
-    for i, c in enumerate(codes.tolist()):
-        of[c // len(texts)][texts[c % len(texts)]] = i
-    n, none = len(size), [None] * len(size)
-    first = lambda x: pa.array([x, *none], pa.binary())
-    behind = lambda a, kind: pa.concat_arrays([pa.nulls(1, kind), a.cast(kind)])
-    return pa.table(
-        {
-            "shard": pa.array(np.full(n + 1, table.column("shard")[0].as_py(), np.int32)),
-            "words": first(pickle.dumps((digits, longest, vocabulary, len(trie.base)))),
-            "base": first(pa.compress(trie.base.tobytes(), "zstd", asbytes=True)),  # the driver passes on these bytes
-            "check": first(pa.compress(trie.check.tobytes(), "zstd", asbytes=True)),
-            "state": behind(pa.array(trie.node), pa.int64()),
-            "lang": behind(table.column("lang").combine_chunks(), pa.string()),
-            "phrase": behind(table.column("phrase").combine_chunks(), pa.string()),
-        }
-    )
-
-
-_held: dict = {}
-
-
-def _matched(held, name: str):
-    """state, n: how often each accepting or inner state at a word's end was reached; one row for each state seen by the task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _held:  # a worker keeps the trie for its next task
-            _held.clear()
-            words, base, check = held.value
-            trie = Trie.__new__(Trie)
-            digits, longest, vocabulary, size = pickle.loads(words)
-            trie.base, trie.check = (np.frombuffer(pa.decompress(x, 4 * size, "zstd"), np.int32) for x in (base, check))
-            _held[name] = trie, digits, longest, vocabulary
-        trie, digits, longest, vocabulary = _held[name]
-        total = np.zeros(len(trie.check), np.int64)
-        for batch in batches:
-            for lang, words in _texts(batch):
-                known = vocabulary.get(lang)
-                if not known or not len(words):
-                    continue
-                names, at = words.distinct()
-                word = np.fromiter((known.get(w, -1) for w in names), np.int64, len(names))[at]
-                place = np.flatnonzero((word >= 0) & (words.left > 0))
-                state = np.zeros(len(place), np.int64)
-                for k in range(longest):
-                    own = word[place + k]
-                    for d in range(digits):
-                        state = trie.step(state, own >> (DIGIT * (digits - 1 - d)) & ((1 << DIGIT) - 1))
-                        on = state >= 0
-                        place, state, own = place[on], state[on], own[on]
-                    if k:
-                        total += np.bincount(state, minlength=len(total))
-                    more = words.left[place] > k
-                    place, state = place[more], state[more]
-                    on = word[place + k + 1] >= 0
-                    place, state = place[on], state[on]
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["state", "n"])
+def _tried(least: int):
+    """(runs of one shard: lang, phrase, n) -> lang, phrase, words, f of the beginnings of two words and more that are found `least` times in all, counted by a trie of the runs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        langs = table.column("lang").combine_chunks().dictionary_encode()
+        parts = pc.split_pattern(table.column("phrase").combine_chunks(), " ")
+        n, size = table.column("n").to_numpy(), np.asarray(pc.list_value_length(parts)).astype(np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        words = parts.flatten().dictionary_encode()
+        # Words are numbered by language; the digits of a number, the highest first, are the labels of the trie.
+        code = np.asarray(langs.indices).astype(np.int64)[row] * len(words.dictionary) + np.asarray(words.indices)
+        codes, number = np.unique(code, return_inverse=True)
+        digits = max(1, math.ceil(len(codes).bit_length() / DIGIT))
+        longest = int(size.max())
+        keys = np.full((len(size), digits * longest), -1, np.int64)
+        column = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)) * digits
+        for d in range(digits):
+            keys[row, column + d] = number >> (DIGIT * (digits - 1 - d)) & ((1 << DIGIT) - 1)
+        trie = Trie(keys, 1 << DIGIT)
+        state, found = np.zeros(len(size), np.int64), []
+        place = np.arange(len(size))
+        for k in range(1, longest + 1):
+            place, state = place[size[place] >= k], state[size[place] >= k]
+            for c in range((k - 1) * digits, k * digits):
+                state = trie.step(state, keys[place, c])
+            if k > 1:
+                seen, one, whose = np.unique(state, return_index=True, return_inverse=True)
+                total = np.bincount(whose, n[place], len(seen)).astype(np.int64)  # sums below 2**53 are exact
+                held = total >= least
+                at = pa.array(place[one[held]])
+                names = pc.binary_join(pc.list_slice(parts.take(at), 0, k), b" ")
+                found.append(pa.table({"lang": table.column("lang").combine_chunks().take(at), "phrase": names.cast(pa.string()), "words": pa.array(np.full(len(at), k, np.int32)), "f": pa.array(total[held])}))
+        return pa.concat_tables(found)
 
     return run
 
@@ -365,26 +323,14 @@ def counted(spark: SparkSession, documents: DataFrame, longest: int = 3, least:
         bitmap[r["chunk"] * (CHUNK // 8) : (r["chunk"] + 1) * (CHUNK // 8)] = np.frombuffer(r["full"], np.uint8)
     held = spark.sparkContext.broadcast(bitmap.tobytes())
     del bitmap
-    listed = staged(docs.mapInArrow(_listed(held, bits, longest), "lang string, phrase binary").distinct(), "candidates")
+    listed = staged(docs.mapInArrow(_listed(held, bits, longest), "lang string, phrase binary, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "candidates")
     held.destroy()
     shards = max(1, math.ceil(listed.count() / trie))
-    dealt = listed.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
-    tries = staged(dealt.groupBy("shard").applyInArrow(_built, "shard int, words binary, base binary, check binary, state bigint, lang string, phrase string"), "tries")
+    start = F.substring_index(F.col("phrase").cast("string"), " ", 2)  # all runs that begin with some phrase meet in one trie
+    dealt = listed.withColumn("shard", F.pmod(F.xxhash64("lang", start), F.lit(shards)).cast("int"))
+    phrases = staged(dealt.repartition(min(1000, shards), "shard").groupBy("shard").applyInArrow(_tried(least), "lang string, phrase string, words int, f bigint"), "phrases")
     discard(listed)
-    phrases = None
-    for shard in range(shards):  # the driver and a task hold one trie at a time, of a bounded number of candidates
-        own = tries.where(F.col("shard") == shard)
-        row = own.where("state IS NULL").select("words", "base", "check").first()
-        if row is None:
-            continue
-        held = spark.sparkContext.broadcast(tuple(map(bytes, row)))
-        del row
-        seen = docs.mapInArrow(_matched(held, f"{tries._staged_at} {shard}"), "state bigint, n bigint").groupBy("state").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        names = own.where("state IS NOT NULL").select("state", "lang", "phrase")
-        part = staged(names.join(seen, "state").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"), "phrases")
-        held.destroy()
-        phrases = part if phrases is None else phrases.unionByName(part)
-    return (frequent if phrases is None else frequent.unionByName(phrases)), sizes
+    return frequent.unionByName(phrases), sizes
 
 
 def collocations(spark: SparkSession, documents: DataFrame, longest: int = 3, least: int = 10, share: int = 50, top: int = 2000, lang_col: str = "lang", text_col: str = "text", trie: int = TRIE) -> DataFrame:
