@@ -197,3 +197,31 @@ def test_draws_are_remainders_and_stay_in_cache():
     want = [[(int(x) * int(p) + int(q)) % R.PRIME for p, q in zip(a, b, strict=True)] for x in h[:8]]
     assert R._draws(h, a, b)[:8].tolist() == want and R._draws(h, a, b).max() < R.PRIME
     assert R.ROWS * 1000 * 8 <= 1 << 20
+
+
+@pytest.mark.parametrize("bundle", [1, 400, 1 << 26])
+def test_digests_are_made_once_for_all_blocks_of_a_bundle(spark, monkeypatch, bundle):
+    """Groups and blocks that a task holds share the digests; bundles of one block each give the same interval."""
+    from tidemark.operators import digests
+
+    monkeypatch.setattr(R, "PICKED", 25)
+    monkeypatch.setattr(R, "BUNDLE", bundle)
+    r, made = random.Random(4), spark.sparkContext.accumulator(0)
+    counting = digests.Endings.counting.__func__
+
+    class Counted(digests.Endings):
+        @classmethod
+        def counting(cls, before, start, stop):
+            made.add(stop - start)
+            return counting(digests.Endings, before, start, stop)
+
+    monkeypatch.setattr(R, "Endings", Counted)
+    sides = {(g, s): [r.choice([1.5, -2.0, r.random()]) for _ in range(n)] for g, s, n in (("a", 1, 30), ("a", 0, 130), ("b", 1, 7), ("b", 0, 100))}
+    df = spark.createDataFrame([(g, s, i, v) for (g, s), vs in sides.items() for i, v in enumerate(vs)], "_g string, _side int, _i bigint, _v double").repartition(3)
+    got = {x._g: (x.ci_low, x.ci_high) for x in R.digest_bootstrap(df, 40, 7).collect()}
+    mean = lambda g, s, k: statistics.fmean(sides[g, s][R.number(7, k, s, i) % len(sides[g, s])] for i in range(len(sides[g, s])))
+    for g in "ab":
+        d = sorted(mean(g, 1, k) - mean(g, 0, k) for k in range(40))
+        assert got[g] == pytest.approx((d[int(0.025 * 39)], d[int(0.975 * 39)]))
+    if bundle == 1 << 26:
+        assert made.value == (130 + 30) * min(40, R.SHARES)

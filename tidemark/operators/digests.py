@@ -25,6 +25,17 @@ class Endings:
             at = np.flatnonzero(size == n)
             self.parts.append((at, np.frombuffer(b"".join(text[at].tolist()), np.uint8).reshape(len(at), n) if n else np.zeros((len(at), 0), np.uint8)))
 
+    @classmethod
+    def counting(cls, before: bytes, start: int, stop: int) -> Endings:
+        """The ends before + i, for i from start up to stop."""
+        made = cls([])
+        made.count = stop - start
+        for digits in range(len(str(start)), len(str(stop - 1)) + 1):
+            i = np.arange(max(start, 10 ** (digits - 1) if digits > 1 else 0), min(stop, 10**digits))
+            own = i[:, None] // 10 ** np.arange(digits - 1, -1, -1) % 10 + 48
+            made.parts.append((i - start, np.concatenate([np.tile(np.frombuffer(before, np.uint8), (len(i), 1)), own.astype(np.uint8)], axis=1)))
+        return made
+
     def numbers(self, beginning: bytes) -> np.ndarray:
         got = np.empty(self.count, np.uint32)
         for k, (at, ends) in enumerate(self.parts):

@@ -220,8 +220,8 @@ def study(outcomes: DataFrame, replicates: int = 1000, seed: int = 20260901, val
     return effects(base).join(permutation(rows, base, min(2000, replicates), seed), CELL, "left")
 
 
-#: Rows whose digests are made together; values of a block that resamples pick from; tasks that share the replicates of a block.
-TOGETHER, PICKED, SHARES = 1 << 15, 1 << 22, 16
+#: Rows whose digests are made together; values of a block that resamples pick from; bytes of the blocks that a task holds, about; tasks that share the replicates of these.
+TOGETHER, PICKED, BUNDLE, SHARES = 1 << 15, 1 << 22, 1 << 26, 32
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
@@ -287,12 +287,27 @@ def _digested(rows: DataFrame, sizes: list, replicates: int, seed: int, around:
     return rows.mapInArrow(run, "_cell bigint, rep int, u bigint, id bigint, c bigint, v double")
 
 
+def _coded(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, and the number of each one among them in as few bytes as they need."""
+    values, codes = np.unique(v, return_inverse=True)
+    return values, codes.astype("<u2" if len(values) <= 1 << 16 else "<u4")
+
+
+def _joined(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Values and codes of several blocks as those of one."""
+    if len(blocks) == 1:
+        return blocks[0]
+    values = np.unique(np.concatenate([v for v, _ in blocks]))
+    kind = "<u2" if len(values) <= 1 << 16 else "<u4"
+    return values, np.concatenate([np.searchsorted(values, v).astype(kind)[c] for v, c in blocks])
+
+
 def digest_bootstrap(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
     """_g, ci_low, ci_high of the mean difference over resamples of each side: the i-th pick of a replicate is the row whose number is the digest of seed, replicate, side
     and i, modulo the rows of the side. rows: _g, _side (1 or 0), _i (number from 0 within both), _v.
 
-    Values are cut into blocks of PICKED; a task makes the picks of some replicates and sums those that fall into its block, so no pick is shuffled and no task holds
-    a side. Beyond PICKED rows of a side the picks are made again for every block.
+    Values are cut into blocks of PICKED and kept as numbers of their different values, two bytes each where these are few. A task holds about BUNDLE bytes of blocks of one side, of one group or
+    many, makes the digests of some replicates once for all of them and sums the picks that fall into its blocks: no pick is shuffled and no task holds more. Digests are made again for every bundle.
     """
     ship(rows.sparkSession)
     rows = staged(rows.where("_side IS NOT NULL").select("_g", "_side", F.col("_i").cast("bigint").alias("_i"), F.col("_v").cast("double").alias("_v")), "resampled")
@@ -301,28 +316,46 @@ def digest_bootstrap(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
 
     def block(t: pa.Table) -> pa.Table:
         t = t.sort_by("_i")
-        return pa.table([t["_g"][:1].combine_chunks(), t["_side"][:1].combine_chunks(), t["_i"][:1].combine_chunks(), pa.array([t["_v"].to_numpy()], pa.list_(pa.float64()))], names=["_g", "_side", "at", "v"])
-
-    blocks = staged(rows.groupBy("_g", "_side", F.floor(F.col("_i") / PICKED).alias("_b")).applyInArrow(block, f"_g {kind}, _side int, at bigint, v array<double>"), "blocks")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                side, at, n, share = (batch.column(c)[k].as_py() for c in ("_side", "at", "n", "share"))
-                v = batch.column("v").slice(k, 1).flatten().to_numpy()
-                reps = range(share, replicates, SHARES)
-                sums = np.zeros(len(reps))
-                for start in range(0, n, TOGETHER):
-                    draws = Endings([b"|%d|%d" % (side, i) for i in range(start, min(n, start + TOGETHER))])
-                    for j, r in enumerate(reps):
-                        pick = draws.numbers(b"%d|%d" % (seed, r)).astype(np.int64) % n - at
-                        sums[j] += v[pick[(pick >= 0) & (pick < len(v))] if len(v) < n else pick].sum()
-                g = batch.column("_g").take(pa.array(np.full(len(reps), k)))
-                yield pa.record_batch([g, pa.array(np.full(len(reps), side, np.int32)), pa.array(np.array(reps, np.int32)), pa.array(sums / n)], names=["_g", "_side", "rep", "part"])
-
-    shared = blocks.join(F.broadcast(sizes), ["_g", "_side"]).withColumn("share", F.explode(F.array(*map(F.lit, range(SHARES)))))  # sizes: one row for each side of a cell
-    work = shared.repartition(max(1, min(1000, blocks.count() * SHARES)), "_g", "_side", "at", "share")
-    parts = work.select("_g", "_side", "at", "n", "share", "v").mapInArrow(run, f"_g {kind}, _side int, rep int, part double")
+        values, codes = _coded(t["_v"].to_numpy())
+        held = [pa.array([values], pa.list_(pa.float64())), pa.array([codes.tobytes()], pa.binary()), pa.array([codes.itemsize], pa.int32()), pa.array([codes.nbytes + values.nbytes], pa.int64())]
+        return pa.table([t["_g"][:1].combine_chunks(), t["_side"][:1].combine_chunks(), t["_i"][:1].combine_chunks(), *held], names=["_g", "_side", "at", "v", "codes", "width", "bytes"])
+
+    blocks = staged(rows.groupBy("_g", "_side", F.floor(F.col("_i") / PICKED).alias("_b")).applyInArrow(block, f"_g {kind}, _side int, at bigint, v array<double>, codes binary, width int, bytes bigint"), "blocks")
+
+    def run(t: pa.Table) -> pa.Table:
+        side, share = t["_side"][0].as_py(), t["share"][0].as_py()
+        reps = range(share, replicates, SHARES)
+        of: dict[str, list[int]] = {}  # rows of each group, in order: a bundle has a stretch of its blocks
+        for k in np.argsort(t["at"].to_numpy(), kind="stable").tolist():
+            of.setdefault(repr(t["_g"][k].as_py()), []).append(k)
+        held = []
+        for own in of.values():
+            values, codes = _joined([(np.asarray(t["v"][k].values), np.frombuffer(t["codes"][k].as_buffer(), f"<u{t['width'][k].as_py()}")) for k in own])
+            held.append((t["n"][own[0]].as_py(), t["at"][own[0]].as_py(), values, codes))
+        sums, most = np.zeros((len(held), len(reps))), max(n for n, *_ in held)
+        for start in range(0, most, TOGETHER):
+            draws = Endings.counting(b"|%d|" % side, start, min(most, start + TOGETHER))
+            for j, r in enumerate(reps):
+                u = draws.numbers(b"%d|%d" % (seed, r))
+                for x, (n, at, values, codes) in enumerate(held):
+                    if n > start:
+                        pick = u[: n - start]
+                        pick = (pick - pick // np.uint32(n) * np.uint32(n) if n < 1 << 32 else pick).astype(np.int64) - at
+                        sums[x, j] += values[codes[pick[(pick >= 0) & (pick < len(codes))] if len(codes) < n else pick]].sum()
+        size = np.array([n for n, *_ in held])
+        which = np.repeat([own[0] for own in of.values()], len(reps))
+        times = len(held)
+        return pa.table([t["_g"].combine_chunks().take(pa.array(which)), pa.array(np.full(len(which), side, np.int32)), pa.array(np.tile(np.array(reps, np.int32), times)), pa.array((sums / size[:, None]).ravel())], names=["_g", "_side", "rep", "part"])
+
+    # One row for each block. Groups of about one size come together, as digests are made up to the largest.
+    before = Window.partitionBy("_side").orderBy(F.col("n").desc(), "_g", "at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select("_g", "_side", "at", "bytes").join(sizes, ["_g", "_side"]).withColumn("bundle", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / BUNDLE))
+    placed = staged(placed.select("_g", "_side", "at", "n", "bundle"), "bundles")
+    shared = blocks.join(F.broadcast(placed), ["_g", "_side", "at"]).withColumn("share", F.explode(F.array(*map(F.lit, range(min(SHARES, replicates))))))
+    keys = ["_side", "bundle", "share"]
+    tasks = placed.select("_side", "bundle").distinct().count() * SHARES
+    work = shared.repartition(max(1, min(1000, 2 * tasks)), *keys).groupBy(*keys)
+    parts = work.applyInArrow(run, f"_g {kind}, _side int, rep int, part double")
     mean = lambda side: F.sum(F.when(F.col("_side") == side, F.col("part")))
     return bounds(staged(parts, "parts").groupBy("_g", "rep").agg((mean(1) - mean(0)).alias("_d")), ["_g"])
 
