@@ -16,3 +16,15 @@ def test_funding_diagnostics_on_odd_ticks(spark, tmp_path):
     want = c.sql(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()['funding_diagnostics']})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select(*columns).collect())
     assert len(want) == 2 and all(r[3] and r[4] for r in want)
+
+
+def test_funding_diagnostics_counts_whole_milliseconds(spark, tmp_path):
+    """DuckDB's epoch_ms rounds; a millisecond begins at its first microsecond and holds a thousand of them."""
+    at = str(tmp_path / "events.parquet")
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-06' + to_microseconds(CASE i WHEN 1 THEN 1400 WHEN 2 THEN 1600 WHEN 3 THEN 2300 WHEN 4 THEN 2999 ELSE 3000 END) AS ts, 1 AS user_id, 'a' AS event_type, 1.0::DOUBLE AS value, '' AS props FROM (SELECT unnest(range(1, 6)) AS i)) TO '{at}'")
+    c.sql(f"CREATE VIEW events AS FROM '{at}'")
+    columns = ["asset", "raw", "malformed", "eligible", "duplicate"]
+    got = registry.queries()["funding_diagnostics"](spark, str(tmp_path)).select(*columns).collect()
+    want = c.sql(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()['funding_diagnostics']})").fetchall()
+    assert want == [tuple(r) for r in got] == [("a", 5, 0, 3, 2)]

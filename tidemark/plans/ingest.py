@@ -148,7 +148,7 @@ ORACLE = {
     "resolve_run": sql("SELECT * FROM runs WHERE status = 'FAILED'"),
     "collection_run": sql(_K + " SELECT source_name, count(*) AS retrieved, count(DISTINCT key) AS inserted, count(*) - count(DISTINCT key) AS duplicates, CASE WHEN count(*) > count(DISTINCT key) THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM k GROUP BY source_name"),
     "funding_consolidate": sql(f", t AS (SELECT id, asset, epoch_us(observed_at) // 1000 AS time_ms FROM funding WHERE observed_at {_RANGE} QUALIFY row_number() OVER (PARTITION BY asset, epoch_us(observed_at) // 1000 ORDER BY id) = 1) SELECT id, asset, time_ms, row_number() OVER (PARTITION BY asset ORDER BY time_ms) AS rn FROM t QUALIFY rn <= 300"),
-    "funding_diagnostics": sql(f", twice AS (FROM funding UNION ALL FROM funding WHERE id % 7 = 0), r AS (SELECT *, CASE WHEN id % 23 = 0 THEN CAST('nan' AS DOUBLE) WHEN id % 29 <> 0 THEN funding_rate END AS rate FROM twice), t AS (SELECT *, rate IS NOT NULL AND NOT isnan(rate) AS ok FROM r) SELECT asset, count(*) AS raw, count(*) FILTER (WHERE NOT ok) AS malformed, count(DISTINCT epoch_ms(observed_at)) FILTER (WHERE ok AND observed_at {_RANGE}) AS eligible, count(*) FILTER (WHERE ok AND observed_at {_RANGE}) - count(DISTINCT epoch_ms(observed_at)) FILTER (WHERE ok AND observed_at {_RANGE}) AS duplicate FROM t GROUP BY asset"),
+    "funding_diagnostics": sql(f", twice AS (FROM funding UNION ALL FROM funding WHERE id % 7 = 0), r AS (SELECT *, CASE WHEN id % 23 = 0 THEN CAST('nan' AS DOUBLE) WHEN id % 29 <> 0 THEN funding_rate END AS rate FROM twice), t AS (SELECT *, rate IS NOT NULL AND NOT isnan(rate) AS ok FROM r) SELECT asset, count(*) AS raw, count(*) FILTER (WHERE NOT ok) AS malformed, count(DISTINCT epoch_us(observed_at) // 1000) FILTER (WHERE ok AND observed_at {_RANGE}) AS eligible, count(*) FILTER (WHERE ok AND observed_at {_RANGE}) - count(DISTINCT epoch_us(observed_at) // 1000) FILTER (WHERE ok AND observed_at {_RANGE}) AS duplicate FROM t GROUP BY asset"),
     "candle_normalize": sql(_O + " SELECT id, asset, open_at, open_at + INTERVAL 1 HOUR AS close_at, row_number() OVER (PARTITION BY asset ORDER BY open_at, id) AS rn FROM i WHERE aligned QUALIFY rn <= 500"),
     "candle_quarantine": sql(_O + " SELECT id, asset, 'UNALIGNED_OPEN' AS reason FROM i WHERE NOT aligned"),
 }
