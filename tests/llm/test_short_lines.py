@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import documents, words
@@ -128,3 +129,13 @@ def test_ids_of_any_size_order_lines(spark):
         rows = [(ids[2], f"{a}\n{b}\n{c}"), (ids[0], f"{c}\nx {a}"), (ids[1], f"{a} x\n{c}\n{b} y")]
         got = {r.doc_id: r.removed for r in lines.marked(documents(spark, rows)).collect() if r.n_removed}
         assert got == expected(rows, 1) and len(got) == 2, ids
+
+
+@pytest.mark.parametrize("fitted", [1, 3])
+def test_the_order_of_words_changes_no_row(spark, monkeypatch, fitted):
+    """Words are counted on a sample, which orders the index alone."""
+    monkeypatch.setattr(lines, "FITTED", fitted)
+    own = [words(400 + i, 25).split() for i in range(8)]
+    rows = [(i, "\n".join([" ".join(own[i % 8]), " ".join([*own[(i + 3) % 8][i % 4 :], "the", f"x{i}"]), "the same line"])) for i in range(24)]
+    got = {r.doc_id: r.removed for r in lines.marked(documents(spark, rows)).collect() if r.n_removed}
+    assert got == expected(rows, 1) and len(got) > 10
